@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliogrid.llm import exact_dedup, packing
+from foliogrid.llm import decontaminate, exact_dedup, licenses, packing, quality, secrets, urls
 
-MODULES = (exact_dedup, packing)
+MODULES = (decontaminate, secrets, licenses, exact_dedup, packing, quality, urls)
 
 
 def queries() -> dict:
