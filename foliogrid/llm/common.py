@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliogrid.functions.storage import materialize, shared_dir
+
+__all__ = ["SALTS", "ascii_lower", "materialize", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
 
@@ -18,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (local tests)."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="foliogrid-")
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     """A sub-key spread over ``salts`` values by the content of ``cols``."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
