@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliogrid.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, quality, secrets, urls
+from foliogrid.llm import decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, quality, secrets, urls
 
-MODULES = (decontaminate, secrets, licenses, exact_dedup, packing, near_dedup, quality, urls)
+MODULES = (decontaminate, secrets, licenses, line_dedup, exact_dedup, packing, near_dedup, quality, urls)
 
 
 def queries() -> dict:
