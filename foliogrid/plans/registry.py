@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliogrid.plans import q_core
+
 #: Modules with ``QUERIES`` (name -> callable) and ``ORACLES`` (name -> SQL).
-MODULES: tuple = ()
+MODULES: tuple = (q_core,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
