@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +24,10 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".png"
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
-    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+?)(\.[^./]*)?$", i)
+    plain = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/")
+    part = lambda i: F.regexp_extract("path", rf"\Q{plain}\E/([^/]+)/([^/]+?)(\.[^./]*)?$", i)
     out = files.select(part(1).alias("manga"), part(2).alias("stem"), part(3).alias("ext"), "path", "length")
-    return out.filter(F.lower("ext").isin(*suffixes)).orderBy("manga", "stem")
+    return out.filter((F.col("manga") != "") & F.lower("ext").isin(*suffixes)).orderBy("manga", "stem")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
