@@ -53,11 +53,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, one per text, with all their columns."""
-    stay = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__stay"))
-    rows = docs.withColumn("__sha", F.sha2(whole_text(text_col), 256))
-    hit = rows.join(stay, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__sha") == F.col("__stay")), "left_semi")
-    once = W.partitionBy(id_col, "__sha").orderBy(F.lit(0))
-    return hit.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n", "__sha")
+    key = lambda sha: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), sha)
+    stay = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(key(F.col("text_sha256")).alias("__key"))
+    hit = docs.withColumn("__key", key(F.sha2(whole_text(text_col), 256))).join(stay, "__key", "left_semi")
+    # rows that repeat identifier and text are together already
+    once = W.partitionBy("__key").orderBy(F.lit(0))
+    return hit.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
