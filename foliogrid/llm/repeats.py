@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -81,7 +82,7 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def chunks(texts: list[bytes], overlap: int, limit: int = CHUNK):
+def chunks(texts: list[bytes], overlap: int, limit: int):
     """Groups of pieces ``(text number, offset, bytes)`` of about ``limit`` bytes; pieces of one text overlap."""
     group, held = [], 0
     for i, text in enumerate(texts):
@@ -129,7 +130,7 @@ def _packed(start, offset, n):
     return (start << 16) | (offset << 8) | n
 
 
-def suffix_entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def suffix_entries(docs: DataFrame, length: int, gram: int, chunk: int = CHUNK) -> DataFrame:
     """``id, row, g, h, pos, again`` of every run of ``docs(id, row, body)``.
 
     ``again`` marks runs that repeat one of the same chunk; they are known to be repeats and their ``g`` is
@@ -141,7 +142,7 @@ def suffix_entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             order = batch.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for group in chunks(texts, length - 1):
+            for group in chunks(texts, length - 1, chunk):
                 found = anchored_runs(group, length, gram)
                 if found is None:
                     continue
@@ -158,6 +159,18 @@ def suffix_entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, row long, g long, h long, pos long, again boolean")
 
 
+@contextmanager
+def joined_within_buckets(spark: SparkSession):
+    """Lets joins on the anchor and more keys use that both sides are bucketed by the anchor."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LevelFamily:
     """Suffix-array levels as bucketed tables; sizes are powers of two in batches."""
 
@@ -166,8 +179,10 @@ class LevelFamily:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
+        """Every task has one bucket, so a level is one sorted file a bucket."""
         name = f"foliogrid_level_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name)
+        with joined_within_buckets(self.spark):
+            df.write.bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name)
         return name
 
     def insert(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,7 +352,7 @@ def second_pass(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, {RESULT}")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("body"))
@@ -350,7 +365,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         if i < len(cuts):
             part = part & ((F.col("id") <= cuts[i]) | (F.col("id").isNull() if i == 0 else F.lit(False)))
         family.settle()
-        known, edge = family.insert(suffix_entries(rows.filter(part), length, gram))
+        known, edge = family.insert(suffix_entries(rows.filter(part), length, gram, chunk))
         repeats, open_ = (known, edge) if repeats is None else (repeats.union(known), open_.union(edge))
     family.drop()
     lists = repeats.withColumn("open", F.lit(False)).union(open_.withColumn("open", F.lit(True)))
