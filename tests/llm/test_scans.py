@@ -1,0 +1,170 @@
+"""Secrets, licenses, URLs, quality and decontamination against plain code."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliogrid.llm import decontaminate as DC
+from foliogrid.llm import licenses as LI
+from foliogrid.llm import quality as Q
+from foliogrid.llm import secrets as SE
+from foliogrid.llm import urls as U
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string"
+
+BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+"))]
+
+
+def base_spans(text: str) -> list[tuple[int, int, str, int]]:
+    out = []
+    for k, (kind, pattern) in enumerate(BASE):
+        for m in pattern.finditer(text):
+            if len(m[2] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((m.start(), k, kind, m.end()))
+    return sorted(out)
+
+
+def secret_texts() -> list[str]:
+    rng = random.Random(7)
+    parts = ["token", "TOKEN", "Api_Key", "apikey", "secret", "passwd", "Password", " ", "  ", "=", ":", '"', "'", "abc", "secret=token: abcdefgh", "AKIA", "AKIAAKIA", "ABCDEFGH12345678", "é漢🙂", "\n", "0123456789abcdef", "deadbeef", "x-y_z/w+", ".", "ſecret", "toKen"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    texts = [*secret_texts(), "", None, "token = " + "a" * 70_000]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}") for i, t in enumerate(texts)], DOCS)
+    for r in SE.secret_report(docs).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        shown = [f"{kind}:{s}:{e}" for s, _, kind, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[2] == k for w in want) for k in ("assign", "access", "hex"))
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == shown
+
+
+def test_copied_and_live_secrets(spark):
+    docs = spark.createDataFrame([(i, f"token = abcdef0123XYZ and secret: Zq8{i}kLm2pQr9", "en", f"s{i % 4}") for i in range(8)] + [(None, "password=changeme99", None, None)], DOCS).withColumns({"row": F.lit(1), "k": F.lit("x"), "kind": F.lit(2)})
+    got = {r.doc_id: (r.n_assign, r.n_live, r.n_copied) for r in SE.secret_report(docs).collect()}
+    assert got == {**{i: (2, 1, 1) for i in range(8)}, None: (1, 0, 0)}
+    assert SE.secret_report(docs.limit(0)).count() == 0
+
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def test_license_places_equal_plain_words(spark):
+    rng = random.Random(3)
+    bits = ["MIT", "mit", "License", "license.", "apache-license", "General", "Public", "public", "é", "x9", "\n", ",", " ", "GENERAL PUBLIC LICENSE", "Ä"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", None, "mit license " * 9000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    for r in LI.license_scan(docs).collect():
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "")
+        words = WORD.findall(folded)
+        found = [(i, label) for phrase, label in LI.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in found})) and 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    assert LI.license_scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "label", "hit"), [
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0-notice", True), ("Licensed under the terms of the Apache License version 2", "apache-2.0-notice", True), ("Licensed under an Apache License, Version 2.0", "apache-2.0-notice", False),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-notice", True), ("Released under the MIT License.", "mit-notice", True), ("Released under MIT License", "mit-notice", False), ("licensed under CC BY-NC 4.0", "cc-by-nc-notice", True),
+])
+def test_templates_need_their_mandatory_wording(text, label, hit):
+    assert LI.Automaton(LI.TEMPLATES[label]).accepts(text.encode().translate(LI.FOLD).split(), next(i for i, w in enumerate(text.encode().translate(LI.FOLD).split()) if w in (b"licensed", b"released"))) is hit
+
+
+def test_url_rules_and_parts(spark):
+    cases = {
+        "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://EXAMPLE.NET/x?q#f": ("example.net", "/x", "net/", "block"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
+        "http://w.org/fr/x": ("w.org", "/fr/x", "org/fr/", "allow"), "http://a.net": ("a.net", "", None, None), "http://anet/": ("anet", "/", None, None), "a://b://c/d": ("b:", "//c/d", None, None), None: ("", "", None, None), "no host": ("", "", None, None), "x://h?a/b": ("h", "", None, None),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").withColumns({"label": F.lit("z"), "suffix": F.lit(1), "html": F.lit("h")})
+    got = {r.page_id: r for r in U.judge_urls(pages).collect()}
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict in ({verdict} if verdict else {"allow", "block"})
+    assert U.judge_urls(pages.limit(0)).count() == 0
+    assert {r.verdict for r in U.judge_urls(pages.filter("page_id = 0")).collect()} == {"allow"}
+
+
+def test_url_trees_find_junk_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = U.judge_urls(pages).filter("rule IS NULL AND host <> ''").withColumn("junk", F.col("host").rlike("spam|pills"))
+    hit = {(r.junk, r.verdict): r["count"] for r in out.groupBy("junk", "verdict").count().collect()}
+    assert hit.get((True, "block"), 0) > 10 * hit.get((True, "allow"), 0) and hit.get((False, "allow"), 0) > 20 * hit.get((False, "block"), 0)
+
+
+def test_quality_ranks_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = Q.score_documents(docs, Q.train(docs, labels)).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in scored)
+    good, bad = ([r.score for r in scored if r.held_out and r.quality == q] for q in (1, 0))
+    wins = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert wins > 0.97 and sum(g >= 0.3 for g in good) >= 0.95 * len(good)
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, "en", "s"), (2, "", "en", "s"), (None, "some text", None, None), (3, "w " * 60_000, "en", "s"), (3, "w " * 60_000, "en", "s")], DOCS).withColumns({"x": F.lit(1), "score": F.lit("a"), "quality": F.lit(9)})
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert Q.train(docs, none) is None and Q.train(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")) is None
+    assert {r.score for r in Q.score_documents(docs, None).collect()} == {0.5} and Q.keep_good(docs, None).count() == 5
+    model = Q.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = Q.score_documents(docs, model).collect()
+    assert len(rows) == 5 and rows[0].score == rows[1].score and rows[3].score == rows[4].score
+    assert {(r.doc_id, r.score >= 0.3) for r in rows if r.score >= 0.3} == {(r.doc_id, True) for r in Q.keep_good(docs, model).collect()}
+    assert Q.keep_good(docs.limit(0), model).count() == 0 and Q.keep_good(docs, model).columns == docs.columns
+
+
+def test_masks_meet_any_two_substitutions():
+    for bad in combinations(range(DC.SPAN), DC.SUBSTITUTIONS):
+        assert any(not {s + p for p in mask} & set(bad) for mask in DC.MASKS for s in range(DC.SPAN - mask[-1]))
+
+
+def words_of(text: str | None) -> list[str]:
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+
+
+def brute_overlaps(doc: list[str], item: list[str]) -> int | None:
+    """Equal words of the best alignment that has a good enough stretch."""
+    need = min(len(item), DC.SPAN)
+    allowed = DC.SUBSTITUTIONS if len(item) >= DC.SPAN else 0
+    if len(item) < len(DC.MASKS[0]) + 1:
+        return None
+    best = None
+    for shift in range(-len(item) + 1, len(doc)):
+        eq = [0 <= shift + p < len(doc) and doc[shift + p] == w for p, w in enumerate(item)]
+        if any(sum(eq[s : s + need]) >= need - allowed for s in range(len(item) - need + 1)):
+            best = max(best or 0, sum(eq))
+    return best
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_overlaps_equal_plain_alignment(spark, broadcast):
+    rng = random.Random(broadcast + 1)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 7, 9, 12, 13, 20, 30]))] for i in range(14)}
+    docs = {}
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        if i % 2:
+            part = list(items[rng.randrange(14)])
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = "sub"
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        docs[i] = words
+    d = spark.createDataFrame([(i, "  ".join(w).upper(), "en", "s") for i, w in docs.items()] + [(90, None, None, None), (91, "", "en", "s")], DOCS).withColumns({"i": F.lit(1), "h": F.lit(2), "seed": F.lit("x")})
+    b = spark.createDataFrame([(i, ", ".join(w)) for i, w in items.items()] + [(50, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in DC.contamination(d, b, broadcast_seeds=broadcast).collect()}
+    want = {(i, j): m for i, w in docs.items() for j, it in items.items() if (m := brute_overlaps(w, it)) is not None}
+    assert got == want and len(want) > 5
+    clean = DC.drop_contaminated(d, b, broadcast_seeds=broadcast)
+    assert {r.doc_id for r in clean.collect()} == {*docs, 90, 91} - {i for i, _ in want} and clean.columns == d.columns
+    assert DC.contamination(d.limit(0), b).count() == 0 and DC.contamination(d, b.limit(0)).count() == 0
