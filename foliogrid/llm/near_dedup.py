@@ -6,9 +6,9 @@ sets of similarity s share a key unless they agree on no hash of a collection: a
 for one pair, and far less for a group.
 
 Equal sets are one vertex. Within a key, members are first compared with its most central member only; the links
-so confirmed are contracted to components, and only members of different components go on to be compared. So a
-group of copies costs a comparison or two for each member, and no link between different sets is left out.
-Every link is confirmed on the full sets.
+so confirmed are contracted to components, and only members of keys that hold several components go on: exact
+prefix filters leave the few pairs of them that may still be links. So a group of copies costs a comparison or
+two for each member, and no link between different sets is left out. Every link is confirmed on the full sets.
 
 Defined results: a null or empty text, or one of white space, has no shingles and is linked with nothing; fewer
 words than a shingle make one shingle; equal sets are linked; rows that repeat an identifier are one vertex; a
@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.llm.common import materialize, slices, table
+from foliogrid.llm.setjoin import may_match, prefix_length, rare_first, rarity_sketch, viable
 from foliogrid.operators.graph import connected_components
 
 SIDE, ROWS = 12, 3
@@ -152,6 +153,34 @@ def _crossing(members: DataFrame, components: DataFrame) -> DataFrame:
     return named.withColumns({"c0": F.min("c").over(key), "c1": F.max("c").over(key)}).filter("c0 <> c1").drop("c0", "c1")
 
 
+def _crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets ``(id, s, c)`` of different components that prefix, length and places do not rule out.
+
+    Members of a component mostly share their frequent shingles; those of other components differ in rare ones,
+    so few pairs get this far however large the components are.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+    sketch = rarity_sketch(sets.select(F.explode("s").alias("token"), F.lit(1).alias("n")))
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column(2)
+            for lo in range(0, batch.num_rows, 256):
+                prefixes, sizes = [], []
+                for one in s.slice(lo, 256):
+                    keys = np.sort(rare_first(one.values.to_numpy().view(np.uint64), sketch.value))
+                    prefixes.append(keys[: prefix_length(np.array(len(keys)), percent)].astype(np.int64))
+                    sizes.append(len(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), batch.column(1).slice(lo, 256), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["h", "c", "n", "prefix"])
+
+    rows = sets.select("id", "c", "s").mapInArrow(run, f"h {kind}, c {kind}, n int, prefix array<long>")
+    token = W.partitionBy("token")
+    shared = viable(rows.select("h", "c", "n", F.posexplode("prefix").alias("i", "token")), percent).withColumns({"c0": F.min("c").over(token), "c1": F.max("c").over(token)})
+    members = materialize(shared.filter("c0 <> c1").select("token", F.col("h").alias("l"), "c", "n", "i"), "near-prefixes")
+    twin = members.select("token", F.col("l").alias("r"), F.col("c").alias("rc"), F.col("n").alias("m"), F.col("i").alias("j"))
+    return members.join(twin, "token").filter((F.col("c") < F.col("rc")) & may_match("n", "i", "m", "j", percent)).select("l", "r").distinct()
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``."""
     sigs = materialize(signatures(docs, shingle, id_col, text_col, side, rows), "near-signatures")
@@ -177,9 +206,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     other = materialize(other.filter("cl <> cr").select("l", "r"), "near-pairs")
     links = links.union(materialize(confirmed(other, full, percent), "near-links"))
     found = materialize(connected_components(links), "near-components")
-    rest = materialize(_crossing(members, found).select("key", "rep", "n", "c"), "near-rest")
-    twin = rest.select("key", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc"))
-    last = rest.join(twin, "key").filter((F.col("c") < F.col("rc")) & _compatible("n", "rn", percent)).select(F.col("rep").alias("l"), "r").distinct()
+    rest = _crossing(members, found).select(F.col("rep").alias("id"), "c").distinct()
+    last = _crossing_pairs(full.join(materialize(rest, "near-rest"), "id"), percent)
     tested = other.union(other.select("r", "l"))
     last = materialize(last.join(tested, ["l", "r"], "left_anti"), "near-pairs")
     links = links.union(materialize(confirmed(last, full, percent), "near-links"))
