@@ -1,16 +1,14 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered from rare to frequent; two sets of Jaccard similarity t share a
-word among their first few (prefix filter), at places that still allow enough common words (positional filter),
-and their sizes are alike (length filter). What passes is verified on the full sets. A line goes if an earlier
-line is similar enough; earlier means by identifier, then row, then line.
+A line is the set of its words. Prefix, positional and length filters of ``setjoin`` leave few pairs, which are
+verified on the full sets. A line goes if an earlier line is similar enough; earlier means by identifier, then
+row, then line.
 
 One earlier match is enough for a line to go, so within the lines that share a word each is first compared with
 its most central earlier line, then with a few before it, and only lines that are still open with all earlier
 ones. A group of near copies so costs a few comparisons a line; no line that has a match is missed.
 
-The order of words comes from their counts over all documents, of which the ``FREQUENT`` most frequent are told
-to all tasks; the others count as rare. Any order is exact, a better one is faster.
+The order of words comes from their counts over all documents.
 
 Defined results: a null or empty text is one empty line; lines without words are never removed and match nothing;
 equal sets match; A-Z equals a-z; a row that repeats an identifier comes after it, so its lines go; null
@@ -21,27 +19,31 @@ whole.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.llm.common import materialize, slices, table
 from foliogrid.llm.near_dedup import CACHE_WORDS, confirmed, mixed
+from foliogrid.llm.setjoin import may_match, prefix_length, rarity_sketch, viable
 
 PERCENT = 80
-FREQUENT = 65_536
 #: Distinct words that a task counts, and sets it remembers, before it hands them on.
 TASK_WORDS, TASK_SETS = 1_000_000, 1_000_000
+#: Earlier sets that each is tried with besides the most central one.
+BACK = 3
 #: Sets of fewer words are similar to equal sets only.
 LEAST_WORDS = 4
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``token, n``: occurrences of every word, as 64-bit hashes."""
+    """``token, n``: occurrences of words, as 64-bit hashes; a word has a row for each task at least."""
 
     def told(counts: Counter) -> pa.RecordBatch:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).astype(np.int64)
@@ -57,71 +59,80 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     counts.clear()
         yield told(counts)
 
-    return docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "token long, n long")
+
+
+class WordKeys(dict):
+    """Keys of words, made when first asked for."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.sketch = sketch
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        key = self[word] = (int(self.sketch[h & (len(self.sketch) - 1)]) << 56) | (h >> 8)
+        return key
 
 
 class LineSets:
     """Word sets of the lines of texts given as bytes, words in order of rarity."""
 
-    def __init__(self, frequent: list[tuple[int, int]], percent: int):
-        pairs = sorted((t % (1 << 64), n) for t, n in frequent)
-        self.tokens = np.array([t for t, _ in pairs] or [0], np.uint64)
-        counts = np.array([n for _, n in pairs] or [1], np.float64)
-        self.classes = np.clip(1 + 4 * np.log2(counts), 1, 255).astype(np.uint64)
-        self.percent, self.known = percent, {}
+    def __init__(self, sketch: np.ndarray, percent: int):
+        self.percent, self.known = percent, WordKeys(sketch)
 
     def __call__(self, texts: list[bytes]):
-        """``line counts, set sizes, digests, keys``; keys of one line are distinct and rare first."""
-        known, tokens, per_line, per_text = self.known, [], [], []
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        """``line counts, set sizes, digests, marks, keys, lines``; keys of one line are distinct and rare first.
+
+        The marks of a set are 64 parities of its words: sets differ in at least as many words as their marks in bits.
+        """
+        words, per_line, per_text = [], [], []
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
         for raw in texts:
-            lines = raw.lower().split(b"\n")
+            lines = [line.split() for line in raw.lower().split(b"\n")]
             per_text.append(len(lines))
-            for line in lines:
-                words = line.split()
-                per_line.append(len(words))
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh64_intdigest(w)
-                    tokens.append(h)
-        tokens, per_line = np.array(tokens, np.uint64), np.array(per_line)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        rank = np.where(self.tokens[at] == tokens, self.classes[at], np.uint64(0))
-        keys = (rank << np.uint64(56)) | (tokens >> np.uint64(8))
+            per_line += map(len, lines)
+            words += chain.from_iterable(lines)
+        keys = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         line = np.repeat(np.arange(len(per_line)), per_line)
-        order = np.lexsort((keys, line))
+        # by line, then key: one fast sort of a prefix of both unless it leaves unequal keys tied
+        brief = (line.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
+        order = np.argsort(brief)
+        brief, sorted_ = brief[order], keys[order]
+        if ((brief[1:] == brief[:-1]) & (sorted_[1:] != sorted_[:-1])).any() or len(per_line) >= 1 << 24:
+            order = np.lexsort((keys, line))
         keys, line = keys[order], line[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
         keys, line = keys[new], line[new]
         sizes = np.bincount(line, minlength=len(per_line))
-        digests = np.zeros(len(per_line), np.uint64)
+        digests, marks = np.zeros(len(per_line), np.uint64), np.zeros(len(per_line), np.uint64)
         full = sizes > 0
         if len(keys):
-            digests[full] = mixed(np.add.reduceat(mixed(keys), (np.cumsum(sizes) - sizes)[full]) + sizes[full].astype(np.uint64))
-        return per_text, sizes, digests.astype(np.int64), keys, line
+            starts = (np.cumsum(sizes) - sizes)[full]
+            digests[full] = mixed(np.add.reduceat(mixed(keys), starts) + sizes[full].astype(np.uint64))
+            marks[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), starts)
+        return per_text, sizes, digests.astype(np.int64), marks.astype(np.int64), keys, line
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
         """Words of a set of which a similar set has one."""
-        return np.where(sizes >= LEAST_WORDS, sizes - (sizes * self.percent + 99) // 100 + 1, 0)
+        return np.where(sizes >= LEAST_WORDS, prefix_length(sizes, self.percent), 0)
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def line_table(docs: DataFrame, frequent: list[tuple[int, int]], percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line, h, n, prefix`` of every line; a task gives the prefix of a set once."""
+def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, line, h, n, b, prefix, places`` of every line; a task gives the prefix of a set once."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sets, seen = LineSets(frequent, percent), set()
+        sets, seen = LineSets(sketch.value, percent), set()
         for batch in batches:
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for lo, hi in slices(raw):
-                per_text, sizes, digests, keys, line = sets(raw[lo:hi])
+                per_text, sizes, digests, marks, keys, line = sets(raw[lo:hi])
                 if len(seen) > TASK_SETS:
                     seen.clear()
                 fresh = np.zeros(len(sizes), bool)
@@ -131,25 +142,28 @@ def line_table(docs: DataFrame, frequent: list[tuple[int, int]], percent: int, i
                         fresh[i] = True
                 lengths = np.where(fresh, sets.prefix(sizes), 0)
                 place = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[line]
-                prefix = _lists(keys[place < lengths[line]], lengths)
+                # words of class 0 occur once in all documents and so in no other set
+                shared = (place < lengths[line]) & (keys >> np.uint64(56) > 0)
+                number = np.bincount(line[shared], minlength=len(sizes))
+                prefix, places = _lists(keys[shared], number), _lists(place[shared], number)
                 owner = np.repeat(np.arange(lo, hi), per_text)
                 numbers = np.concatenate([np.arange(k) for k in per_text])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(numbers.astype(np.int32)), pa.array(digests), pa.array(sizes.astype(np.int32)), prefix], ["id", "row", "line", "h", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(numbers.astype(np.int32)), pa.array(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), prefix, places], ["id", "row", "line", "h", "n", "b", "prefix", "places"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_col)
-    return rows.mapInArrow(run, f"id {kind}, row long, line int, h long, n int, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, row long, line int, h long, n int, b long, prefix array<long>, places array<long>")
 
 
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, frequent: list[tuple[int, int]], percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, s``: the words of the sets in ``wanted`` (``id`` of a document that has it, ``h``), each once."""
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, sketch: Broadcast, percent: int, text_col: str) -> DataFrame:
+    """``id, s``: the words of the sets in ``wanted`` (``row`` of a document that has it, ``h``), each once."""
 
     def run(batches):
-        sets = LineSets(frequent, percent)
+        sets = LineSets(sketch.value, percent)
         for batch in batches:
             raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             asked = batch.column(1).to_pylist()
             for lo, hi in slices(raw):
-                per_text, sizes, digests, keys, line = sets(raw[lo:hi])
+                per_text, sizes, digests, marks, keys, line = sets(raw[lo:hi])
                 need = set().union(*asked[lo:hi])
                 take, given = np.zeros(len(sizes), bool), set()
                 for i, h in enumerate(digests.tolist()):
@@ -158,57 +172,52 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, frequent: list[tuple[int, i
                         take[i] = True
                 yield pa.RecordBatch.from_arrays([pa.array(digests[take]), _lists(keys[take[line]], sizes[take])], ["id", "s"])
 
-    by_doc = wanted.groupBy("id").agg(F.collect_set("h").alias("asked"))
-    asked = docs.select(F.col(id_col).alias("__id"), text_col).join(by_doc, F.col("__id").eqNullSafe(F.col("id"))).select(text_col, "asked")
-    return asked.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
+    by_doc = wanted.groupBy("row").agg(F.collect_set("h").alias("asked"))
+    asked = docs.select(F.monotonically_increasing_id().alias("row"), text_col).join(by_doc, "row").select(text_col, "asked")
+    return asked.mapInArrow(run, "id long, s array<long>")
 
 
-def _may_match(n: str, i: str, m: str, j: str, percent: int) -> Column:
-    """Length and positional filter for sets of n and m words that share a word at places i and j."""
-    needed = (F.col(n) + F.col(m)) * percent
-    left = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (left * (100 + percent) >= needed)
+def _marks_allow(percent: int) -> Column:
+    """Sets of n and m words with marks b and d do not differ in too many words for the similarity."""
+    return F.bit_count(F.col("b").bitwiseXOR(F.col("d"))) * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, row, line, removed`` of every line."""
-    frequent = [(r.token, r.n) for r in word_counts(docs, text_col).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
-    lines = materialize(line_table(docs, frequent, percent, id_col, text_col), "lines")
+    sketch = rarity_sketch(word_counts(docs, text_col))
+    lines = materialize(line_table(docs, sketch, percent, id_col, text_col), "lines")
     place = F.struct("id", "row", "line")
     sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("first")), "line-sets")
-    # words in the prefix of two sets at least whose sizes allow a match
-    token = W.partitionBy("token")
-    by_size = token.orderBy("n", "h")
-    rows = lines.filter(F.size("prefix") > 0).select("h", "n", F.posexplode("prefix").alias("i", "token"))
-    once = rows.withColumn("before", F.lag("h").over(by_size)).filter("before IS NULL OR before <> h").drop("before")
-    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
-    shared = once.withColumns({"near": near, "size": F.count(F.lit(1)).over(token)}).filter("near").drop("near")
+    # words in the prefix of two sets at least whose sizes and places allow a match
+    rows = lines.filter(F.size("prefix") > 0).select("h", "n", "b", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("h", "n", "b", F.col("p.places").cast("int").alias("i"), F.col("p.prefix").alias("token"))
+    shared, token = viable(rows, percent), W.partitionBy("token")
     members = materialize(shared.join(sets, "h"), "line-members")
-    wanted = members.select("h", F.col("first.id").alias("id")).distinct()
-    full = materialize(_wanted_sets(docs, wanted, frequent, percent, id_col, text_col), "line-words")
     # the most central earlier set, then the three before, of all that share a word
     central = members.groupBy("h").agg(F.sum("size").alias("central"))
     by_place = token.orderBy("first", "h")
-    what = F.struct("central", "h", "n", "i")
-    tries = {"hub": F.max(what).over(by_place.rowsBetween(W.unboundedPreceding, -1))} | {f"back{k}": F.lag(what, k).over(by_place) for k in (1, 2, 3)}
-    tried = materialize(members.join(central, "h").withColumns(tries).select("h", "n", "i", *tries), "line-tries")
-
-    def pairs(*names: str) -> DataFrame:
-        each = tried.select("h", "n", "i", F.explode(F.array(*names)).alias("y")).filter("y IS NOT NULL")
-        flat = each.select(F.col("h").alias("l"), "n", "i", F.col("y.h").alias("r"), F.col("y.n").alias("m"), F.col("y.i").alias("j"))
-        return flat.filter(_may_match("n", "i", "m", "j", percent)).select("l", "r").distinct()
-
-    matched = materialize(confirmed(pairs("hub"), full, percent).select("l").distinct(), "line-matched")
-    step = pairs("back1", "back2", "back3").join(matched, "l", "left_anti")
-    matched = matched.union(materialize(confirmed(step, full, percent).select("l").distinct(), "line-matched"))
-    # what is still open, with all earlier sets
-    open_ = members.join(matched.withColumnRenamed("l", "h"), "h", "left_anti").select("token", F.col("h").alias("l"), "n", "i", "first")
-    others = members.select("token", F.col("h").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("earlier"))
-    rest = open_.join(others, "token").filter((F.col("earlier") < F.col("first")) & _may_match("n", "i", "m", "j", percent)).select("l", "r").distinct()
-    rest = rest.join(pairs("hub", "back1", "back2", "back3"), ["l", "r"], "left_anti")
-    matched = matched.union(materialize(confirmed(rest, full, percent).select("l").distinct(), "line-matched"))
+    what = F.struct("central", "h", "n", "i", "b")
+    tries = {"hub": F.max(what).over(by_place.rowsBetween(W.unboundedPreceding, -1))} | {f"back{k}": F.lag(what, k).over(by_place) for k in range(1, BACK + 1)}
+    tried = materialize(members.join(central, "h").withColumns(tries | {"nth": F.row_number().over(by_place)}).select("token", "h", "n", "i", "b", "first", "nth", F.array(*tries).alias("ys")), "line-tries")
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        """The later sets of the pairs that are similar; only sets of pairs are gathered."""
+        pairs = materialize(pairs.distinct(), "line-pairs")
+        ids = pairs.select(F.col("l").alias("h")).union(pairs.select("r")).distinct()
+        full = _wanted_sets(docs, ids.join(sets, "h").select("h", F.col("first.row").alias("row")), sketch, percent, text_col)
+        return materialize(confirmed(pairs, materialize(full, "line-words"), percent).select("l").distinct(), "line-matched")
+
+    each = tried.select(F.col("h").alias("l"), "n", "i", "b", F.explode("ys").alias("y")).filter("y IS NOT NULL")
+    each = each.select("l", "n", "i", "b", F.col("y.h").alias("r"), F.col("y.n").alias("m"), F.col("y.i").alias("j"), F.col("y.b").alias("d"))
+    may = may_match("n", "i", "m", "j", percent) & _marks_allow(percent)
+    first = materialize(each.filter(may).select("l", "r").distinct(), "line-first")
+    matched = matches(first)
+    # what is still open and had more earlier sets, with all of them
+    open_ = tried.filter(F.col("nth") > BACK + 1).join(matched.withColumnRenamed("l", "h"), "h", "left_anti").select("token", F.col("h").alias("l"), "n", "i", "b", "first")
+    others = tried.select("token", F.col("h").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.col("first").alias("earlier"))
+    rest = open_.join(others, "token").filter((F.col("earlier") < F.col("first")) & may).select("l", "r")
+    matched = matched.union(matches(rest.join(first, ["l", "r"], "left_anti")))
     known = materialize(sets.join(matched.select(F.col("l").alias("h"), F.lit(True).alias("near")), "h", "left"), "line-verdicts")
-    out = lines.drop("prefix").join(known, "h", "left")
+    out = lines.drop("prefix", "places", "b").join(known, "h", "left")
     removed = F.when(F.col("n") > 0, F.coalesce("near", F.lit(False)) | ~place.eqNullSafe(F.col("first"))).otherwise(False)
     return out.select("id", "row", "line", removed.alias("removed"))
 
