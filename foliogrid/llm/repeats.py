@@ -36,7 +36,7 @@ from foliogrid.llm.near_dedup import mixed
 
 LENGTH, GRAM, BATCHES = 100, 24, 4
 #: Bytes of text that a task works on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Windows of a block, and bytes that all windows of a block have.
 BLOCK = 8
 BASE = 0x9E3779B97F4A7C15
@@ -195,7 +195,7 @@ class LevelFamily:
         sorted_ = entries.repartition(self.buckets, "g").withColumn("nth", F.row_number().over(order))
         sorted_ = sorted_.withColumns({"known": F.col("again") | (F.col("nth") > 1), "shared": F.min("h").over(anchor) != F.max("h").over(anchor)})
         for _, name in self.levels:
-            level = self.spark.table(name)
+            level = self.spark.table(name).filter("NOT known")
             same = level.select("g", "h", F.lit(True).alias("has_run"))
             near = level.groupBy("g").agg(F.lit(True).alias("has_anchor"))
             sorted_ = sorted_.join(same, ["g", "h"], "left").join(near, "g", "left")
@@ -203,10 +203,11 @@ class LevelFamily:
         mine = self._write(sorted_.select("id", "row", "g", "h", "pos", "known", "shared"))
         batch = self.spark.table(mine)
         repeats = materialize(batch.filter("known").select("row", "pos"), "repeat-runs")
-        open_ = batch.filter("NOT known AND shared").select("row", "pos", "g")
+        own = batch.filter("NOT known AND shared")
+        open_, anchors = own.select("row", "pos"), own.select("g").distinct()
         for _, name in self.levels:
-            open_ = open_.union(self.spark.table(name).join(open_.select("g").distinct(), "g", "left_semi").select("row", "pos", "g"))
-        open_ = materialize(open_.select("row", "pos"), "open-runs")
+            open_ = open_.union(self.spark.table(name).filter("NOT known").join(anchors, "g", "left_semi").select("row", "pos"))
+        open_ = materialize(open_, "open-runs")
         self.levels.append((1, mine))
         return repeats, open_
 
@@ -356,7 +357,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("body"))
-    cuts = sorted(set(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)))
+    at = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", at, 0.01))) if at else []
     family, repeats, open_ = LevelFamily(spark), None, None
     for i in range(len(cuts) + 1):
         part = F.lit(True)
