@@ -60,7 +60,9 @@ class Automaton:
             else:
                 self.words.append(part.encode())
         self.first = self.words[0]
-        self.least = max((w for w in self.words if w), key=len)
+        # the longest word that no region lets skip; a text without it has no match
+        optional = {i for at, ends in self.skips.items() for i in range(at, max(ends))}
+        self.least = max((w for i, w in enumerate(self.words) if w and i not in optional), key=len, default=b"")
 
     def closed(self, states: set[int]) -> set[int]:
         """The states with all that optional regions let them reach."""

@@ -81,6 +81,19 @@ def test_templates_need_their_mandatory_wording(text, label, hit):
     assert LI.Automaton(LI.TEMPLATES[label]).accepts(text.encode().translate(LI.FOLD).split(), next(i for i, w in enumerate(text.encode().translate(LI.FOLD).split()) if w in (b"licensed", b"released"))) is hit
 
 
+def test_scans_find_templates_without_their_optional_wording(spark):
+    shown = {}
+    for label, template in LI.TEMPLATES.items():
+        some = re.sub(r"\{\{\d+\}\}", "any", template)
+        shown |= {(label, "without"): re.sub(r"\[\[.*?\]\]", "", some), (label, "with"): re.sub(r"\[\[|\]\]", "", some)}
+    texts = [*shown.values(), "Licensed under the GNU General Public License, version 3.", "a b"]
+    rows = {r.doc_id: r for r in LI.license_scan(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [key for i, key in enumerate(shown) if key[0] not in rows[i].labels.split(",") or rows[i].score != 1.0] == []
+    assert (rows[len(shown)].labels, rows[len(shown)].score) == ("gpl,gpl-notice", 1.0)
+    optional = LI.license_scan(spark.createDataFrame([(0, "so b it is", "en", "s"), (1, "so it is", "en", "s")], DOCS), templates={"all": "so [[longer b]] it", "none": "[[a]] [[b]]"})
+    assert [r.labels for r in optional.orderBy("doc_id").collect()] == ["", "all"]
+
+
 def test_url_rules_and_parts(spark):
     cases = {
         "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://EXAMPLE.NET/x?q#f": ("example.net", "/x", "net/", "block"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
