@@ -1,11 +1,13 @@
 """URL filters: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees are learnt from labelled URLs: the verdict of a rule where one fits, else block for hosts with a seed
-term and allow for others. At most ``FIT_ROWS`` labelled URLs are used, picked by hash; every URL is judged.
+term and allow for others. The trees are fitted on at most ``FIT_ROWS`` labelled URLs, picked by hash; counts and
+block rates of suffixes are those of all URLs with a host, and every URL is judged.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; equal URLs get equal
-verdicts; with no URL or a single label the verdict of all is that label (allow if there is none); an empty
-table gives an empty result; other columns are ignored.
+verdicts; with no URL or a single label the verdict of all is that label (allow if there is none), and a sample
+of a single label gives all URLs the block rate of the table; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ SEED_TERMS = ("spam", "pills", "casino", "viagra", "porn", "warez", "payday", "r
 
 #: Labelled URLs that the trees are fitted on, at most.
 FIT_ROWS = 20_000
+#: Bytes of suffix statistics up to which they are broadcast, and the part of all URLs from which a suffix is frequent.
+BROADCAST_BYTES = 8 << 20
+FREQUENT = 1 / 2000
 FEATURES = ("n_chars", "host_chars", "path_chars", "n_labels", "depth", "digit_ratio", "host_digit_ratio", "entropy", "n_params", "n_hyphens", "is_https", "has_www", "suffix_log_count", "suffix_block_rate")
 
 
@@ -58,8 +63,13 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
 
 
+def suffix_of(host: Column) -> Column:
+    """The last label of a host, null without a host."""
+    return F.when(host != "", F.substring_index(host, ".", -1))
+
+
 def lexical(urls: DataFrame) -> DataFrame:
-    """Adds the lexical features that one URL has by itself, and its suffix (the last label of the host)."""
+    """Adds the lexical features that one URL has by itself, and its suffix."""
     url, host, path = F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
     share = lambda c: F.coalesce(count(c, "[0-9]") / F.nullif(F.char_length(c), F.lit(0)), F.lit(0.0))
@@ -67,11 +77,25 @@ def lexical(urls: DataFrame) -> DataFrame:
         "*", F.char_length(url).cast("double").alias("n_chars"), F.char_length(host).cast("double").alias("host_chars"), F.char_length(path).cast("double").alias("path_chars"),
         count(host, r"[^.]+").alias("n_labels"), count(path, r"/[^/]").alias("depth"), share(url).alias("digit_ratio"), share(host).alias("host_digit_ratio"), entropy(url).alias("entropy"),
         count(url, r"[?&][^=&#]+=").alias("n_params"), count(host, "-").alias("n_hyphens"), url.startswith("https").cast("double").alias("is_https"), host.startswith("www.").cast("double").alias("has_www"),
-        F.substring_index(host, ".", -1).alias("suffix"),
+        suffix_of(host).alias("suffix"),
     )
 
 
-def judge_urls(pages: DataFrame, rules=RULES, seed_terms=SEED_TERMS, fit_rows: int = FIT_ROWS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def with_suffix_statistics(urls: DataFrame, stats: DataFrame, prior: float, total: int, small: bool) -> DataFrame:
+    """Adds the statistics of each URL's suffix. Those that are not small are shuffled, but for frequent suffixes, which are few."""
+    of = stats.select("suffix", F.log1p(F.col("n").cast("double")).alias("suffix_log_count"), ((F.col("blocked") + 10 * prior) / (F.col("n") + 10)).alias("suffix_block_rate"), "n")
+    if small:
+        known = urls.join(F.broadcast(of.drop("n")), "suffix", "left")
+    else:
+        often = of.filter(F.col("n") >= total * FREQUENT).drop("n")
+        seldom = of.filter(F.col("n") < total * FREQUENT).drop("n")
+        # URLs without a host have no statistics and are not gathered either
+        rest = urls.filter("suffix IS NOT NULL").join(F.broadcast(often.select("suffix")), "suffix", "left_anti").join(seldom.hint("merge"), "suffix")
+        known = urls.join(F.broadcast(often), "suffix").unionByName(rest).unionByName(urls.filter("suffix IS NULL"), allowMissingColumns=True)
+    return known.fillna({"suffix_log_count": 0.0, "suffix_block_rate": prior})
+
+
+def judge_urls(pages: DataFrame, rules=RULES, seed_terms=SEED_TERMS, fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per URL: ``id_col, host, path, rule, verdict, block_probability``."""
     host, path = parsed(F.col("url"))
     urls = pages.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
@@ -80,16 +104,19 @@ def judge_urls(pages: DataFrame, rules=RULES, seed_terms=SEED_TERMS, fit_rows: i
     for term in seed_terms:
         seeded = seeded | F.contains("host", F.lit(term))
     ruled = urls.withColumns({"rule": name, "ruled": verdict}).withColumn("label", (F.coalesce(F.col("ruled"), F.when(seeded, "block").otherwise("allow")) == "block").cast("double"))
-    # bounded by fit_rows: the sample, its suffix statistics and the model
-    sample = materialize(lexical(ruled.filter("host <> ''").orderBy(F.xxhash64("url", id_col)).limit(fit_rows)), "url-sample")
-    prior = sample.agg(F.avg("label")).first()[0]
-    if prior is None or prior in (0.0, 1.0):
-        judged = ruled.withColumn("block_probability", F.lit(float(prior or 0.0)))
+    hosted = ruled.filter("host <> ''")
+    # over all URLs; combined before it is shuffled
+    stats = materialize(hosted.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+    total, blocked, held = stats.agg(F.sum("n"), F.sum("blocked"), F.sum(F.octet_length("suffix") + 24)).first()
+    # bounded by fit_rows: the sample and the model
+    sample = materialize(lexical(hosted.orderBy(F.xxhash64("url", id_col)).limit(fit_rows)), "url-sample")
+    prior = blocked / total if total else 0.0
+    if sample.select("label").distinct().count() < 2:
+        judged = ruled.withColumn("block_probability", F.lit(prior))
     else:
-        stats = materialize(sample.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_log_count"), ((F.sum("label") + 10 * prior) / (F.count(F.lit(1)) + 10)).alias("suffix_block_rate")), "url-suffixes")
 
         def whole(df: DataFrame) -> DataFrame:
-            known = df.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_log_count": 0.0, "suffix_block_rate": prior})
+            known = with_suffix_statistics(df, stats, prior, total, held <= broadcast_bytes)
             return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
 
         model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, featuresCol="features", labelCol="label").fit(whole(sample).select("features", "label"))

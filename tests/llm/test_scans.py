@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -114,6 +116,31 @@ def test_url_trees_find_junk_hosts(spark):
     assert hit.get((True, "block"), 0) > 10 * hit.get((True, "allow"), 0) and hit.get((False, "allow"), 0) > 20 * hit.get((False, "block"), 0)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [U.BROADCAST_BYTES, 0])
+def test_url_suffix_statistics_cover_all_pages(spark, monkeypatch, broadcast_bytes):
+    hosts = [f"h{i}.spam{i % 3}.{'com' if i % 2 else f's{i % 40}'}" if i % 4 < 2 else f"h{i}.fine{i % 5}.{'com' if i % 2 else f's{i % 90}'}" for i in range(600)] + ["a.", "x"]
+    urls = [f"https://{h}/p/{i}" for i, h in enumerate(hosts)] + ["no host", None]
+    counts, blocked = Counter(h.split(".")[-1] for h in hosts), Counter(h.split(".")[-1] for h in hosts if "spam" in h)
+    seen, transform = [], U.VectorAssembler.transform
+
+    def spy(self, df, *args):
+        seen.append(df)
+        return transform(self, df, *args)
+
+    monkeypatch.setattr(U.VectorAssembler, "transform", spy)
+    monkeypatch.setattr(U, "FREQUENT", 0.1)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = U.judge_urls(pages, fit_rows=50, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted(r.page_id for r in out) == list(range(len(urls))) and len(seen) == 2
+    prior = sum(blocked.values()) / len(hosts)
+    assert seen[0].count() == 50
+    for df in seen:
+        for r in df.select("page_id", "suffix", "suffix_log_count", "suffix_block_rate").collect():
+            host = hosts[r.page_id] if r.page_id < len(hosts) else None
+            n, b = (counts[host.split(".")[-1]], blocked[host.split(".")[-1]]) if host else (0, 0)
+            assert (r.suffix_log_count, r.suffix_block_rate) == pytest.approx((math.log1p(n), (b + 10 * prior) / (n + 10)))
+
+
 def test_quality_ranks_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = Q.score_documents(docs, Q.train(docs, labels)).join(labels, "doc_id").collect()
