@@ -106,3 +106,15 @@ def test_ids_are_those_of_the_json_tokenizer(spark):
     t.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", " ", "\n\n\t x", "漢字 🙂", "<|endoftext|>", "don't  1234\u00a0x"]
     assert [encoder(default_vocabulary()).encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_have_the_ids_of_the_json_tokenizer_as_given(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext", "a<|endoftext|>'s 12", "plain text", "<|ENDOFTEXT|>"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], DOCS)
+    want = {i: np.array([*e.ids, 0], "<u4") for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in cut_pieces(docs).collect()} == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in want.items()}
