@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliogrid.functions.storage import materialize, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "materialize", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+__all__ = ["SALTS", "ascii_lower", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
 
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
@@ -24,6 +24,11 @@ def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """``id, row, body`` with a row number, written once: what is planned later has the same numbers."""
+    return materialize(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("body")), label, "zstd")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

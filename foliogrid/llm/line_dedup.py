@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import materialize, slices, table
+from foliogrid.llm.common import materialize, numbered, slices, table
 from foliogrid.llm.near_dedup import CACHE_WORDS, confirmed, mixed
 from foliogrid.llm.setjoin import may_match, prefix_length, rarity_sketch, viable
 
@@ -123,9 +123,9 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line, h, n, b, prefix, places`` of every line; a task gives the prefix of a set once."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def line_table(rows: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
+    """``id, row, line, h, n, b, prefix, places`` of every line of ``rows(id, row, body)``; a task gives the prefix of a set once."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         sets, seen = LineSets(sketch.value, percent), set()
@@ -150,11 +150,10 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
                 numbers = np.concatenate([np.arange(k) for k in per_text])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(numbers.astype(np.int32)), pa.array(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), prefix, places], ["id", "row", "line", "h", "n", "b", "prefix", "places"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_col)
     return rows.mapInArrow(run, f"id {kind}, row long, line int, h long, n int, b long, prefix array<long>, places array<long>")
 
 
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, sketch: Broadcast, percent: int, text_col: str) -> DataFrame:
+def _wanted_sets(rows: DataFrame, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
     """``id, s``: the words of the sets in ``wanted`` (``row`` of a document that has it, ``h``), each once."""
 
     def run(batches):
@@ -173,7 +172,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, sketch: Broadcast, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(digests[take]), _lists(keys[take[line]], sizes[take])], ["id", "s"])
 
     by_doc = wanted.groupBy("row").agg(F.collect_set("h").alias("asked"))
-    asked = docs.select(F.monotonically_increasing_id().alias("row"), text_col).join(by_doc, "row").select(text_col, "asked")
+    asked = rows.select("row", "body").join(by_doc, "row").select("body", "asked")
     return asked.mapInArrow(run, "id long, s array<long>")
 
 
@@ -184,8 +183,9 @@ def _marks_allow(percent: int) -> Column:
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, row, line, removed`` of every line."""
-    sketch = rarity_sketch(word_counts(docs, text_col))
-    lines = materialize(line_table(docs, sketch, percent, id_col, text_col), "lines")
+    texts = numbered(docs, id_col, text_col, "line-rows")
+    sketch = rarity_sketch(word_counts(texts, "body"))
+    lines = materialize(line_table(texts, sketch, percent), "lines")
     place = F.struct("id", "row", "line")
     sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("first")), "line-sets")
     # words in the prefix of two sets at least whose sizes and places allow a match
@@ -203,7 +203,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         """The later sets of the pairs that are similar; only sets of pairs are gathered."""
         pairs = materialize(pairs.distinct(), "line-pairs")
         ids = pairs.select(F.col("l").alias("h")).union(pairs.select("r")).distinct()
-        full = _wanted_sets(docs, ids.join(sets, "h").select("h", F.col("first.row").alias("row")), sketch, percent, text_col)
+        full = _wanted_sets(texts, ids.join(sets, "h").select("h", F.col("first.row").alias("row")), sketch, percent)
         return materialize(confirmed(pairs, materialize(full, "line-words"), percent).select("l").distinct(), "line-matched")
 
     each = tried.select(F.col("h").alias("l"), "n", "i", "b", F.explode("ys").alias("y")).filter("y IS NOT NULL")

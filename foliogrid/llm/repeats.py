@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import materialize, table, whole_text
+from foliogrid.llm.common import materialize, numbered, table, whole_text
 from foliogrid.llm.near_dedup import mixed
 
 LENGTH, GRAM, BATCHES = 100, 24, 4
@@ -356,9 +356,9 @@ def second_pass(docs: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("body"))
+    rows = numbered(docs, id_col, text_col, "repeat-rows").withColumn("body", whole_text("body"))
     at = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", at, 0.01))) if at else []
+    cuts = sorted(set(rows.filter("id IS NOT NULL").select(F.col("id").cast("double").alias("x")).approxQuantile("x", at, 0.01))) if at else []
     family, repeats, open_ = LevelFamily(spark), None, None
     for i in range(len(cuts) + 1):
         part = F.lit(True)

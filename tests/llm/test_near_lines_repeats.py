@@ -169,6 +169,30 @@ def test_repeats_equal_brute_force(spark, seed, batches, chunk):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("foliogrid_level")]
 
 
+@pytest.mark.parametrize("module", [LD, RP])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, monkeypatch, tmp_path, module):
+    rng, write, splits = random.Random(4), module.materialize, "spark.sql.files.minPartitionNum"
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(30)]
+    texts = ["\n".join(line + f" x{i}" for line in rng.sample(lines, 3)) for i in range(40)]
+    frame(spark, texts).repartition(10, "doc_id").write.parquet(str(tmp_path / "docs"))
+
+    def other_splits_after(*args):
+        out = write(*args)
+        spark.conf.set(splits, "1")
+        return out
+
+    monkeypatch.setattr(module, "materialize", other_splits_after)
+    spark.conf.set(splits, "16")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        if module is LD:
+            assert {r.doc_id: r.removed_lines for r in LD.line_report(docs).collect()} == {i: ",".join(map(str, g)) for i, g in brute_lines(list(enumerate(texts))).items()}
+        else:
+            assert sorted(tuple(r) for r in RP.remove_repeats(docs).collect()) == brute_repeats(list(enumerate(texts)), 100)
+    finally:
+        spark.conf.unset(splits)
+
+
 def test_repeats_of_repeated_rows_and_of_nothing(spark):
     text = "".join(random.Random(5).choice("abcdef") for _ in range(150))
     docs = frame(spark, [text, text], [4, 4]).coalesce(1)
