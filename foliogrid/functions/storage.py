@@ -23,3 +23,13 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
