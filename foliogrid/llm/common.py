@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliogrid.functions.storage import materialize, shared_dir
+from foliogrid.functions.storage import discard, materialize, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
 
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
@@ -29,6 +29,12 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFra
     return materialize(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("body")), label, "zstd")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{base}{i or ''}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

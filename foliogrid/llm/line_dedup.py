@@ -2,18 +2,20 @@
 
 A line is the set of its words. Prefix, positional and length filters of ``setjoin`` leave few pairs, which are
 verified on the full sets. A line goes if an earlier line is similar enough; earlier means by identifier, then
-row, then line.
+place in the input.
 
-One earlier match is enough for a line to go, so within the lines that share a word each is first compared with
-its most central earlier line, then with a few before it, and only lines that are still open with all earlier
-ones. A group of near copies so costs a few comparisons a line; no line that has a match is missed.
+One earlier match is enough for a line to go. The prefixes of all sets are sorted by word and place once; in that
+one pass each set is compared with the earlier sets of the word until ``TRIES`` of them pass all filters, so a
+group of near copies costs a few pairs a line. Only sets that no tried pair removed and that had more earlier sets
+than were looked at are joined with all of them.
 
-The order of words comes from their counts over all documents.
+The order of words comes from their counts over all documents. Words of more than a million occurrences are dealt
+over sub-keys in the first pass; what that pass leaves open is the join's, which splits hot words by itself.
 
 Defined results: a null or empty text is one empty line; lines without words are never removed and match nothing;
-equal sets match; A-Z equals a-z; a row that repeats an identifier comes after it, so its lines go; null
-identifiers come first; an empty table gives an empty result; other columns are ignored; long texts are read
-whole.
+equal sets match; A-Z equals a-z; a row that repeats an identifier comes after it in the order of the input, so its
+lines go; null identifiers come first; an empty table gives an empty result; other columns are ignored; long texts
+are read whole. The texts of ``docs`` are read twice more to verify and must then be the same, in any order.
 """
 
 from __future__ import annotations
@@ -24,22 +26,24 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import materialize, numbered, slices, table
+from foliogrid.llm.common import discard, free_name, materialize, slices, table
 from foliogrid.llm.near_dedup import CACHE_WORDS, confirmed, mixed
-from foliogrid.llm.setjoin import may_match, prefix_length, rarity_sketch, viable
+from foliogrid.llm.setjoin import may_match, prefix_length, rarity_sketch
 
 PERCENT = 80
 #: Distinct words that a task counts, and sets it remembers, before it hands them on.
 TASK_WORDS, TASK_SETS = 1_000_000, 1_000_000
-#: Earlier sets that each is tried with besides the most central one.
-BACK = 3
-#: Sets of fewer words are similar to equal sets only.
-LEAST_WORDS = 4
+#: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
+SCAN, TRIES = 4096, 2
+#: Rows of the first pass that a task works on at a time.
+ROWS = 1 << 18
+#: Sub-keys of words whose class of frequency is that of a million occurrences or more.
+HOT_CLASS, HOT_SALTS = 81, 64
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -62,6 +66,9 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "token long, n long")
 
 
+DIGEST_SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
+
+
 class WordKeys(dict):
     """Keys of words, made when first asked for."""
 
@@ -83,7 +90,7 @@ class LineSets:
     def __call__(self, texts: list[bytes]):
         """``line counts, set sizes, digests, marks, keys, lines``; keys of one line are distinct and rare first.
 
-        The marks of a set are 64 parities of its words: sets differ in at least as many words as their marks in bits.
+        A digest has 128 bits. The marks of a set are 64 parities of its words: sets differ in at least as many words as their marks in bits.
         """
         words, per_line, per_text = [], [], []
         if len(self.known) > CACHE_WORDS:
@@ -106,31 +113,44 @@ class LineSets:
         new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
         keys, line = keys[new], line[new]
         sizes = np.bincount(line, minlength=len(per_line))
-        digests, marks = np.zeros(len(per_line), np.uint64), np.zeros(len(per_line), np.uint64)
+        digests, marks = np.zeros((len(per_line), 2), np.uint64), np.zeros(len(per_line), np.uint64)
         full = sizes > 0
         if len(keys):
             starts = (np.cumsum(sizes) - sizes)[full]
-            digests[full] = mixed(np.add.reduceat(mixed(keys), starts) + sizes[full].astype(np.uint64))
+            for i, salt in enumerate(DIGEST_SALTS):
+                digests[full, i] = mixed(np.add.reduceat(mixed(keys ^ salt), starts) + sizes[full].astype(np.uint64))
             marks[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), starts)
-        return per_text, sizes, digests.astype(np.int64), marks.astype(np.int64), keys, line
+        return per_text, sizes, digests.view("V16").ravel(), marks.astype(np.int64), keys, line
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
-        """Words of a set of which a similar set has one."""
-        return np.where(sizes >= LEAST_WORDS, prefix_length(sizes, self.percent), 0)
+        """Words of a set of which a similar set has one; sets of few words are similar to equal ones only."""
+        return np.where(sizes * (100 - self.percent) >= self.percent, prefix_length(sizes, self.percent), 0)
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def line_table(rows: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
-    """``id, row, line, h, n, b, prefix, places`` of every line of ``rows(id, row, body)``; a task gives the prefix of a set once."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _binary(digests: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
+
+
+def _text_key(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, line, text_key, h, n, b, skip, prefix`` of every line; a task gives the prefix of a set once.
+
+    ``row + line`` numbers all lines; ``row`` is the number of a document's first line. The prefix leaves out the
+    ``skip`` words that occur once in all documents and so in no other set.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sets, seen = LineSets(sketch.value, percent), set()
+        sets, seen, number = LineSets(sketch.value, percent), set(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in slices(raw):
                 per_text, sizes, digests, marks, keys, line = sets(raw[lo:hi])
                 if len(seen) > TASK_SETS:
@@ -142,38 +162,46 @@ def line_table(rows: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
                         fresh[i] = True
                 lengths = np.where(fresh, sets.prefix(sizes), 0)
                 place = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[line]
-                # words of class 0 occur once in all documents and so in no other set
-                shared = (place < lengths[line]) & (keys >> np.uint64(56) > 0)
-                number = np.bincount(line[shared], minlength=len(sizes))
-                prefix, places = _lists(keys[shared], number), _lists(place[shared], number)
-                owner = np.repeat(np.arange(lo, hi), per_text)
-                numbers = np.concatenate([np.arange(k) for k in per_text])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(numbers.astype(np.int32)), pa.array(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), prefix, places], ["id", "row", "line", "h", "n", "b", "prefix", "places"])
-
-    return rows.mapInArrow(run, f"id {kind}, row long, line int, h long, n int, b long, prefix array<long>, places array<long>")
-
-
-def _wanted_sets(rows: DataFrame, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
-    """``id, s``: the words of the sets in ``wanted`` (``row`` of a document that has it, ``h``), each once."""
+                inside = place < lengths[line]
+                shared = inside & (keys >> np.uint64(56) > 0)
+                taken = np.bincount(line[shared], minlength=len(sizes))
+                skip = np.bincount(line[inside], minlength=len(sizes)) - taken
+                owner, counts = np.repeat(np.arange(lo, hi), per_text), np.array(per_text)
+                rows = number + np.cumsum(counts) - counts
+                number += int(counts.sum())
+                numbers = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                text_key = np.repeat(np.array([_text_key(t) for t in raw[lo:hi]], np.int64), counts)
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), pa.array(text_key), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>")
+
+
+def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
+    """``id, s``: the words of the sets in ``wanted`` (``text_key`` of a document that has it, ``asked`` digests), each once."""
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_text_key(t) for t in raw], pa.int64()), pa.array(list(map(pack, raw)), pa.binary())], ["text_key", "body"])
 
     def run(batches):
-        sets = LineSets(sketch.value, percent)
+        sets, unpack = LineSets(sketch.value, percent), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            asked = batch.column(1).to_pylist()
-            for lo, hi in slices(raw):
-                per_text, sizes, digests, marks, keys, line = sets(raw[lo:hi])
-                need = set().union(*asked[lo:hi])
-                take, given = np.zeros(len(sizes), bool), set()
+            bodies, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, (body, need) in enumerate(zip(bodies, asked, strict=True)):
+                per_text, sizes, digests, marks, keys, line = sets([unpack(body)])
+                need, take = set(need), np.zeros(len(sizes), bool)
                 for i, h in enumerate(digests.tolist()):
-                    if h in need and h not in given:
-                        given.add(h)
+                    if h in need:
+                        need.remove(h)
                         take[i] = True
-                yield pa.RecordBatch.from_arrays([pa.array(digests[take]), _lists(keys[take[line]], sizes[take])], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([_binary(digests[take]), _lists(keys[take[line]], sizes[take])], ["id", "s"])
 
-    by_doc = wanted.groupBy("row").agg(F.collect_set("h").alias("asked"))
-    asked = rows.select("row", "body").join(by_doc, "row").select("body", "asked")
-    return asked.mapInArrow(run, "id long, s array<long>")
+    # texts travel compressed; a small table of what is wanted is broadcast by its size
+    bodies = docs.select(text_col).mapInArrow(packed, "text_key long, body binary").join(wanted, "text_key").select("body", "asked")
+    return bodies.mapInArrow(run, "id binary, s array<long>").dropDuplicates(["id"])
 
 
 def _marks_allow(percent: int) -> Column:
@@ -181,44 +209,108 @@ def _marks_allow(percent: int) -> Column:
     return F.bit_count(F.col("b").bitwiseXOR(F.col("d"))) * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """``token, id, number, n, i, b``: one row for each word of a prefix and its place in the set."""
+    each = lines.filter(F.size("prefix") > 0).select("id", (F.col("row") + F.col("line")).alias("number"), "n", "b", "skip", F.posexplode("prefix").alias("p", "token"))
+    return each.select("token", "id", "number", "n", (F.col("skip") + F.col("p")).alias("i"), "b")
+
+
+def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES) -> DataFrame:
+    """``l, r, more``: pairs of a set and an earlier one of the same word that pass all filters, at most ``tries`` a set and word.
+
+    ``more`` (with or without a pair) tells that not all earlier sets of the word have been looked at. One sort by
+    word and place; what a task holds of a word are its first ``scan`` sets.
+    """
+
+    def run(batches):
+        held, waiting, n_waiting = None, [], 0
+
+        def work(last: bool):
+            nonlocal held, waiting, n_waiting
+            parts = ([held] if held is not None else []) + waiting
+            old = len(held[0]) if held is not None else 0
+            g, number, b, ni = (np.concatenate(c) for c in zip(*parts, strict=True))
+            n, i = ni >> 32, ni & 0xFFFFFFFF
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            first = np.repeat(begin, np.diff(np.append(begin, len(g))))
+            pos = np.arange(len(g)) - first
+            count, l, r, more = np.zeros(len(g), np.int64), [], [], []
+            left = np.flatnonzero(pos > 0)
+            left = left[left >= old]
+            for j in range(scan):
+                if not len(left):
+                    break
+                e = first[left] + j
+                small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
+                ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
+                ok &= np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent) <= total * (100 - percent)
+                hit = left[ok]
+                count[hit] += 1
+                l.append(number[hit])
+                r.append(number[e[ok]])
+                more.append((count[hit] == tries) & (pos[hit] > j + 1))
+                left = left[(pos[left] > j + 1) & (count[left] < tries)]
+            # looked at the first ones only, or at those of the same sub-key only
+            part = np.arange(len(g)) >= old
+            part &= (count < tries) & ((pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS))
+            l.append(number[part])
+            columns = [np.concatenate(l), np.concatenate([*r, number[part]]), np.concatenate([*more, np.ones(int(part.sum()), bool)])]
+            # the word that goes on: its first sets
+            at = begin[-1]
+            held = None if last else tuple(c[at : at + scan].copy() for c in (g, number, b, ni))
+            waiting, n_waiting = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["l", "r", "more"])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+                n_waiting += batch.num_rows
+                if n_waiting >= ROWS:
+                    yield work(False)
+        if waiting:
+            yield work(True)
+
+    hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
+    low = F.xxhash64("token", F.pmod(F.xxhash64("number"), F.lit(HOT_SALTS))).bitwiseAND((1 << 56) - 1)
+    dealt = rows.select(F.when(hot, F.col("token").bitwiseAND(-1 << 56).bitwiseOR(low)).otherwise(F.col("token")).alias("g"), "id", "number", "b", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("ni"))
+    placed = dealt.repartition("g").sortWithinPartitions("g", "id", "number").select("g", "number", "b", "ni")
+    return placed.mapInArrow(run, "l long, r long, more boolean").distinct()
+
+
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, row, line, removed`` of every line."""
-    texts = numbered(docs, id_col, text_col, "line-rows")
-    sketch = rarity_sketch(word_counts(texts, "body"))
-    lines = materialize(line_table(texts, sketch, percent), "lines")
-    place = F.struct("id", "row", "line")
-    sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("first")), "line-sets")
-    # words in the prefix of two sets at least whose sizes and places allow a match
-    rows = lines.filter(F.size("prefix") > 0).select("h", "n", "b", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("h", "n", "b", F.col("p.places").cast("int").alias("i"), F.col("p.prefix").alias("token"))
-    shared, token = viable(rows, percent), W.partitionBy("token")
-    members = materialize(shared.join(sets, "h"), "line-members")
-    # the most central earlier set, then the three before, of all that share a word
-    central = members.groupBy("h").agg(F.sum("size").alias("central"))
-    by_place = token.orderBy("first", "h")
-    what = F.struct("central", "h", "n", "i", "b")
-    tries = {"hub": F.max(what).over(by_place.rowsBetween(W.unboundedPreceding, -1))} | {f"back{k}": F.lag(what, k).over(by_place) for k in range(1, BACK + 1)}
-    tried = materialize(members.join(central, "h").withColumns(tries | {"nth": F.row_number().over(by_place)}).select("token", "h", "n", "i", "b", "first", "nth", F.array(*tries).alias("ys")), "line-tries")
+    sketch = rarity_sketch(word_counts(docs, text_col))
+    lines = materialize(line_table(docs, sketch, percent, id_col, text_col), "lines")
+    number = F.col("row") + F.col("line")
+    sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(F.struct("id", number.alias("number"))).alias("first")).select("h", F.col("first.number").alias("first")), "line-sets")
+    rows = prefix_rows(lines)
+    found = materialize(earlier_candidates(rows, percent), "line-candidates")
+    # only the first line of a set counts: the others go anyway
+    found = materialize(found.join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-firsts")
 
     def matches(pairs: DataFrame) -> DataFrame:
-        """The later sets of the pairs that are similar; only sets of pairs are gathered."""
-        pairs = materialize(pairs.distinct(), "line-pairs")
-        ids = pairs.select(F.col("l").alias("h")).union(pairs.select("r")).distinct()
-        full = _wanted_sets(texts, ids.join(sets, "h").select("h", F.col("first.row").alias("row")), sketch, percent)
-        return materialize(confirmed(pairs, materialize(full, "line-words"), percent).select("l").distinct(), "line-matched")
-
-    each = tried.select(F.col("h").alias("l"), "n", "i", "b", F.explode("ys").alias("y")).filter("y IS NOT NULL")
-    each = each.select("l", "n", "i", "b", F.col("y.h").alias("r"), F.col("y.n").alias("m"), F.col("y.i").alias("j"), F.col("y.b").alias("d"))
-    may = may_match("n", "i", "m", "j", percent) & _marks_allow(percent)
-    first = materialize(each.filter(may).select("l", "r").distinct(), "line-first")
-    matched = matches(first)
-    # what is still open and had more earlier sets, with all of them
-    open_ = tried.filter(F.col("nth") > BACK + 1).join(matched.withColumnRenamed("l", "h"), "h", "left_anti").select("token", F.col("h").alias("l"), "n", "i", "b", "first")
-    others = tried.select("token", F.col("h").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.col("first").alias("earlier"))
-    rest = open_.join(others, "token").filter((F.col("earlier") < F.col("first")) & may).select("l", "r")
-    matched = matched.union(matches(rest.join(first, ["l", "r"], "left_anti")))
-    known = materialize(sets.join(matched.select(F.col("l").alias("h"), F.lit(True).alias("near")), "h", "left"), "line-verdicts")
-    out = lines.drop("prefix", "places", "b").join(known, "h", "left")
-    removed = F.when(F.col("n") > 0, F.coalesce("near", F.lit(False)) | ~place.eqNullSafe(F.col("first"))).otherwise(False)
+        """Digests of the sets whose line ``l`` is similar to line ``r`` of some pair."""
+        pairs = materialize(pairs.filter("l <> r").select("l", "r").distinct(), "line-pairs")
+        asked = pairs.select(F.col("l").alias("number")).union(pairs.select("r")).distinct()
+        named = materialize(lines.select(number.alias("number"), "h", "text_key").join(asked, "number"), "line-names")
+        wanted = named.groupBy("h").agg(F.min("text_key").alias("text_key")).groupBy("text_key").agg(F.collect_set("h").alias("asked"))
+        full = materialize(_wanted_sets(docs, text_col, materialize(wanted, "line-wanted"), sketch, percent), "line-words")
+        by_set = pairs.join(named.select(F.col("number").alias("l"), F.col("h").alias("x")), "l").join(named.select(F.col("number").alias("r"), F.col("h").alias("y")), "r")
+        out = materialize(confirmed(by_set.filter("x <> y").select(F.col("x").alias("l"), F.col("y").alias("r")).distinct(), full, percent).select("l").distinct(), "line-matched")
+        discard(pairs, named, full)
+        return out
+
+    matched = matches(found)
+    open_ = materialize(found.filter("more").select("h", F.col("l").alias("number")).distinct().join(matched.withColumnRenamed("l", "h"), "h", "left_anti"), "line-open")
+    if not open_.isEmpty():
+        mine = rows.join(open_.select("number"), "number").select("token", F.col("number").alias("l"), "n", "i", "b", F.struct("id", "number").alias("place"))
+        others = rows.select("token", F.col("number").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.struct("id", "number").alias("earlier"))
+        rest = mine.join(others, "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent)).select("l", "r").distinct()
+        matched = matched.union(matches(rest.join(found.select("l", "r"), ["l", "r"], "left_anti")))
+    known = materialize(sets.join(matched.select(F.col("l").alias("h"), F.lit(True).alias("near")).distinct(), "h", "left"), "line-verdicts")
+    discard(sets, found, open_)
+    out = lines.select("id", "row", "line", "h", "n").join(known, "h", "left")
+    removed = F.when(F.col("n") > 0, F.coalesce("near", F.lit(False)) | (number != F.col("first"))).otherwise(False)
     return out.select("id", "row", "line", removed.alias("removed"))
 
 
@@ -231,9 +323,10 @@ def line_report(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
 def without_lines(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the reported lines taken out of their texts; identifiers are taken to be distinct."""
-    gone = report.select(F.col(id_col).alias("__id"), F.split("removed_lines", ",").alias("__gone"))
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("string")))
+    key, gone = free_name(docs, "key"), free_name(docs, "gone")
+    known = report.select(F.col(id_col).alias(key), F.split("removed_lines", ",").alias(gone))
+    rows = docs.join(known, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i.cast("string")))
     return rows.withColumn(text_col, F.array_join(kept, "\n")).select(*docs.columns)
 
 

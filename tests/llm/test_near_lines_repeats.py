@@ -194,14 +194,16 @@ def test_rows_keep_their_numbers_when_files_are_split_anew(spark, monkeypatch, t
 
 
 def test_repeats_of_repeated_rows_and_of_nothing(spark):
-    text = "".join(random.Random(5).choice("abcdef") for _ in range(150))
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdef") for _ in range(150))
     docs = frame(spark, [text, text], [4, 4]).coalesce(1)
     assert sorted(r.n_removed for r in RP.remove_repeats(docs).collect()) == [0, 150]
     assert RP.remove_repeats(docs.limit(0)).count() == 0
 
 
 def test_levels_merge_geometrically(spark):
-    text = lambda k: "".join(random.Random(k).choice("abcdefgh") for _ in range(400))
+    rngs = [random.Random(k) for k in range(6)]
+    text = lambda k: "".join(rngs[k].choice("abcdefgh") for _ in range(400))
     family, sizes = RP.LevelFamily(spark), []
     for k in range(6):
         docs = frame(spark, [text(k)], [k]).select(F.col("doc_id").alias("id"), F.lit(k).cast("long").alias("row"), "text")
