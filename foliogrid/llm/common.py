@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from foliogrid.functions.storage import discard, materialize, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "lookup", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
 
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
 
+#: Bytes up to which a written table is broadcast; beyond them it is shuffled.
+BROADCAST_BYTES = 32 << 20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lookup(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table for the small side of a join: to be broadcast if its rows are few enough."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
 def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     """A sub-key spread over ``salts`` values by the content of ``cols``."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")

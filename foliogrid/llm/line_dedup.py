@@ -5,9 +5,9 @@ verified on the full sets. A line goes if an earlier line is similar enough; ear
 place in the input.
 
 One earlier match is enough for a line to go. The prefixes of all sets are sorted by word and place once; in that
-one pass each set is compared with the earlier sets of the word until ``TRIES`` of them pass all filters, so a
-group of near copies costs a few pairs a line. Only sets that no tried pair removed and that had more earlier sets
-than were looked at are joined with all of them.
+one pass each set is compared with the earlier sets of the word until one passes all filters, so a group of near
+copies costs a few pairs a line. Only sets that no such pair removed and that had more earlier sets than were looked
+at are joined with all of them.
 
 The order of words comes from their counts over all documents. Words of more than a million occurrences are dealt
 over sub-keys in the first pass; what that pass leaves open is the join's, which splits hot words by itself.
@@ -20,9 +20,6 @@ are read whole. The texts of ``docs`` are read twice more to verify and must the
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,15 +28,16 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import discard, free_name, materialize, slices, table
-from foliogrid.llm.near_dedup import CACHE_WORDS, confirmed, mixed
-from foliogrid.llm.setjoin import may_match, prefix_length, rarity_sketch
+from foliogrid.llm.common import discard, free_name, lookup, materialize, slices, table
+from foliogrid.llm.near_dedup import confirmed
+from foliogrid.llm.setjoin import SKETCH_BITS, may_match, prefix_length, rare_first, rarity_sketch
+from foliogrid.llm.words import mixed, word_hashes
 
 PERCENT = 80
-#: Distinct words that a task counts, and sets it remembers, before it hands them on.
-TASK_WORDS, TASK_SETS = 1_000_000, 1_000_000
-#: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
-SCAN, TRIES = 4096, 2
+#: Words that a task counts, and sets it remembers, before it hands them on.
+TASK_WORDS, TASK_SETS = 4_000_000, 1_000_000
+#: Earlier sets of a word that the first pass looks at; the join does the rest.
+SCAN = 4096
 #: Rows of the first pass that a task works on at a time.
 ROWS = 1 << 18
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
@@ -47,21 +45,23 @@ HOT_CLASS, HOT_SALTS = 81, 64
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``token, n``: occurrences of words, as 64-bit hashes; a word has a row for each task at least."""
+    """``token, n``: occurrences of words by bucket of the sketch; a word has a row for each task at least."""
 
-    def told(counts: Counter) -> pa.RecordBatch:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        buckets, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0), np.empty(0))
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     def run(batches):
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for raw in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update((raw or b"").lower().split())
-                if len(counts) > TASK_WORDS:
-                    yield told(counts)
-                    counts.clear()
-        yield told(counts)
+            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for lo, hi in slices(raw):
+                held.append((word_hashes(raw[lo:hi])[0] & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
+                size += len(held[-1])
+                if size > TASK_WORDS:
+                    yield told(held)
+                    held, size = [], 0
+        yield told(held)
 
     return docs.select(text_col).mapInArrow(run, "token long, n long")
 
@@ -69,58 +69,40 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 DIGEST_SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
 
 
-class WordKeys(dict):
-    """Keys of words, made when first asked for."""
-
-    def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        key = self[word] = (int(self.sketch[h & (len(self.sketch) - 1)]) << 56) | (h >> 8)
-        return key
-
-
 class LineSets:
     """Word sets of the lines of texts given as bytes, words in order of rarity."""
 
     def __init__(self, sketch: np.ndarray, percent: int):
-        self.percent, self.known = percent, WordKeys(sketch)
+        self.percent, self.sketch = percent, sketch
 
     def __call__(self, texts: list[bytes]):
         """``line counts, set sizes, digests, marks, keys, lines``; keys of one line are distinct and rare first.
 
-        A digest has 128 bits. The marks of a set are 64 parities of its words: sets differ in at least as many words as their marks in bits.
+        A digest has 128 bits. The marks of a set are 64 parities of its words: sets differ in at least as many
+        words as their marks in bits.
         """
-        words, per_line, per_text = [], [], []
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for raw in texts:
-            lines = [line.split() for line in raw.lower().split(b"\n")]
-            per_text.append(len(lines))
-            per_line += map(len, lines)
-            words += chain.from_iterable(lines)
-        keys = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        line = np.repeat(np.arange(len(per_line)), per_line)
+        hashes, starts, buffer = word_hashes(texts)
+        keys, breaks = rare_first(hashes, self.sketch), np.flatnonzero(buffer == 10)
+        line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))
         # by line, then key: one fast sort of a prefix of both unless it leaves unequal keys tied
         brief = (line.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
-        order = np.argsort(brief)
+        order = np.argsort(brief, kind="stable")
         brief, sorted_ = brief[order], keys[order]
-        if ((brief[1:] == brief[:-1]) & (sorted_[1:] != sorted_[:-1])).any() or len(per_line) >= 1 << 24:
+        if ((brief[1:] == brief[:-1]) & (sorted_[1:] != sorted_[:-1])).any() or len(breaks) >= 1 << 24:
             order = np.lexsort((keys, line))
         keys, line = keys[order], line[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
         keys, line = keys[new], line[new]
-        sizes = np.bincount(line, minlength=len(per_line))
-        digests, marks = np.zeros((len(per_line), 2), np.uint64), np.zeros(len(per_line), np.uint64)
+        sizes = np.bincount(line, minlength=len(breaks))
+        digests, marks = np.zeros((len(breaks), 2), np.uint64), np.zeros(len(breaks), np.uint64)
         full = sizes > 0
         if len(keys):
-            starts = (np.cumsum(sizes) - sizes)[full]
+            first = (np.cumsum(sizes) - sizes)[full]
             for i, salt in enumerate(DIGEST_SALTS):
-                digests[full, i] = mixed(np.add.reduceat(mixed(keys ^ salt), starts) + sizes[full].astype(np.uint64))
-            marks[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), starts)
-        return per_text, sizes, digests.view("V16").ravel(), marks.astype(np.int64), keys, line
+                digests[full, i] = mixed(np.add.reduceat(mixed(keys ^ salt), first) + sizes[full].astype(np.uint64))
+            marks[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), first)
+        return [t.count(b"\n") + 1 for t in texts], sizes, digests.view("V16").ravel(), marks.astype(np.int64), keys, line
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
         """Words of a set of which a similar set has one; sets of few words are similar to equal ones only."""
@@ -178,7 +160,7 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
 
 
 def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
-    """``id, s``: the words of the sets in ``wanted`` (``text_key`` of a document that has it, ``asked`` digests), each once."""
+    """``id, s``: the words of the lines in ``wanted`` (``text_key`` of a document, ``asked`` lines) by digest, each once."""
 
     def packed(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -189,18 +171,16 @@ def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broa
     def run(batches):
         sets, unpack = LineSets(sketch.value, percent), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            bodies, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, (body, need) in enumerate(zip(bodies, asked, strict=True)):
-                per_text, sizes, digests, marks, keys, line = sets([unpack(body)])
-                need, take = set(need), np.zeros(len(sizes), bool)
-                for i, h in enumerate(digests.tolist()):
-                    if h in need:
-                        need.remove(h)
-                        take[i] = True
-                yield pa.RecordBatch.from_arrays([_binary(digests[take]), _lists(keys[take[line]], sizes[take])], ["id", "s"])
-
-    # texts travel compressed; a small table of what is wanted is broadcast by its size
-    bodies = docs.select(text_col).mapInArrow(packed, "text_key long, body binary").join(wanted, "text_key").select("body", "asked")
+            held = []
+            for body, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = unpack(body).split(b"\n")
+                held += [lines[k] for k in asked]
+            for lo, hi in slices(held):
+                _, sizes, digests, _, keys, _ = sets(held[lo:hi])
+                yield pa.RecordBatch.from_arrays([_binary(digests), _lists(keys, sizes)], ["id", "s"])
+
+    # texts travel compressed, and only if what is wanted is too much to broadcast
+    bodies = docs.select(text_col).mapInArrow(packed, "text_key long, body binary").join(lookup(wanted, 64), "text_key").select("body", "asked")
     return bodies.mapInArrow(run, "id binary, s array<long>").dropDuplicates(["id"])
 
 
@@ -215,26 +195,25 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
     return each.select("token", "id", "number", "n", (F.col("skip") + F.col("p")).alias("i"), "b")
 
 
-def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES) -> DataFrame:
-    """``l, r, more``: pairs of a set and an earlier one of the same word that pass all filters, at most ``tries`` a set and word.
+def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN) -> DataFrame:
+    """``l, r, more``: a set and the first earlier one of the same word that passes all filters, for each word.
 
-    ``more`` (with or without a pair) tells that not all earlier sets of the word have been looked at. One sort by
-    word and place; what a task holds of a word are its first ``scan`` sets.
+    ``more`` tells that not all earlier sets of the word have been looked at; rows of which only this is known have
+    ``r = l``. One sort by word and place; what a task holds of a word are its first ``scan`` sets.
     """
 
     def run(batches):
-        held, waiting, n_waiting = None, [], 0
+        held, waiting, size = None, [], 0
 
-        def work(last: bool):
-            nonlocal held, waiting, n_waiting
+        def work():
+            nonlocal held
             parts = ([held] if held is not None else []) + waiting
             old = len(held[0]) if held is not None else 0
             g, number, b, ni = (np.concatenate(c) for c in zip(*parts, strict=True))
             n, i = ni >> 32, ni & 0xFFFFFFFF
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             first = np.repeat(begin, np.diff(np.append(begin, len(g))))
-            pos = np.arange(len(g)) - first
-            count, l, r, more = np.zeros(len(g), np.int64), [], [], []
+            pos, match = np.arange(len(g)) - first, np.full(len(g), -1)
             left = np.flatnonzero(pos > 0)
             left = left[left >= old]
             for j in range(scan):
@@ -244,37 +223,32 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
                 small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
                 ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
                 ok &= np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent) <= total * (100 - percent)
-                hit = left[ok]
-                count[hit] += 1
-                l.append(number[hit])
-                r.append(number[e[ok]])
-                more.append((count[hit] == tries) & (pos[hit] > j + 1))
-                left = left[(pos[left] > j + 1) & (count[left] < tries)]
-            # looked at the first ones only, or at those of the same sub-key only
-            part = np.arange(len(g)) >= old
-            part &= (count < tries) & ((pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS))
-            l.append(number[part])
-            columns = [np.concatenate(l), np.concatenate([*r, number[part]]), np.concatenate([*more, np.ones(int(part.sum()), bool)])]
+                match[left[ok]] = e[ok]
+                left = left[~ok & (pos[left] > j + 1)]
+            hit = match >= 0
+            # others follow the match, or lie beyond what was looked at, or in another sub-key
+            part = (pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS)
+            more = (hit & (match < np.arange(len(g)) - 1)) | part
+            told = np.flatnonzero((hit | more) & (np.arange(len(g)) >= old))
             # the word that goes on: its first sets
-            at = begin[-1]
-            held = None if last else tuple(c[at : at + scan].copy() for c in (g, number, b, ni))
-            waiting, n_waiting = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["l", "r", "more"])
+            held = tuple(c[begin[-1] : begin[-1] + scan].copy() for c in (g, number, b, ni))
+            return pa.RecordBatch.from_arrays([pa.array(number[told]), pa.array(number[np.where(hit, match, np.arange(len(g)))[told]]), pa.array(more[told])], ["l", "r", "more"])
 
         for batch in batches:
             if batch.num_rows:
                 waiting.append(tuple(batch.column(k).to_numpy() for k in range(4)))
-                n_waiting += batch.num_rows
-                if n_waiting >= ROWS:
-                    yield work(False)
+                size += batch.num_rows
+                if size >= ROWS:
+                    yield work()
+                    waiting, size = [], 0
         if waiting:
-            yield work(True)
+            yield work()
 
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
     low = F.xxhash64("token", F.pmod(F.xxhash64("number"), F.lit(HOT_SALTS))).bitwiseAND((1 << 56) - 1)
     dealt = rows.select(F.when(hot, F.col("token").bitwiseAND(-1 << 56).bitwiseOR(low)).otherwise(F.col("token")).alias("g"), "id", "number", "b", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("ni"))
     placed = dealt.repartition("g").sortWithinPartitions("g", "id", "number").select("g", "number", "b", "ni")
-    return placed.mapInArrow(run, "l long, r long, more boolean").distinct()
+    return placed.mapInArrow(run, "l long, r long, more boolean")
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,30 +257,31 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     lines = materialize(line_table(docs, sketch, percent, id_col, text_col), "lines")
     number = F.col("row") + F.col("line")
     sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(F.struct("id", number.alias("number"))).alias("first")).select("h", F.col("first.number").alias("first")), "line-sets")
-    rows = prefix_rows(lines)
-    found = materialize(earlier_candidates(rows, percent), "line-candidates")
     # only the first line of a set counts: the others go anyway
-    found = materialize(found.join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-firsts")
+    pairs = earlier_candidates(prefix_rows(lines), percent).groupBy("l", "r").agg(F.max("more").alias("more"))
+    found = materialize(pairs.join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-candidates")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """Digests of the sets whose line ``l`` is similar to line ``r`` of some pair."""
-        pairs = materialize(pairs.filter("l <> r").select("l", "r").distinct(), "line-pairs")
-        asked = pairs.select(F.col("l").alias("number")).union(pairs.select("r")).distinct()
-        named = materialize(lines.select(number.alias("number"), "h", "text_key").join(asked, "number"), "line-names")
-        wanted = named.groupBy("h").agg(F.min("text_key").alias("text_key")).groupBy("text_key").agg(F.collect_set("h").alias("asked"))
+        numbers = materialize(pairs.select(F.col("l").alias("number")).union(pairs.select("r")).distinct(), "line-numbers")
+        named = materialize(lines.select(number.alias("number"), "line", "h", "text_key").join(lookup(numbers, 16), "number"), "line-names")
+        wanted = named.groupBy("h").agg(F.min(F.struct("text_key", "line")).alias("at")).groupBy("at.text_key").agg(F.collect_set("at.line").alias("asked"))
         full = materialize(_wanted_sets(docs, text_col, materialize(wanted, "line-wanted"), sketch, percent), "line-words")
         by_set = pairs.join(named.select(F.col("number").alias("l"), F.col("h").alias("x")), "l").join(named.select(F.col("number").alias("r"), F.col("h").alias("y")), "r")
-        out = materialize(confirmed(by_set.filter("x <> y").select(F.col("x").alias("l"), F.col("y").alias("r")).distinct(), full, percent).select("l").distinct(), "line-matched")
-        discard(pairs, named, full)
+        by_set = by_set.filter("x <> y").select(F.col("x").alias("l"), F.col("y").alias("r")).distinct()
+        out = materialize(confirmed(by_set, full, percent).select("l").distinct(), "line-matched")
+        discard(numbers, named, full)
         return out
 
-    matched = matches(found)
-    open_ = materialize(found.filter("more").select("h", F.col("l").alias("number")).distinct().join(matched.withColumnRenamed("l", "h"), "h", "left_anti"), "line-open")
+    matched = matches(found.filter("l <> r").select("l", "r"))
+    open_ = materialize(found.filter("more").select("h", F.col("l").alias("number")).distinct().join(lookup(matched.withColumnRenamed("l", "h"), 64), "h", "left_anti"), "line-open")
     if not open_.isEmpty():
-        mine = rows.join(open_.select("number"), "number").select("token", F.col("number").alias("l"), "n", "i", "b", F.struct("id", "number").alias("place"))
-        others = rows.select("token", F.col("number").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.struct("id", "number").alias("earlier"))
-        rest = mine.join(others, "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent)).select("l", "r").distinct()
-        matched = matched.union(matches(rest.join(found.select("l", "r"), ["l", "r"], "left_anti")))
+        mine = prefix_rows(lines.join(lookup(open_.select(F.col("number").alias("open")), 16), number == F.col("open")))
+        mine = materialize(mine.select("token", F.col("number").alias("l"), "n", "i", "b", F.struct("id", "number").alias("place")), "line-open-words")
+        others = prefix_rows(lines).select("token", F.col("number").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.struct("id", "number").alias("earlier"))
+        rest = others.join(lookup(mine, 128), "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent)).select("l", "r").distinct()
+        rest = materialize(rest.join(found.select("l", "r"), ["l", "r"], "left_anti"), "line-rest")
+        matched = matched.union(matches(rest))
     known = materialize(sets.join(matched.select(F.col("l").alias("h"), F.lit(True).alias("near")).distinct(), "h", "left"), "line-verdicts")
     discard(sets, found, open_)
     out = lines.select("id", "row", "line", "h", "n").join(known, "h", "left")
