@@ -5,8 +5,8 @@ verified on the full sets. A line goes if an earlier line is similar enough; ear
 place in the input.
 
 One earlier match is enough for a line to go. The prefixes of all sets are sorted by word and place once; in that
-one pass each set is compared with the earlier sets of the word until one passes all filters, so a group of near
-copies costs a few pairs a line. Only sets that no such pair removed and that had more earlier sets than were looked
+one pass each set is compared with the earlier sets of the word until one passes all filters by far, or ``TRIES`` of
+them just so; a group of near copies costs a few pairs a line. Only sets that no such pair removed and that had more earlier sets than were looked
 at are joined with all of them.
 
 The order of words comes from their counts over all documents. Words of more than a million occurrences are dealt
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from foliogrid.llm.common import discard, free_name, lookup, materialize, slices, table
 from foliogrid.llm.near_dedup import confirmed
 from foliogrid.llm.setjoin import SKETCH_BITS, may_match, prefix_length, rare_first, rarity_sketch
-from foliogrid.llm.words import mixed, word_hashes
+from foliogrid.llm.words import distinct_by_owner, mixed, word_hashes
 
 PERCENT = 80
 #: Words that a task counts, and sets it remembers, before it hands them on.
 TASK_WORDS, TASK_SETS = 4_000_000, 1_000_000
-#: Earlier sets of a word that the first pass looks at; the join does the rest.
-SCAN = 4096
+#: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
+SCAN, TRIES = 4096, 16
 #: Rows of the first pass that a task works on at a time.
 ROWS = 1 << 18
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
@@ -84,16 +84,7 @@ class LineSets:
         hashes, starts, buffer = word_hashes(texts)
         keys, breaks = rare_first(hashes, self.sketch), np.flatnonzero(buffer == 10)
         line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))
-        # by line, then key: one fast sort of a prefix of both unless it leaves unequal keys tied
-        brief = (line.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
-        order = np.argsort(brief, kind="stable")
-        brief, sorted_ = brief[order], keys[order]
-        if ((brief[1:] == brief[:-1]) & (sorted_[1:] != sorted_[:-1])).any() or len(breaks) >= 1 << 24:
-            order = np.lexsort((keys, line))
-        keys, line = keys[order], line[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-        keys, line = keys[new], line[new]
+        line, keys = distinct_by_owner(line, keys)
         sizes = np.bincount(line, minlength=len(breaks))
         digests, marks = np.zeros((len(breaks), 2), np.uint64), np.zeros(len(breaks), np.uint64)
         full = sizes > 0
@@ -195,8 +186,8 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
     return each.select("token", "id", "number", "n", (F.col("skip") + F.col("p")).alias("i"), "b")
 
 
-def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN) -> DataFrame:
-    """``l, r, more``: a set and the first earlier one of the same word that passes all filters, for each word.
+def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES) -> DataFrame:
+    """``l, r, more``: a set and the first earlier one of a word that passes by far, or else up to ``tries`` that pass, for each word.
 
     ``more`` tells that not all earlier sets of the word have been looked at; rows of which only this is known have
     ``r = l``. One sort by word and place; what a task holds of a word are its first ``scan`` sets.
@@ -213,7 +204,8 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN) -> DataF
             n, i = ni >> 32, ni & 0xFFFFFFFF
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             first = np.repeat(begin, np.diff(np.append(begin, len(g))))
-            pos, match = np.arange(len(g)) - first, np.full(len(g), -1)
+            pos, count, more, sure = np.arange(len(g)) - first, np.zeros(len(g), np.int64), np.zeros(len(g), bool), np.zeros(len(g), bool)
+            rows, others, safe = [], [], []
             left = np.flatnonzero(pos > 0)
             left = left[left >= old]
             for j in range(scan):
@@ -222,17 +214,28 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN) -> DataF
                 e = first[left] + j
                 small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
                 ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
-                ok &= np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent) <= total * (100 - percent)
-                match[left[ok]] = e[ok]
-                left = left[~ok & (pos[left] > j + 1)]
-            hit = match >= 0
-            # others follow the match, or lie beyond what was looked at, or in another sub-key
-            part = (pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS)
-            more = (hit & (match < np.arange(len(g)) - 1)) | part
-            told = np.flatnonzero((hit | more) & (np.arange(len(g)) >= old))
+                apart, most = np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent), total * (100 - percent)
+                ok &= apart <= most
+                far = ok & (2 * apart <= most)
+                rows.append(left[ok])
+                others.append(e[ok])
+                safe.append(far[ok])
+                count[left[ok]] += 1
+                sure[left[far]] = True
+                done, goes_on = far | (count[left] >= tries), pos[left] > j + 1
+                more[left[done & goes_on]] = True
+                left = left[~done & goes_on]
+            # pairs that are not told, and sets beyond those looked at or in another sub-key
+            more |= sure & (count > 1)
+            new = np.arange(len(g)) >= old
+            more |= new & ((pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS))
+            alone = np.flatnonzero(more & (count == 0))
+            rows, others, safe = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int64), (others, np.int64), (safe, bool)))
+            keep = safe | ~sure[rows]
+            l, r = np.concatenate([rows[keep], alone]), np.concatenate([others[keep], alone])
             # the word that goes on: its first sets
             held = tuple(c[begin[-1] : begin[-1] + scan].copy() for c in (g, number, b, ni))
-            return pa.RecordBatch.from_arrays([pa.array(number[told]), pa.array(number[np.where(hit, match, np.arange(len(g)))[told]]), pa.array(more[told])], ["l", "r", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(number[l]), pa.array(number[r]), pa.array(more[l])], ["l", "r", "more"])
 
         for batch in batches:
             if batch.num_rows:
@@ -266,11 +269,12 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         numbers = materialize(pairs.select(F.col("l").alias("number")).union(pairs.select("r")).distinct(), "line-numbers")
         named = materialize(lines.select(number.alias("number"), "line", "h", "text_key").join(lookup(numbers, 16), "number"), "line-names")
         wanted = named.groupBy("h").agg(F.min(F.struct("text_key", "line")).alias("at")).groupBy("at.text_key").agg(F.collect_set("at.line").alias("asked"))
-        full = materialize(_wanted_sets(docs, text_col, materialize(wanted, "line-wanted"), sketch, percent), "line-words")
+        # both joins read one exchange of the sets
+        full = _wanted_sets(docs, text_col, materialize(wanted, "line-wanted"), sketch, percent)
         by_set = pairs.join(named.select(F.col("number").alias("l"), F.col("h").alias("x")), "l").join(named.select(F.col("number").alias("r"), F.col("h").alias("y")), "r")
         by_set = by_set.filter("x <> y").select(F.col("x").alias("l"), F.col("y").alias("r")).distinct()
         out = materialize(confirmed(by_set, full, percent).select("l").distinct(), "line-matched")
-        discard(numbers, named, full)
+        discard(numbers, named)
         return out
 
     matched = matches(found.filter("l <> r").select("l", "r"))

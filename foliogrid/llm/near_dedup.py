@@ -27,48 +27,13 @@ from pyspark.sql import functions as F
 
 from foliogrid.llm.common import materialize, slices, table
 from foliogrid.llm.setjoin import may_match, prefix_length, rare_first, rarity_sketch, viable
+from foliogrid.llm.words import mixed, shingle_sets
 from foliogrid.operators.graph import connected_components
 
 SIDE, ROWS = 12, 3
 SHINGLE, PERCENT = 5, 80
-#: Words whose hashes a task remembers.
-CACHE_WORDS = 500_000
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Distinct hashed word shingles of texts given as bytes."""
-
-    def __init__(self, k: int):
-        self.k, self.known = k, {}
-
-    def words(self, raw: bytes) -> np.ndarray:
-        known, out = self.known, []
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in raw.lower().split():  # bytes: A-Z alone is lowered, ASCII white space alone splits
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        h = self.words(raw)
-        if not len(h):
-            return h
-        k = min(self.k, len(h))
-        acc = np.full(len(h) - k + 1, k, np.uint64)
-        for j in range(k):
-            acc = mixed(acc + h[j : len(h) - k + 1 + j])
-        return np.unique(acc)
+#: Bytes of text that a task works on at a time: small enough for the minhashes to stay in cache.
+SLICE = 1 << 20
 
 
 def _minhashes(values: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -86,19 +51,16 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, side:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        shingles = Shingler(shingle)
         for batch in batches:
             raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in slices(raw):
-                sets = [shingles(t) for t in raw[lo:hi]]
-                sizes = np.array([len(s) for s in sets])
-                full = [s for s in sets if len(s)]
-                sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                ab = np.zeros((len(sets), 2 * side), np.uint64)
-                if full:
-                    starts = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
-                    mins = _minhashes(np.concatenate(full), starts, 2 * side * rows, 20)
-                    acc = np.zeros((len(full), 2 * side), np.uint64)
+            for lo, hi in slices(raw, SLICE):
+                values, sizes = shingle_sets(raw[lo:hi], shingle)
+                ends = np.cumsum(sizes)
+                sig = [xxhash.xxh3_128_digest(values[e - n : e]) if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                ab = np.zeros((len(sizes), 2 * side), np.uint64)
+                if len(values):
+                    mins = _minhashes(values, (ends - sizes)[sizes > 0], 2 * side * rows, 20)
+                    acc = np.zeros((len(mins), 2 * side), np.uint64)
                     for j in range(rows):
                         acc = mixed(acc + mins[:, j::rows])
                     ab[sizes > 0] = acc
@@ -114,11 +76,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_c
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        shingles = Shingler(shingle)
         for batch in batches:
             raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in slices(raw):
-                s = pa.array([shingles(t).astype(np.int64) for t in raw[lo:hi]], pa.list_(pa.int64()))
+            for lo, hi in slices(raw, SLICE):
+                values, sizes = shingle_sets(raw[lo:hi], shingle)
+                s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), s], ["id", "s"])
 
     wanted = docs.select(F.col(id_col).alias("id"), text_col).join(ids, "id", "left_semi")

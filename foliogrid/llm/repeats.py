@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.llm.common import materialize, numbered, table, whole_text
-from foliogrid.llm.near_dedup import mixed
+from foliogrid.llm.words import mixed
 
 LENGTH, GRAM, BATCHES = 100, 24, 4
 #: Bytes of text that a task works on at a time.
