@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliogrid.functions.storage import discard, materialize, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "lookup", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "is_small", "lookup", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
 
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_small(written: DataFrame, row_bytes: int) -> bool:
+    return written.count() * row_bytes <= BROADCAST_BYTES
+
+
 def lookup(written: DataFrame, row_bytes: int) -> DataFrame:
     """A written table for the small side of a join: to be broadcast if its rows are few enough."""
-    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+    return F.broadcast(written) if is_small(written, row_bytes) else written
 
 
 def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
@@ -53,7 +57,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(buffers: list, limit: int = 8 << 20):
+def slices(buffers: list, limit: int = 1 << 20):
     """Index ranges of ``buffers`` whose sizes add up to about ``limit`` bytes, so that work memory stays bounded."""
     start, held = 0, 0
     for i, b in enumerate(buffers):

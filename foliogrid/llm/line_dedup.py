@@ -20,26 +20,30 @@ are read whole. The texts of ``docs`` are read twice more to verify and must the
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import discard, free_name, lookup, materialize, slices, table
+from foliogrid.llm.common import discard, free_name, is_small, lookup, materialize, slices, table, whole_text
 from foliogrid.llm.near_dedup import confirmed
 from foliogrid.llm.setjoin import SKETCH_BITS, may_match, prefix_length, rare_first, rarity_sketch
 from foliogrid.llm.words import distinct_by_owner, mixed, word_hashes
 
 PERCENT = 80
 #: Words that a task counts, and sets it remembers, before it hands them on.
-TASK_WORDS, TASK_SETS = 4_000_000, 1_000_000
+TASK_WORDS, TASK_SETS = 4_000_000, 200_000
 #: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
 SCAN, TRIES = 4096, 16
-#: Rows of the first pass that a task works on at a time.
-ROWS = 1 << 18
+#: Rows of the first pass that a task works on at a time, words whole unless they have more rows than the second.
+ROWS, MOST_ROWS = 1 << 18, 1 << 20
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
 HOT_CLASS, HOT_SALTS = 81, 64
 
@@ -108,12 +112,12 @@ def _binary(digests: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
 
 
-def _text_key(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(whole_text(text_col))
 
 
 def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line, text_key, h, n, b, skip, prefix`` of every line; a task gives the prefix of a set once.
+    """``id, row, line, text_key, h, n, b, skip, prefix`` of every line; a task gives the prefix of a set for the first of its lines.
 
     ``row + line`` numbers all lines; ``row`` is the number of a document's first line. The prefix leaves out the
     ``skip`` words that occur once in all documents and so in no other set.
@@ -121,33 +125,37 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sets, seen, number = LineSets(sketch.value, percent), set(), TaskContext.get().partitionId() << 40
+        sets, seen, number = LineSets(sketch.value, percent), {}, TaskContext.get().partitionId() << 40
         for batch in batches:
             raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = [(i is not None, i) for i in batch.column(0).to_pylist()]
             for lo, hi in slices(raw):
                 per_text, sizes, digests, marks, keys, line = sets(raw[lo:hi])
+                owner = np.repeat(np.arange(lo, hi), per_text)
                 if len(seen) > TASK_SETS:
                     seen.clear()
+                # the earliest line of a set by identifier; of equal ones the first
+                picks = {}
+                for i, (h, o) in enumerate(zip(digests.tolist(), owner.tolist(), strict=True)):
+                    at = ids[o]
+                    if h not in seen or at < seen[h]:
+                        seen[h], picks[h] = at, i
                 fresh = np.zeros(len(sizes), bool)
-                for i, h in enumerate(digests.tolist()):
-                    if h not in seen:
-                        seen.add(h)
-                        fresh[i] = True
+                fresh[list(picks.values())] = True
                 lengths = np.where(fresh, sets.prefix(sizes), 0)
                 place = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[line]
                 inside = place < lengths[line]
                 shared = inside & (keys >> np.uint64(56) > 0)
                 taken = np.bincount(line[shared], minlength=len(sizes))
                 skip = np.bincount(line[inside], minlength=len(sizes)) - taken
-                owner, counts = np.repeat(np.arange(lo, hi), per_text), np.array(per_text)
+                counts = np.array(per_text)
                 rows = number + np.cumsum(counts) - counts
                 number += int(counts.sum())
                 numbers = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                text_key = np.repeat(np.array([_text_key(t) for t in raw[lo:hi]], np.int64), counts)
-                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), pa.array(text_key), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken)]
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), batch.column(2).take(pa.array(owner)), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>")
+    return docs.select(id_col, text_col, _text_key(text_col)).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>")
 
 
 def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
@@ -156,23 +164,26 @@ def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broa
     def packed(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_text_key(t) for t in raw], pa.int64()), pa.array(list(map(pack, raw)), pa.binary())], ["text_key", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["text_key", "body"])
 
-    def run(batches):
-        sets, unpack = LineSets(sketch.value, percent), zstandard.ZstdDecompressor().decompress
+    def run(batches, unpack):
+        sets = LineSets(sketch.value, percent)
         for batch in batches:
             held = []
-            for body, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = unpack(body).split(b"\n")
+            for body, asked in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = unpack(body or b"").split(b"\n")
                 held += [lines[k] for k in asked]
             for lo, hi in slices(held):
                 _, sizes, digests, _, keys, _ = sets(held[lo:hi])
                 yield pa.RecordBatch.from_arrays([_binary(digests), _lists(keys, sizes)], ["id", "s"])
 
-    # texts travel compressed, and only if what is wanted is too much to broadcast
-    bodies = docs.select(text_col).mapInArrow(packed, "text_key long, body binary").join(lookup(wanted, 64), "text_key").select("body", "asked")
-    return bodies.mapInArrow(run, "id binary, s array<long>").dropDuplicates(["id"])
+    texts = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("body"))
+    if is_small(wanted, 64):
+        bodies, unpack = texts.join(F.broadcast(wanted), "text_key"), bytes
+    else:
+        # texts that are shuffled travel compressed
+        bodies, unpack = texts.mapInArrow(packed, "text_key long, body binary").join(wanted, "text_key"), zstandard.decompress
+    return bodies.select("body", "asked").mapInArrow(partial(run, unpack=unpack), "id binary, s array<long>").dropDuplicates(["id"])
 
 
 def _marks_allow(percent: int) -> Column:
@@ -186,72 +197,92 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
     return each.select("token", "id", "number", "n", (F.col("skip") + F.col("p")).alias("i"), "b")
 
 
-def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES) -> DataFrame:
-    """``l, r, more``: a set and the first earlier one of a word that passes by far, or else up to ``tries`` that pass, for each word.
+def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``l, r, far, more``: a set and the first earlier one of a word that passes by far, or else up to ``tries`` that pass, for each word.
 
     ``more`` tells that not all earlier sets of the word have been looked at; rows of which only this is known have
-    ``r = l``. One sort by word and place; what a task holds of a word are its first ``scan`` sets.
+    ``r = l``. One sort by word; a task holds a word of up to ``most_rows`` sets, more are worked on in parts.
     """
 
-    def run(batches):
-        held, waiting, size = None, [], 0
-
-        def work():
-            nonlocal held
-            parts = ([held] if held is not None else []) + waiting
-            old = len(held[0]) if held is not None else 0
-            g, number, b, ni = (np.concatenate(c) for c in zip(*parts, strict=True))
-            n, i = ni >> 32, ni & 0xFFFFFFFF
-            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            first = np.repeat(begin, np.diff(np.append(begin, len(g))))
-            pos, count, more, sure = np.arange(len(g)) - first, np.zeros(len(g), np.int64), np.zeros(len(g), bool), np.zeros(len(g), bool)
-            rows, others, safe = [], [], []
-            left = np.flatnonzero(pos > 0)
-            left = left[left >= old]
-            for j in range(scan):
-                if not len(left):
-                    break
-                e = first[left] + j
-                small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
-                ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
-                apart, most = np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent), total * (100 - percent)
-                ok &= apart <= most
-                far = ok & (2 * apart <= most)
-                rows.append(left[ok])
-                others.append(e[ok])
-                safe.append(far[ok])
-                count[left[ok]] += 1
-                sure[left[far]] = True
-                done, goes_on = far | (count[left] >= tries), pos[left] > j + 1
-                more[left[done & goes_on]] = True
-                left = left[~done & goes_on]
-            # pairs that are not told, and sets beyond those looked at or in another sub-key
-            more |= sure & (count > 1)
-            new = np.arange(len(g)) >= old
-            more |= new & ((pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS))
-            alone = np.flatnonzero(more & (count == 0))
-            rows, others, safe = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int64), (others, np.int64), (safe, bool)))
-            keep = safe | ~sure[rows]
-            l, r = np.concatenate([rows[keep], alone]), np.concatenate([others[keep], alone])
-            # the word that goes on: its first sets
-            held = tuple(c[begin[-1] : begin[-1] + scan].copy() for c in (g, number, b, ni))
-            return pa.RecordBatch.from_arrays([pa.array(number[l]), pa.array(number[r]), pa.array(more[l])], ["l", "r", "more"])
+    def work(ids, g, number, b, ni, cut: bool):
+        """The pairs of whole words, or of a part of one."""
+        order = np.lexsort((number, _ranks(ids), g))
+        g, number, b, ni = g[order], number[order], b[order], ni[order]
+        n, i = ni >> 32, ni & 0xFFFFFFFF
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        first = np.repeat(begin, np.diff(np.append(begin, len(g))))
+        pos, count, more, sure = np.arange(len(g)) - first, np.zeros(len(g), np.int64), np.zeros(len(g), bool), np.zeros(len(g), bool)
+        found, others, safe = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+        left = np.flatnonzero(pos > 0)
+        for j in range(scan):
+            if not len(left):
+                break
+            e = first[left] + j
+            small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
+            ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
+            apart, most = np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent), total * (100 - percent)
+            ok &= apart <= most
+            far = ok & (2 * apart <= most)
+            found.append(left[ok])
+            others.append(e[ok])
+            safe.append(far[ok])
+            count[left[ok]] += 1
+            sure[left[far]] = True
+            done, goes_on = far | (count[left] >= tries), pos[left] > j + 1
+            more[left[done & goes_on]] = True
+            left = left[~done & goes_on]
+        # pairs that are not told, and sets beyond those looked at, in another part or another sub-key
+        more |= sure & (count > 1)
+        more |= cut | (pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS)
+        alone = np.flatnonzero(more & (count == 0))
+        found, others, safe = np.concatenate(found), np.concatenate(others), np.concatenate(safe)
+        keep = safe | ~sure[found]
+        l, r = np.concatenate([found[keep], alone]), np.concatenate([others[keep], alone])
+        return pa.RecordBatch.from_arrays([pa.array(number[l]), pa.array(number[r]), pa.array(np.concatenate([safe[keep], np.zeros(len(alone), bool)])), pa.array(more[l])], ["l", "r", "far", "more"])
 
-        for batch in batches:
-            if batch.num_rows:
-                waiting.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+    def run(batches):
+        waiting, size, parted = [], 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                waiting.append(batch)
                 size += batch.num_rows
-                if size >= ROWS:
-                    yield work()
-                    waiting, size = [], 0
-        if waiting:
-            yield work()
+            if not waiting or (batch is not None and size < ROWS):
+                continue
+            held = pa.Table.from_batches(waiting)
+            g = held.column(1).to_numpy()
+            # the last word may go on
+            at = int(np.searchsorted(g, g[-1])) if batch is not None else len(g)
+            if not at and size < most_rows:
+                continue
+            cut = not at or parted == g[0]
+            ends = [int(np.searchsorted(g, g[0], "right"))] if cut and at else [at or len(g)]
+            for lo, hi in zip([0, *ends], [*ends, at or len(g)], strict=True):
+                if hi > lo:
+                    part = held.slice(lo, hi - lo)
+                    yield work(part.column(0).combine_chunks(), *(part.column(k).to_numpy() for k in range(1, 5)), cut and not lo)
+            parted = g[0] if not at else None
+            waiting = held.slice(at or len(g)).to_batches()
+            size = sum(b.num_rows for b in waiting)
 
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
     low = F.xxhash64("token", F.pmod(F.xxhash64("number"), F.lit(HOT_SALTS))).bitwiseAND((1 << 56) - 1)
-    dealt = rows.select(F.when(hot, F.col("token").bitwiseAND(-1 << 56).bitwiseOR(low)).otherwise(F.col("token")).alias("g"), "id", "number", "b", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("ni"))
-    placed = dealt.repartition("g").sortWithinPartitions("g", "id", "number").select("g", "number", "b", "ni")
-    return placed.mapInArrow(run, "l long, r long, more boolean")
+    dealt = rows.select("id", F.when(hot, F.col("token").bitwiseAND(-1 << 56).bitwiseOR(low)).otherwise(F.col("token")).alias("g"), "number", "b", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("ni"))
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "l long, r long, far boolean, more boolean")
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Numbers that sort as the identifiers, null first."""
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return ids.to_numpy()
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def picked(pairs: DataFrame) -> DataFrame:
+    """``l, r, more``: one pair of each set that passes by far, or all of a set that has none."""
+    by_set = pairs.groupBy("l").agg(F.collect_set(F.struct("far", "r")).alias("rs"), F.max("more").alias("more"))
+    best = F.array_max("rs")
+    rs = F.when(best["far"], F.array(best)).otherwise(F.col("rs"))
+    return by_set.select("l", F.explode(rs).alias("x"), (F.col("more") | (best["far"] & (F.size("rs") > 1))).alias("more")).select("l", F.col("x.r").alias("r"), "more")
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +292,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     number = F.col("row") + F.col("line")
     sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(F.struct("id", number.alias("number"))).alias("first")).select("h", F.col("first.number").alias("first")), "line-sets")
     # only the first line of a set counts: the others go anyway
-    pairs = earlier_candidates(prefix_rows(lines), percent).groupBy("l", "r").agg(F.max("more").alias("more"))
+    pairs = picked(earlier_candidates(prefix_rows(lines), percent))
     found = materialize(pairs.join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-candidates")
 
     def matches(pairs: DataFrame) -> DataFrame:

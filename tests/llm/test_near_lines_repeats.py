@@ -130,6 +130,27 @@ def test_lines_equal_brute_force(spark, seed):
     assert all((cleaned[i] or "") == "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in want[i]) for i, t in rows)
 
 
+@pytest.mark.parametrize(("scan", "tries", "most_rows", "hot"), [(4096, 16, 1 << 20, 81), (2, 1, 1 << 20, 81), (4096, 16, 8, 81), (4096, 2, 1 << 20, 1)])
+def test_lines_whose_words_are_in_parts(spark, monkeypatch, scan, tries, most_rows, hot):
+    rng = random.Random(scan + hot)
+    base = [f"w{i}" for i in range(20)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(20)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words) + ("\n" + " ".join(rng.sample(base, 4)) if i % 3 else ""))
+    monkeypatch.setattr(LD, "ROWS", 50)
+    monkeypatch.setattr(LD, "HOT_CLASS", hot)
+    monkeypatch.setattr(LD.earlier_candidates, "__defaults__", (scan, tries, most_rows))
+    ids = [None if i == 7 else 500 - i for i in range(len(texts))]
+    got = {r.doc_id: r.removed_lines for r in LD.line_report(frame(spark, texts, ids)).collect()}
+    assert got == {ids[k]: ",".join(map(str, g)) for k, g in brute_lines(list(zip(ids, texts, strict=True))).items()}
+    # identifiers of another type sort as Spark sorts them
+    named = frame(spark, texts, ids).withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    assert {r.doc_id and int(r.doc_id): r.removed_lines for r in LD.line_report(named).collect()} == got
+
+
 def test_a_repeated_row_is_later_and_nothing_gives_nothing(spark):
     docs = frame(spark, ["a b\nc", "a b\nc", "c"], [1, 1, None]).coalesce(1)
     assert sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.removed_lines) for r in LD.line_report(docs).collect()) == [(0, 1, 0, ""), (1, 2, 1, "1"), (1, 2, 2, "0,1")]
