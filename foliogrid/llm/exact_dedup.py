@@ -1,9 +1,13 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the bytes, an external sort brings equal texts together and neighbours are
-compared in full. A group of copies may hold a third of all rows, so the sort key ends in a salt: one text
-covers several neighbouring ranges, each range keeps its own winner, and the few winners of a text meet in an
-aggregate of digests. The splitters see a bounded prefix, the digest and the salt, so their size is bounded too.
+Sampled splitters range-partition the texts by their first characters (a digest behind them keeps texts with a
+common beginning apart), an external sort within each range brings equal texts together, and each text is compared
+in full with its neighbour. A run of equal neighbours is a group.
+
+A group may hold a third of all rows. Texts whose copies would fill a good part of a range are therefore dealt over
+several places, which lie next to each other in the order. Each place keeps its own winner; the winners of such
+texts are sorted and compared with their neighbours in full once more. There are at most a few of them for each
+partition of the shuffle, so what they settle is broadcast.
 
 Defined results: a null text is empty; equal texts are one group whatever their other columns; rows that
 repeat both identifier and text are one document, of which one row is kept; a null identifier wins only in a
@@ -16,10 +20,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import materialize, salt_of, table, whole_text
+from foliogrid.llm.common import materialize, table, whole_text
 
 #: Leading characters of a text that take part in the sampled splitters.
 SPLIT_CHARS = 48
+#: A text is dealt over several places if its copies fill this part of a range, and if they are that many at least.
+HOT_PARTS, HOT_ROWS = 4, 1000
+
+
+def _runs(rows: DataFrame, where: list[str], order, best) -> DataFrame:
+    """Adds ``wins, run, run_keep, run_n`` to rows with ``id, body, n, hot``; ``body`` is left to hot winners only.
+
+    Within ``where`` the rows are sorted by text and identifier, and each text is compared in full with the one before.
+    """
+    sorted_ = W.partitionBy(*where).orderBy("body", order("id"))
+    compared = rows.withColumn("wins", ~F.coalesce(F.lag("body").over(sorted_) == F.col("body"), F.lit(False)))
+    runs = compared.withColumn("run", F.sum(F.col("wins").cast("int")).over(sorted_.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy(*where, "run")
+    return runs.withColumn("body", F.when(F.col("hot") & F.col("wins"), F.col("body"))).withColumns({"run_keep": best("id").over(run), "run_n": F.sum("n").over(run)})
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, payload: list[str]) -> DataFrame:
+    """``id, sha, keep_id, group_size, kept`` of every row, with the ``payload`` columns (the text among them) in ``whole``."""
+    best, order = (F.max, F.desc_nulls_last) if keep == "max" else (F.min, F.asc_nulls_last)
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(text, 1, SPLIT_CHARS).alias("head"), F.sha2(text, 256).alias("sha"), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(payload))).alias("whole"))
+    # counts are combined before they are shuffled, and only decide how many places a text gets
+    quota = max(docs.count() // (HOT_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), HOT_ROWS)
+    counts = rows.groupBy("head", "sha").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > quota)
+    hot = materialize(counts.select("head", "sha", F.ceil(F.col("copies") / quota).cast("int").alias("places")), "exact-hot")
+    dealt = rows.join(F.broadcast(hot), ["head", "sha"], "left").select("id", "head", "sha", "whole", F.col("places").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("id"), F.col("places")), F.lit(0)).cast("int").alias("place"))
+    # the text travels once, within the payload
+    ranged = dealt.repartitionByRange("head", "sha", "place").withColumns({"body": F.coalesce(F.col(f"whole.c{payload.index(text_col)}"), F.lit("")), "n": F.lit(1).cast("long")})
+    if payload == [text_col]:
+        ranged = ranged.drop("whole")
+    local = materialize(_runs(ranged, ["head", "sha", "place"], order, best).drop("n"), "exact-runs", "zstd")
+    winners = local.filter("hot AND wins").select("head", "sha", "place", F.col("run").alias("part"), "id", "body", "hot", F.col("run_n").alias("n"))
+    settled = _runs(winners, ["head", "sha"], order, best).select("head", "sha", "place", F.col("part").alias("run"), F.col("wins").alias("wins_all"), F.col("run_keep").alias("keep_all"), F.col("run_n").alias("n_all"))
+    whole = local.drop("body").join(F.broadcast(materialize(settled, "exact-settled")), ["head", "sha", "place", "run"], "left")
+    pick = lambda one, several: F.when(F.col("hot"), F.col(several)).otherwise(F.col(one))
+    return whole.withColumns({"keep_id": pick("run_keep", "keep_all"), "group_size": pick("run_n", "n_all"), "kept": F.col("wins") & (~F.col("hot") | F.coalesce("wins_all", F.lit(False)))})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -27,38 +67,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``keep`` is ``max`` or ``min``: which identifier of equal texts stays.
     """
-    best, order = (F.max, F.desc_nulls_last) if keep == "max" else (F.min, F.asc_nulls_last)
-    text = whole_text(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("id"), text.alias("body"), F.substring(text, 1, SPLIT_CHARS).alias("head"),
-        F.sha2(text, 256).alias("sha"), salt_of(F.col(id_col)).alias("salt"),
-    )
-    dealt = rows.repartitionByRange("head", "sha", "salt")
-    same = W.partitionBy("head", "sha", "salt", "body")
-    local = materialize(
-        dealt.select(
-            "id", "sha", "salt",
-            best("id").over(same).alias("local_keep"),
-            F.count(F.lit(1)).over(same).alias("local_n"),
-            F.row_number().over(same.orderBy(order("id"))).alias("rn"),
-        ),
-        "exact-local",
-    )
-    winners = local.filter("rn = 1").select("sha", "salt", "local_keep", "local_n")
-    groups = winners.groupBy("sha").agg(best("local_keep").alias("keep_id"), F.sum("local_n").alias("group_size"), F.min("salt").alias("null_salt"))
-    spread = winners.select("sha", "salt").join(groups, "sha")
-    kept = (F.col("rn") == 1) & F.when(F.col("keep_id").isNull(), F.col("salt") == F.col("null_salt")).otherwise(F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)))
-    return local.join(spread, ["sha", "salt"]).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return _judged(docs, id_col, text_col, keep, [text_col]).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, one per text, with all their columns."""
-    key = lambda sha: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), sha)
-    stay = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(key(F.col("text_sha256")).alias("__key"))
-    hit = docs.withColumn("__key", key(F.sha2(whole_text(text_col), 256))).join(stay, "__key", "left_semi")
-    # rows that repeat identifier and text are together already
-    once = W.partitionBy("__key").orderBy(F.lit(0))
-    return hit.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
+    kept = _judged(docs, id_col, text_col, keep, docs.columns).filter("kept")
+    return kept.select(*(F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(F.struct("id", number.alias("number"))).alias("first")).select("h", F.col("first.number").alias("first")), "line-sets")
     # only the first line of a set counts: the others go anyway
     pairs = picked(earlier_candidates(prefix_rows(lines), percent))
-    found = materialize(pairs.join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-candidates")
+    found = materialize(pairs.hint("merge").join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-candidates")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """Digests of the sets whose line ``l`` is similar to line ``r`` of some pair."""
@@ -304,7 +304,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         full = _wanted_sets(docs, text_col, materialize(wanted, "line-wanted"), sketch, percent)
         by_set = pairs.join(named.select(F.col("number").alias("l"), F.col("h").alias("x")), "l").join(named.select(F.col("number").alias("r"), F.col("h").alias("y")), "r")
         by_set = by_set.filter("x <> y").select(F.col("x").alias("l"), F.col("y").alias("r")).distinct()
-        out = materialize(confirmed(by_set, full, percent).select("l").distinct(), "line-matched")
+        out = materialize(confirmed(by_set.hint("merge"), full.hint("merge"), percent).select("l").distinct(), "line-matched")
         discard(numbers, named)
         return out
 
@@ -317,11 +317,11 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         rest = others.join(lookup(mine, 128), "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent)).select("l", "r").distinct()
         rest = materialize(rest.join(found.select("l", "r"), ["l", "r"], "left_anti"), "line-rest")
         matched = matched.union(matches(rest))
-    known = materialize(sets.join(matched.select(F.col("l").alias("h"), F.lit(True).alias("near")).distinct(), "h", "left"), "line-verdicts")
+    # the first line of each set without a match stays
+    stay = materialize(sets.join(lookup(materialize(matched.select(F.col("l").alias("h")).distinct(), "line-near"), 64), "h", "left_anti").select(F.col("first").alias("number"), F.lit(True).alias("stays")), "line-stay")
     discard(sets, found, open_)
-    out = lines.select("id", "row", "line", "h", "n").join(known, "h", "left")
-    removed = F.when(F.col("n") > 0, F.coalesce("near", F.lit(False)) | (number != F.col("first"))).otherwise(False)
-    return out.select("id", "row", "line", removed.alias("removed"))
+    out = lines.select("id", "row", "line", "n", number.alias("number")).join(stay.hint("merge"), "number", "left")
+    return out.select("id", "row", "line", ((F.col("n") > 0) & F.col("stays").isNull()).alias("removed"))
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

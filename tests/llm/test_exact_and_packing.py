@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliogrid.llm import exact_dedup as ED
 from foliogrid.llm.exact_dedup import drop_exact_copies, exact_dedup
 from foliogrid.llm.packing import best_fit_plan, cut_pieces, encoder, default_vocabulary, pack_documents
 
@@ -19,7 +20,9 @@ ODD = [(1, "a b", "en", "s", 3), (2, None, None, None, None), (3, "", "en", "s",
 
 
 @pytest.mark.parametrize("keep", ["max", "min"])
-def test_groups_of_equal_texts(spark, keep):
+@pytest.mark.parametrize("hot_rows", [ED.HOT_ROWS, 1])
+def test_groups_of_equal_texts(spark, monkeypatch, keep, hot_rows):
+    monkeypatch.setattr(ED, "HOT_ROWS", hot_rows)
     got = exact_dedup(spark.createDataFrame(ODD, DOCS), keep=keep).collect()
     groups = defaultdict(list)
     for i, text, *_ in ODD:
@@ -32,9 +35,10 @@ def test_groups_of_equal_texts(spark, keep):
 
 
 def test_clashing_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame(ODD, DOCS).withColumns({"sha": F.lit(1), "salt": F.lit("x"), "rn": F.lit(2), "kept": F.lit(None).cast("int"), "row": F.lit(0), "length": F.lit("q")})
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({"sha": F.lit(1), "salt": F.lit("x"), "rn": F.lit(2), "kept": F.lit(None).cast("int"), "row": F.lit(0), "length": F.lit("q"), "__key": F.lit(5), "__n": F.lit(6), "whole": F.lit("w")})
     kept = drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.count() == 6
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
     assert exact_dedup(docs.limit(0)).count() == 0 and drop_exact_copies(docs.limit(0)).count() == 0
 
 
