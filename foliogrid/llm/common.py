@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliogrid.functions.storage import discard, materialize, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "is_small", "lookup", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "whole_text"]
+__all__ = ["SALTS", "ascii_lower", "discard", "free_name", "is_small", "lookup", "materialize", "numbered", "salt_of", "shared_dir", "slices", "table", "unpacked", "whole_text"]
 
 #: Rows of one key are dealt over this many sub-keys where a key may be hot.
 SALTS = 256
@@ -37,8 +39,21 @@ def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
-    """``id, row, body`` with a row number, written once: what is planned later has the same numbers."""
-    return materialize(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("body")), label, "zstd")
+    """``id, row, body`` with a row number and the compressed text, written once: what is planned later has the same numbers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "row", "body"])
+
+    rows = docs.select(F.col(id_col), F.monotonically_increasing_id(), F.col(text_col)).mapInArrow(run, f"id {kind}, row long, body binary")
+    return materialize(rows, label, "none")
+
+
+def unpacked(body: bytes | None) -> bytes:
+    """A text that ``numbered`` compressed."""
+    return zstandard.decompress(body) if body else b""
 
 
 def free_name(df: DataFrame, base: str) -> str:

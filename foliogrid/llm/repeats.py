@@ -1,9 +1,11 @@
 """Removal of repeated byte strings with a logarithmic family of suffix-array levels.
 
 Every window of ``length`` bytes is anchored at its smallest ``GRAM``-byte string (by hash, leftmost), so equal
-windows have equal anchors at equal places. Neighbouring windows of one anchor form a run. A sparse suffix array
-holds one entry for each run: the digest ``g`` of the anchor, the digest ``h`` of all bytes of the run, and where
-it first starts. Arrays are bucketed tables sorted by ``g``.
+windows have equal anchors at equal places. Neighbouring windows of one anchor form a run. The suffixes that begin
+at anchors, about one in 39, make a sparse suffix array with an entry for each run: the order ``g`` of the suffix
+(its first four bytes, then a digest of the anchor), the digest ``h`` of all bytes of the run, and where it first
+starts. Arrays are bucketed tables in the order of ``g``. Long matches are found by merging arrays on equal ``g``
+and ``h`` and not by common prefixes of neighbours; an array of all suffixes would be over twenty times the text.
 
 Documents come in batches by ascending identifier. A new batch is sorted into an array and merge-scanned against
 the levels: a run whose ``(g, h)`` a level or the batch has from earlier is a repeat as a whole; one whose anchor
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import materialize, numbered, table, whole_text
+from foliogrid.llm.common import discard, materialize, numbered, table, unpacked
 from foliogrid.llm.words import mixed
 
 LENGTH, GRAM, BATCHES = 100, 24, 4
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 20
+#: Frequent runs that a task remembers.
+TASK_RUNS = 100_000
 #: Windows of a block, and bytes that all windows of a block have.
 BLOCK = 8
 BASE = 0x9E3779B97F4A7C15
@@ -120,9 +124,12 @@ def anchored_runs(group, length: int, gram: int):
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
     s, x, o = start[first], anchor[first], owner[first]
+    # first four bytes of the suffix above a digest of the anchor; the sign turned, so that it sorts as bytes do
+    eight = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    g = ((eight[x].astype(np.uint64) >> np.uint64(32) << np.uint64(32)) | (grams[x] >> np.uint64(32))) ^ np.uint64(1 << 63)
     h = mixed(roll(s, s + n - 1 + length) + ((x - s) * 256 + n).astype(np.uint64))
     text = np.array([i for i, _, _ in group])[o]
-    return text, s - begin[o] + np.array([at for _, at, _ in group])[o], x - s, n, grams[x], h
+    return text, s - begin[o] + np.array([at for _, at, _ in group])[o], x - s, n, g, h
 
 
 def _packed(start, offset, n):
@@ -133,14 +140,16 @@ def _packed(start, offset, n):
 def suffix_entries(docs: DataFrame, length: int, gram: int, chunk: int = CHUNK) -> DataFrame:
     """``id, row, g, h, pos, again`` of every run of ``docs(id, row, body)``.
 
-    ``again`` marks runs that repeat one of the same chunk; they are known to be repeats and their ``g`` is
+    ``again`` marks runs that repeat one of the same chunk, or of the same task if they are frequent; they are known to be repeats and their ``g`` is
     replaced by a scattered value, so that no task gathers them.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        # runs that chunks of this task had several times, and the smallest identifier of each
+        seen, least = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            texts = [unpacked(t) for t in batch.column(2).to_pylist()]
             order = batch.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             for group in chunks(texts, length - 1, chunk):
                 found = anchored_runs(group, length, gram)
@@ -151,6 +160,18 @@ def suffix_entries(docs: DataFrame, length: int, gram: int, chunk: int = CHUNK)
                 by = np.lexsort((np.arange(len(key)), order[text], key))
                 again = np.zeros(len(key), bool)
                 again[by[1:]] = key[by[1:]] == key[by[:-1]]
+                if len(seen):
+                    at = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
+                    again |= (seen[at] == key) & (order[text] > least[at])
+                if len(seen) > TASK_RUNS:
+                    seen, least = seen[:0], least[:0]
+                # the first of each run that the chunk has again
+                ahead = by[:-1][(key[by[1:]] == key[by[:-1]]) & np.append(True, key[by[1:-1]] != key[by[:-2]])] if len(by) > 1 else by[:0]
+                seen, least = np.concatenate([seen, key[ahead]]), np.concatenate([least, order[text[ahead]]])
+                both = np.lexsort((least, seen))
+                seen, least = seen[both], least[both]
+                once = np.append(True, seen[1:] != seen[:-1])[: len(seen)]
+                seen, least = seen[once], least[once]
                 pos = _packed(start, offset, n)
                 g = np.where(again, mixed(key + pos.astype(np.uint64) * np.uint64(2) + text.astype(np.uint64)), g)
                 at = pa.array(text)
@@ -267,12 +288,12 @@ def first_pass(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, repeats, open_ in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for raw, repeats, open_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if open_:
                     rows.append((None, None, None, None, raw))
                 else:
                     s, _, n = _unpacked(repeats)
-                    rows.append((*outcome(raw or b"", s, s + n - 1 + length), None))
+                    rows.append((*outcome(unpacked(raw), s, s + n - 1 + length), None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             keep = [pa.array([b if o else None for b, o in zip(batch.column(i).to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.list_(pa.int64())) for i in (3, 4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (*RESULT_TYPES, pa.binary()), strict=True)), *keep], ["id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "raw", "repeats", "open"])
@@ -300,7 +321,7 @@ def open_blocks(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, opens = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, opens = map(unpacked, batch.column(2).to_pylist()), batch.column(3).to_pylist()
             for i, (raw, pos) in enumerate(zip(texts, opens, strict=True)):
                 at, q, lo, hi = blocks(raw, pos)
                 buffer = np.frombuffer(raw, np.uint8)
@@ -346,7 +367,7 @@ def second_pass(docs: DataFrame, length: int) -> DataFrame:
             for raw, repeats, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, _, n = _unpacked(repeats)
                 more = np.array(starts or [], np.int64)
-                rows.append(outcome(raw, np.concatenate([s, more]), np.concatenate([s + n - 1 + length, more + length])))
+                rows.append(outcome(unpacked(raw), np.concatenate([s, more]), np.concatenate([s + n - 1 + length, more + length])))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, RESULT_TYPES, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -355,24 +376,29 @@ def second_pass(docs: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
+    if not 8 <= gram <= length <= 255 or chunk + length > 1 << 24:
+        raise ValueError("windows have up to 255 bytes, anchors 8 at least and chunks less than 16 MB")
     spark = docs.sparkSession
-    rows = numbered(docs, id_col, text_col, "repeat-rows").withColumn("body", whole_text("body"))
+    rows = numbered(docs, id_col, text_col, "repeat-rows")
     at = [i / batches for i in range(1, batches)]
     cuts = sorted(set(rows.filter("id IS NOT NULL").select(F.col("id").cast("double").alias("x")).approxQuantile("x", at, 0.01))) if at else []
-    family, repeats, open_ = LevelFamily(spark), None, None
-    for i in range(len(cuts) + 1):
-        part = F.lit(True)
-        if i:
-            part = part & (F.col("id") > cuts[i - 1])
-        if i < len(cuts):
-            part = part & ((F.col("id") <= cuts[i]) | (F.col("id").isNull() if i == 0 else F.lit(False)))
-        family.settle()
-        known, edge = family.insert(suffix_entries(rows.filter(part), length, gram, chunk))
-        repeats, open_ = (known, edge) if repeats is None else (repeats.union(known), open_.union(edge))
-    family.drop()
+    family, found = LevelFamily(spark), []
+    try:
+        for i in range(len(cuts) + 1):
+            part = F.lit(True)
+            if i:
+                part = part & (F.col("id") > cuts[i - 1])
+            if i < len(cuts):
+                part = part & ((F.col("id") <= cuts[i]) | (F.col("id").isNull() if i == 0 else F.lit(False)))
+            family.settle()
+            found.append(family.insert(suffix_entries(rows.filter(part), length, gram, chunk)))
+    finally:
+        family.drop()
+    repeats, open_ = (reduce(DataFrame.union, x) for x in zip(*found, strict=True))
     lists = repeats.withColumn("open", F.lit(False)).union(open_.withColumn("open", F.lit(True)))
     lists = lists.groupBy("row").agg(F.collect_list(F.when(~F.col("open"), F.col("pos"))).alias("repeats"), F.collect_set(F.when(F.col("open"), F.col("pos"))).alias("open"))
     judged = materialize(first_pass(rows.join(lists, "row", "left").select("id", "row", "body", "repeats", "open"), length), "first-pass")
+    discard(rows, *(x for pair in found for x in pair))
     left = judged.filter("raw IS NOT NULL")
     windows = repeated_windows(open_blocks(left.select("id", "row", "raw", "open"), length))
     done = second_pass(left.select("row", "id", "raw", "repeats").join(windows, "row", "left").select("id", "raw", "repeats", "starts"), length)

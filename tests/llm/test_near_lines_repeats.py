@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from foliogrid.llm import line_dedup as LD
@@ -227,7 +228,7 @@ def test_levels_merge_geometrically(spark):
     text = lambda k: "".join(rngs[k].choice("abcdefgh") for _ in range(400))
     family, sizes = RP.LevelFamily(spark), []
     for k in range(6):
-        docs = frame(spark, [text(k)], [k]).select(F.col("doc_id").alias("id"), F.lit(k).cast("long").alias("row"), "text")
+        docs = frame(spark, [""], [k]).select(F.col("doc_id").alias("id"), F.lit(k).cast("long").alias("row"), F.lit(zstandard.compress(text(k).encode())).alias("body"))
         family.settle()
         family.insert(RP.suffix_entries(docs, 100, 24))
         sizes.append([s for s, _ in family.levels])
