@@ -4,7 +4,7 @@ A template is license wording with markup: ``[[ ... ]]`` may be absent and ``{{n
 any kind. Each template is compiled to a token automaton that accepts a stretch of words only if all of its
 mandatory wording is there, word for word. Short phrases are counted beside it.
 
-Defined results: a null text is empty; an empty text has no words, no labels and score 0; equal rows give equal
+Defined results: a template without mandatory wording matches nothing; a null text is empty; an empty text has no words, no labels and score 0; equal rows give equal
 rows; an empty table gives an empty result; other columns are ignored; very long texts are read whole, one at a
 time.
 """
@@ -59,7 +59,8 @@ class Automaton:
                     self.skips.setdefault(i, []).append(first + n)
             else:
                 self.words.append(part.encode())
-        self.first = self.words[0]
+        # the words with which a match may begin; None: any
+        self.firsts = {self.words[i] for i in self.closed({0}) if i < len(self.words)}
         # the longest word that no region lets skip; a text without it has no match
         optional = {i for at, ends in self.skips.items() for i in range(at, max(ends))}
         self.least = max((w for i, w in enumerate(self.words) if w and i not in optional), key=len, default=b"")
@@ -93,8 +94,8 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> tuple[tuple[str, Automat
     return tuple((label, Automaton(t)) for label, t in templates)
 
 
-def places(words: list[bytes], word: bytes) -> list[int]:
-    return [i for i, w in enumerate(words) if w == word]
+def places(words: list[bytes], some: set[bytes | None]) -> list[int]:
+    return [i for i, w in enumerate(words) if w in some] if None not in some else list(range(len(words)))
 
 
 def scan(raw: bytes, phrases: dict[str, str], automata) -> tuple:
@@ -106,11 +107,11 @@ def scan(raw: bytes, phrases: dict[str, str], automata) -> tuple:
         parts = phrase.encode().split()
         if not all(p in folded for p in parts):
             continue
-        found = [i for i in places(words, parts[0]) if words[i : i + len(parts)] == parts]
+        found = [i for i in places(words, {parts[0]}) if words[i : i + len(parts)] == parts]
         starts += found
         base |= {label} if found else set()
     for label, automaton in automata:
-        if automaton.least in folded and any(automaton.accepts(words, i) for i in places(words, automaton.first)):
+        if automaton.least and automaton.least in folded and any(automaton.accepts(words, i) for i in places(words, automaton.firsts)):
             labels.add(label)
     score = 1.0 if labels else 0.5 if base else 0.0
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
