@@ -17,9 +17,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import zlib
 from array import array
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ from foliogrid.llm.common import materialize, salt_of, table
 
 WINDOW = 1024
 END_ID = 0
+#: White-space characters in a row from which a text goes to the slower encoder.
+LONG_SPACE = 20_000
 
 
 def default_vocabulary() -> str:
@@ -55,17 +58,31 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=2)
+def plain_encoder(path: str):
+    """The tokenizer of the .json file beside a rank file: slower, but without limits."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(f"{os.path.splitext(path)[0]}.json")
+
+
+def token_ids(text: str, path: str) -> list[int]:
+    """Ids of one text. The fast encoder overflows its stack on very long stretches of white space, the other does not."""
+    if len(text) > LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
+        return plain_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode(text, allowed_special="all")
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces ``id_col, start, length, ids_crc32, doc_tokens``: full windows and the rest of each document."""
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode = partial(encoder(vocabulary).encode, allowed_special="all")
         for batch in batches:
             rows = [[] for _ in range(5)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = array("I", encode(text or ""))
+                ids = array("I", token_ids(text or "", vocabulary))
                 ids.append(END_ID)
                 n, view = len(ids), memoryview(ids)
                 for start in range(0, n, window):

@@ -122,3 +122,23 @@ def test_pieces_have_the_ids_of_the_json_tokenizer_as_given(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], DOCS)
     want = {i: np.array([*e.ids, 0], "<u4") for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
     assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in cut_pieces(docs).collect()} == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in want.items()}
+
+
+def test_packing_of_long_stretches_repeats_nulls_and_clashing_names(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["x" + " " * 1_000_000 + "y", "a" * 100_000, "!" * 100_000, "\n\t " * 100_000 + "<|endoftext|>", "same", "same", None, "漢" * 30_000]
+    ids = [0, 1, 2, 3, 4, 4, None, 5]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in zip(ids, texts, strict=True)], DOCS).withColumns({"start": F.lit("q"), "length": F.lit(1), "sequence_id": F.lit(2), "shard": F.lit(3), "steps": F.lit(4)})
+    want = Counter()
+    for i, x in zip(ids, texts, strict=True):
+        e = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, at, len(e[at : at + 1024]), zlib.crc32(e[at : at + 1024].tobytes()), len(e)) for at in range(0, len(e), 1024))
+    rows = pack_documents(docs).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    held = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in parts) <= 1024 and [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) for parts in held.values())
