@@ -5,7 +5,8 @@ most ``SUBSTITUTIONS`` other words, whichever they are, one of the masks finds e
 (all pairs of places are tried in the tests). Equal hashes of test and training words are hits; around each hit
 the aligned words are compared in full. All of it is DataFrame expressions.
 
-Defined results: a null text is empty and overlaps nothing; items of fewer than ``SPAN`` words must occur whole
+Defined results: words are lower-cased as Unicode has it; null identifiers are identifiers like others; documents that
+share one are one; a null text is empty and overlaps nothing; items of fewer than ``SPAN`` words must occur whole
 and unchanged, and items of fewer words than the shortest mask are no evidence; a repeated row adds nothing; an
 item that repeats words is compared at every alignment and the best one counts (ties: first in the document);
 empty tables give an empty result; other columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import table, whole_text
+from foliogrid.llm.common import free_name, materialize, table, whole_text
 
 SPAN, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 3, 8, 9, 10))
@@ -66,17 +67,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``doc_word`` is the word of the document at which the item would begin, ``matched`` the equal words at the
     best alignment.
     """
-    test = word_hashes(items, item_id_col, item_text_col, "item_id")
+    # items are told apart by a row number, written once, as identifiers may be null or repeated
+    test = materialize(word_hashes(items, item_id_col, item_text_col, "item_id").withColumn("item", F.monotonically_increasing_id()), "test-items")
     whole = test.withColumnRenamed("h", "item_h")
-    test_seeds = seeded(test, "j").select("seed", "item_id", "j")
+    test_seeds = seeded(test, "j").select("seed", "item", "j")
     train = word_hashes(docs, id_col, text_col, "doc_id")
     if test_seeds.count() <= broadcast_seeds:
-        hits = seeded(train, "i").join(F.broadcast(test_seeds), "seed").join(F.broadcast(whole), "item_id")
+        hits = seeded(train, "i").join(F.broadcast(test_seeds), "seed").join(F.broadcast(whole), "item")
     else:
-        near = seeded(train, "i").select("doc_id", "i", "seed").join(test_seeds, "seed").groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"))
-        found = near.select("doc_id", "item_id", "shift", F.explode("js").alias("j")).withColumn("i", F.col("shift") + F.col("j"))
+        near = seeded(train, "i").select("doc_id", "i", "seed").join(test_seeds, "seed").groupBy("doc_id", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"))
+        found = near.select("doc_id", "item", "shift", F.explode("js").alias("j")).withColumn("i", F.col("shift") + F.col("j"))
         back = train.withColumnRenamed("doc_id", "__id")
-        hits = found.join(back, F.col("doc_id").eqNullSafe(F.col("__id"))).join(whole, "item_id")
+        hits = found.join(back, F.col("doc_id").eqNullSafe(F.col("__id"))).join(whole, "item")
     best = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("b")
     out = _verified(hits).groupBy("doc_id", "item_id").agg(best)
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), (-F.col("b.back")).cast("long").alias("doc_word"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"), (F.col("b.matched") / F.col("b.item_words")).alias("coverage"))
@@ -84,8 +86,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col, **columns).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    key = free_name(docs, "bad")
+    bad = contamination(docs, items, id_col, text_col, **columns).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
