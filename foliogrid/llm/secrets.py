@@ -2,7 +2,7 @@
 
 Candidates are found by patterns in every whole text, with code-point offsets that come from the lengths of what
 lies between matches. Every candidate value is then looked at across the corpus: in how many distinct
-repositories and of how many distinct owners it occurs. A value of many owners is a copied example; one that
+repositories and of how many distinct owners its digest occurs; values themselves are neither written nor shuffled. A value of many owners is a copied example; one that
 stays with few owners and looks random is probably live. All of it is DataFrame expressions.
 
 Defined results: a null text is empty; null owners and repositories count as one unnamed owner; a repeated row
@@ -42,7 +42,8 @@ COPIED_FROM = 3
 
 
 def _matches(text: Column, folded: Column, pattern: str, group: int, fold: bool, needs: tuple[str, ...]) -> Column:
-    """Array of (code points before the match since the last one, its length, its secret part); null if none."""
+    """Array of matches, null if none: code points before the match since the last one, its length, and of its secret
+    part the digest, length, variety of characters and whether it looks made up. The secret itself goes no further."""
     where = folded if fold else text
     has = F.lit(False)
     for need in needs:
@@ -50,12 +51,12 @@ def _matches(text: Column, folded: Column, pattern: str, group: int, fold: bool,
     has = text.rlike(pattern) if not needs else has
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     secrets = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("n"))), secrets, lambda x, s: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), s.alias("secret")))
+    zipped = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("n"))), secrets, lambda x, s: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.sha2(s, 256).alias("digest"), F.char_length(s).alias("size"), F.size(F.array_distinct(F.split(s, ""))).alias("variety"), s.rlike(PLACEHOLDER).alias("made_up")))
     return F.when(has, zipped)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
-    """``(rows, spans)``: all rows with a row number, and ``row, kind, start, end, secret, owner, repo`` of every match."""
+    """``(rows, spans)``: all rows with a row number, and ``row, kind, start, end, digest, variety, made_up, owner, repo`` of every match."""
     text = whole_text(text_col)
     folded = F.lower(text)
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
@@ -66,40 +67,39 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     upto = W.partitionBy("row", "k").orderBy("i")
     end = F.sum(F.col("m.gap") + F.col("m.n")).over(upto)
     least = F.element_at(F.array(*(F.lit(p[3]) for p in PATTERNS)), F.col("k") + 1)
-    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("m.n")).filter(F.char_length("m.secret") >= least)
-    return rows, spans.select("row", "k", F.element_at(F.array(*map(F.lit, ORDER)), F.col("k") + 1).alias("kind"), "start", "end", F.col("m.secret").alias("secret"), "owner", "repo")
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("m.n")).filter(F.col("m.size") >= least)
+    return rows, spans.select("row", "k", F.element_at(F.array(*map(F.lit, ORDER)), F.col("k") + 1).alias("kind"), "start", "end", "m.digest", "m.variety", "m.made_up", "owner", "repo")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """``secret, n_owners, n_repos, n_spans`` over the corpus; every step combines before it shuffles."""
-    by_repo = spans.groupBy("secret", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repo.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
-    return by_owner.groupBy("secret").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"))
+    """``digest, n_owners, n_repos, n_spans`` over the corpus; every step combines before it shuffles."""
+    by_repo = spans.groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repo.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"))
 
 
 def classified(spans: DataFrame, copied_from: int = COPIED_FROM) -> DataFrame:
     """Spans with ``n_owners, n_repos`` and ``class``: copied, placeholder, weak or live."""
     spread = ownership(spans).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    known = spans.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(LOOKUP_SALTS)).cast("int")).join(spread, ["secret", "salt"])
-    variety = F.size(F.array_distinct(F.split("secret", "")))
-    kind = F.when(F.col("n_owners") >= copied_from, "copied").when(F.col("secret").rlike(PLACEHOLDER), "placeholder").when(variety < 8, "weak").otherwise("live")
+    known = spans.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(LOOKUP_SALTS)).cast("int")).join(spread, ["digest", "salt"])
+    kind = F.when(F.col("n_owners") >= copied_from, "copied").when(F.col("made_up"), "placeholder").when(F.col("variety") < 8, "weak").otherwise("live")
     return known.drop("salt").withColumn("class", kind)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """One row per document with counts, spans and how many of them are live or copied."""
+    """One row per document with counts, spans, the class of each span in the same order, and how many are live or copied."""
     rows, spans = find_secrets(docs, id_col, **columns)
     known = classified(materialize(spans, "secret-spans"))
-    one = F.struct("start", "k", F.concat_ws(":", "kind", "start", "end").alias("s"))
-    shown = lambda c: F.concat_ws(",", F.transform(F.array_sort(c), lambda x: x["s"]))
+    one = F.struct("start", "k", F.concat_ws(":", "kind", "start", "end").alias("s"), "class")
+    shown = lambda c, part="s": F.concat_ws(",", F.transform(F.array_sort(c), lambda x: x[part]))
     by_row = known.groupBy("row").agg(
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE_KINDS),
-        shown(F.collect_list(F.when(F.col("k") < len(BASE_KINDS), one))).alias("base"), shown(F.collect_list(one)).alias("spans"),
+        shown(F.collect_list(F.when(F.col("k") < len(BASE_KINDS), one))).alias("base"), shown(F.collect_list(one)).alias("spans"), shown(F.collect_list(one), "class").alias("span_classes"),
         F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "copied").alias("n_copied"),
     )
     counts = [f"n_{k}" for k in BASE_KINDS] + ["n_live", "n_copied"]
     out = rows.select("row", id_col).join(by_row, "row", "left")
-    return out.select(id_col, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.sha2(F.coalesce(F.col("base"), F.lit("")), 256).alias("base_sha256"), F.coalesce(F.col("spans"), F.lit("")).alias("spans"))
+    return out.select(id_col, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.sha2(F.coalesce(F.col("base"), F.lit("")), 256).alias("base_sha256"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("spans", "span_classes")))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
