@@ -1,12 +1,12 @@
 """URL filters: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees are learnt from labelled URLs: the verdict of a rule where one fits, else block for hosts with a seed
-term and allow for others. The trees are fitted on at most ``FIT_ROWS`` labelled URLs, picked by hash; counts and
-block rates of suffixes are those of all URLs with a host, and every URL is judged.
+The trees are learnt from labelled URLs, given ones and those that a rule speaks of, and judge the others. They are fitted on at most
+``FIT_ROWS`` labelled URLs, picked by hash; counts of suffixes are those of all URLs with a host, their block rates
+those of all labelled URLs, and every URL is judged.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; equal URLs get equal
-verdicts; with no URL or a single label the verdict of all is that label (allow if there is none), and a sample
-of a single label gives all URLs the block rate of the table; an empty table gives an empty result; other columns
+verdicts; with labels of a single kind the others get that label (allow if there is none), and a sample of a single
+kind gives all URLs the block rate of the labelled ones; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -23,9 +23,6 @@ from foliogrid.llm.common import ascii_lower, materialize, table
 # Rules of the given policy, host and path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# Host terms of known junk that label URLs no rule speaks of.
-SEED_TERMS = ("spam", "pills", "casino", "viagra", "porn", "warez", "payday", "replica")
-
 #: Labelled URLs that the trees are fitted on, at most.
 FIT_ROWS = 20_000
 #: Bytes of suffix statistics up to which they are broadcast, and the part of all URLs from which a suffix is frequent.
@@ -83,7 +80,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 def with_suffix_statistics(urls: DataFrame, stats: DataFrame, prior: float, total: int, small: bool) -> DataFrame:
     """Adds the statistics of each URL's suffix. Those that are not small are shuffled, but for frequent suffixes, which are few."""
-    of = stats.select("suffix", F.log1p(F.col("n").cast("double")).alias("suffix_log_count"), ((F.col("blocked") + 10 * prior) / (F.col("n") + 10)).alias("suffix_block_rate"), "n")
+    of = stats.select("suffix", F.log1p(F.col("n").cast("double")).alias("suffix_log_count"), ((F.col("blocked") + 10 * prior) / (F.col("labelled") + 10)).alias("suffix_block_rate"), "n")
     if small:
         known = urls.join(F.broadcast(of.drop("n")), "suffix", "left")
     else:
@@ -95,22 +92,25 @@ def with_suffix_statistics(urls: DataFrame, stats: DataFrame, prior: float, tota
     return known.fillna({"suffix_log_count": 0.0, "suffix_block_rate": prior})
 
 
-def judge_urls(pages: DataFrame, rules=RULES, seed_terms=SEED_TERMS, fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per URL: ``id_col, host, path, rule, verdict, block_probability``."""
+def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per URL: ``id_col, host, path, rule, verdict, block_probability``.
+
+    ``labels(url, block)`` are labelled URLs beside those of the rules, which come first; of several labels block counts.
+    """
     host, path = parsed(F.col("url"))
     urls = pages.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     name, verdict = longest_rule(rules, F.col("host"), F.col("path"))
-    seeded = F.lit(False)
-    for term in seed_terms:
-        seeded = seeded | F.contains("host", F.lit(term))
-    ruled = urls.withColumns({"rule": name, "ruled": verdict}).withColumn("label", (F.coalesce(F.col("ruled"), F.when(seeded, "block").otherwise("allow")) == "block").cast("double"))
+    ruled = urls.withColumns({"rule": name, "ruled": verdict}).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    if labels is not None:
+        given = labels.groupBy("url").agg(F.max("block").cast("double").alias("given"))
+        ruled = ruled.join(given, "url", "left").withColumn("label", F.coalesce("label", "given")).drop("given")
     hosted = ruled.filter("host <> ''")
     # over all URLs; combined before it is shuffled
-    stats = materialize(hosted.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
-    total, blocked, held = stats.agg(F.sum("n"), F.sum("blocked"), F.sum(F.octet_length("suffix") + 24)).first()
+    stats = materialize(hosted.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")), "url-suffixes")
+    total, labelled, blocked, held = stats.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked"), F.sum(F.octet_length("suffix") + 32)).first()
     # bounded by fit_rows: the sample and the model
-    sample = materialize(lexical(hosted.orderBy(F.xxhash64("url", id_col)).limit(fit_rows)), "url-sample")
-    prior = blocked / total if total else 0.0
+    sample = materialize(lexical(hosted.filter("label IS NOT NULL").orderBy(F.xxhash64("url", id_col)).limit(fit_rows)), "url-sample")
+    prior = blocked / labelled if labelled else 0.0
     if sample.select("label").distinct().count() < 2:
         judged = ruled.withColumn("block_probability", F.lit(prior))
     else:

@@ -58,6 +58,22 @@ def test_copied_and_live_secrets(spark):
     assert SE.secret_report(docs.limit(0)).count() == 0
 
 
+def test_classes_equal_plain_counts_of_owners(spark):
+    rng = random.Random(11)
+    values = [f"{'changeme' if k % 5 == 0 else ''}{rng.choice(['aaaabbbb', 'Zq8kLm2pQr9x', 'T0kEn77xYz4w'])}{k}" for k in range(25)]
+    rows = [(i, "; ".join(f"token = {rng.choice(values)}" for _ in range(rng.randint(0, 3))), rng.choice(["en", "de", None]), rng.choice([None, *(f"s{k}" for k in range(5))])) for i in range(60)]
+    owners = {}
+    for _, text, _, source in rows:
+        for v in re.findall("token = ([A-Za-z0-9]+)", text):
+            owners.setdefault(v, set()).add(source or "")
+    kind = lambda v: "copied" if len(owners[v]) >= 3 else "placeholder" if "changeme" in v else "weak" if len(set(v)) < 8 else "live"
+    for r in SE.secret_report(spark.createDataFrame(rows, DOCS)).collect():
+        want = [kind(v) for v in re.findall("token = ([A-Za-z0-9]+)", rows[r.doc_id][1])]
+        assert r.span_classes == ",".join(want) and (r.n_live, r.n_copied) == (want.count("live"), want.count("copied"))
+    _, spans = SE.find_secrets(spark.createDataFrame(rows, DOCS))
+    assert "secret" not in spans.columns and not any(v in str(r) for r in spans.collect() for v in values)
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -96,6 +112,38 @@ def test_scans_find_templates_without_their_optional_wording(spark):
     assert [r.labels for r in optional.orderBy("doc_id").collect()] == ["", "all"]
 
 
+def plain_match(template: str, words: list[str]) -> bool:
+    """Whether some stretch of words is the template with some regions left out, by trying all of them."""
+    parts = re.findall(r"\[\[.*?\]\]|\{\{\d+\}\}|\S+", template)
+
+    def fits(k: int, at: int) -> bool:
+        if k == len(parts):
+            return True
+        part = parts[k]
+        if part.startswith("[["):
+            inner = part[2:-2].split()
+            return fits(k + 1, at) or (words[at : at + len(inner)] == inner and fits(k + 1, at + len(inner)))
+        if part.startswith("{{"):
+            return any(at + n <= len(words) and fits(k + 1, at + n) for n in range(int(part[2:-2]) + 1))
+        return at < len(words) and words[at] == part and fits(k + 1, at + 1)
+
+    return any(fits(0, i) for i in range(len(words)))
+
+
+def test_scan_equals_plain_matching_of_random_templates(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcde")
+    templates = {}
+    for k in range(12):
+        parts = [rng.choice([word(), word(), f"[[{word()}]]", f"[[{word()} {word()}]]", f"{{{{{rng.randint(1, 2)}}}}}"]) for _ in range(rng.randint(1, 4))]
+        templates[f"t{k}"] = " ".join([*parts, word()] if k % 2 else ["[[a]]", *parts, word()])
+    templates["foo"] = "[[foo]] released here"
+    texts = [" ".join(word() for _ in range(rng.randint(0, 7))) for _ in range(80)] + ["x y z released here", "", None]
+    docs = spark.createDataFrame([(i if i else None, t, "en", "s") for i, t in enumerate(texts)], DOCS).withColumns({"labels": F.lit(1), "score": F.lit("s"), "n_words": F.lit(None).cast("int")})
+    got = {r.doc_id or 0: set(filter(None, r.labels.split(","))) for r in LI.license_scan(docs, templates=templates).collect()}
+    assert got == {i: {label for label, t in templates.items() if plain_match(t, (text or "").split())} for i, text in enumerate(texts)}
+
+
 def test_url_rules_and_parts(spark):
     cases = {
         "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://EXAMPLE.NET/x?q#f": ("example.net", "/x", "net/", "block"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
@@ -109,18 +157,44 @@ def test_url_rules_and_parts(spark):
     assert {r.verdict for r in U.judge_urls(pages.filter("page_id = 0")).collect()} == {"allow"}
 
 
-def test_url_trees_find_junk_hosts(spark):
+def test_url_trees_agree_with_rules_they_were_not_fitted_on(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    out = U.judge_urls(pages).filter("rule IS NULL AND host <> ''").withColumn("junk", F.col("host").rlike("spam|pills"))
-    hit = {(r.junk, r.verdict): r["count"] for r in out.groupBy("junk", "verdict").count().collect()}
-    assert hit.get((True, "block"), 0) > 10 * hit.get((True, "allow"), 0) and hit.get((False, "allow"), 0) > 20 * hit.get((False, "block"), 0)
+    out = U.judge_urls(pages, fit_rows=400).filter("rule IS NOT NULL")
+    hit = {(r.verdict == "block", r.said): r["count"] for r in out.withColumn("said", F.col("block_probability") >= 0.5).groupBy("verdict", "said").count().collect()}
+    right, total = sum(n for (v, s), n in hit.items() if v == s), sum(hit.values())
+    most = max(sum(n for (v, _), n in hit.items() if v == kind) for kind in (True, False))
+    assert total > 1000 and right > most + 0.1 * total
+
+
+def test_given_url_labels_are_learnt(spark):
+    urls = [f"https://{'bad' * (i % 2)}h{i}.x{i % 3}.org/{'1234567890' * (i % 2)}/{i}" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(u, bool(i % 2)) for i, u in enumerate(urls) if i % 3] + [(urls[1], None), (None, True), (urls[1], True)], "url string, block boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(pages, labels=labels).collect()}
+    assert got == {i: (None, "block" if i % 2 else "allow") for i in range(300)}
+
+
+def test_url_features_equal_plain_code(spark):
+    urls = ["http://a-b.c1.com/x/y9/?q=1&r=2#z", "https://www.é.org", "ftp://x.y/1234", "http://h/%20/a//b", None, "no host", "s://H-1.-/?=&&a=b", "http://" + "d" * 5000 + ".net/" + "e/" * 3000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = U.parsed(F.col("url"))
+    for r in U.lexical(frame.withColumns({"host": host, "path": path})).collect():
+        u, h, p = urls[r.page_id] or "", r.host, r.path
+        share = lambda t: len(re.findall("[0-9]", t)) / len(t) if t else 0.0
+        entropy = -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values()) if u else 0.0
+        want = (len(u), len(h), len(p), len(re.findall(r"[^.]+", h)), len(re.findall("/[^/]", p)), share(u), share(h), entropy, len(re.findall("[?&][^=&#]+=", u)), h.count("-"), float(u.startswith("https")), float(h.startswith("www.")))
+        assert [r[c] for c in U.FEATURES[:12]] == pytest.approx(want), urls[r.page_id]
+        assert r.suffix == (h.rsplit(".", 1)[-1] if h else None)
 
 
 @pytest.mark.parametrize("broadcast_bytes", [U.BROADCAST_BYTES, 0])
 def test_url_suffix_statistics_cover_all_pages(spark, monkeypatch, broadcast_bytes):
     hosts = [f"h{i}.spam{i % 3}.{'com' if i % 2 else f's{i % 40}'}" if i % 4 < 2 else f"h{i}.fine{i % 5}.{'com' if i % 2 else f's{i % 90}'}" for i in range(600)] + ["a.", "x"]
     urls = [f"https://{h}/p/{i}" for i, h in enumerate(hosts)] + ["no host", None]
-    counts, blocked = Counter(h.split(".")[-1] for h in hosts), Counter(h.split(".")[-1] for h in hosts if "spam" in h)
+    suffix = lambda h: h.split(".")[-1]
+    rules, ruled = (("com/p/1", "block"), ("s2/", "block"), ("com/", "allow"), ("s4/", "allow")), ("com", "s2", "s4")
+    counts, labelled = Counter(map(suffix, hosts)), Counter(suffix(h) for h in hosts if suffix(h) in ruled)
+    blocked = Counter(suffix(h) for i, h in enumerate(hosts) if suffix(h) == "s2" or (suffix(h) == "com" and str(i).startswith("1")))
     seen, transform = [], U.VectorAssembler.transform
 
     def spy(self, df, *args):
@@ -130,15 +204,15 @@ def test_url_suffix_statistics_cover_all_pages(spark, monkeypatch, broadcast_byt
     monkeypatch.setattr(U.VectorAssembler, "transform", spy)
     monkeypatch.setattr(U, "FREQUENT", 0.1)
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    out = U.judge_urls(pages, fit_rows=50, broadcast_bytes=broadcast_bytes).collect()
+    out = U.judge_urls(pages, rules, fit_rows=50, broadcast_bytes=broadcast_bytes).collect()
     assert sorted(r.page_id for r in out) == list(range(len(urls))) and len(seen) == 2
-    prior = sum(blocked.values()) / len(hosts)
+    prior = sum(blocked.values()) / sum(labelled.values())
     assert seen[0].count() == 50
     for df in seen:
         for r in df.select("page_id", "suffix", "suffix_log_count", "suffix_block_rate").collect():
             host = hosts[r.page_id] if r.page_id < len(hosts) else None
-            n, b = (counts[host.split(".")[-1]], blocked[host.split(".")[-1]]) if host else (0, 0)
-            assert (r.suffix_log_count, r.suffix_block_rate) == pytest.approx((math.log1p(n), (b + 10 * prior) / (n + 10)))
+            n, of, b = (c[suffix(host)] if host else 0 for c in (counts, labelled, blocked))
+            assert (r.suffix_log_count, r.suffix_block_rate) == pytest.approx((math.log1p(n), (b + 10 * prior) / (of + 10)))
 
 
 def test_quality_ranks_held_out_documents(spark):
@@ -207,4 +281,9 @@ def test_overlaps_equal_plain_alignment(spark, broadcast):
     assert got == want and len(want) > 5
     clean = DC.drop_contaminated(d, b, broadcast_seeds=broadcast)
     assert {r.doc_id for r in clean.collect()} == {*docs, 90, 91} - {i for i, _ in want} and clean.columns == d.columns
+    odd = b.union(spark.createDataFrame([(None, ", ".join(items[13])), (13, ", ".join(items[13]))], b.schema)).withColumn("item", F.lit("x"))
+    more = {(r.doc_id, r.item_id): r.matched for r in DC.contamination(d, odd, broadcast_seeds=broadcast).collect()}
+    assert more == {**want, **{(i, None): m for (i, j), m in want.items() if j == 13}}
+    clash = d.withColumns({"__bad": F.lit(1), "__BAD1": F.lit(2)})
+    assert DC.drop_contaminated(clash, b, broadcast_seeds=broadcast).columns == clash.columns
     assert DC.contamination(d.limit(0), b).count() == 0 and DC.contamination(d, b.limit(0)).count() == 0
