@@ -42,6 +42,8 @@ PERCENT = 80
 TASK_WORDS, TASK_SETS = 4_000_000, 200_000
 #: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
 SCAN, TRIES = 4096, 16
+#: Pairs of a set that are verified before the join, the likeliest first.
+VERIFIED = 4
 #: Rows of the first pass that a task works on at a time, words whole unless they have more rows than the second.
 ROWS, MOST_ROWS = 1 << 18, 1 << 20
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
@@ -198,8 +200,9 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
 
 
 def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: int = TRIES, most_rows: int = MOST_ROWS) -> DataFrame:
-    """``l, r, far, more``: a set and the first earlier one of a word that passes by far, or else up to ``tries`` that pass, for each word.
+    """``l, r, apart, more``: a set and the first earlier one of a word that passes by far, or else up to ``tries`` that pass, for each word.
 
+    ``apart`` is the difference of their marks in percent of what is allowed, up to 50 if a pair passes by far.
     ``more`` tells that not all earlier sets of the word have been looked at; rows of which only this is known have
     ``r = l``. One sort by word; a task holds a word of up to ``most_rows`` sets, more are worked on in parts.
     """
@@ -212,7 +215,7 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
         begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         first = np.repeat(begin, np.diff(np.append(begin, len(g))))
         pos, count, more, sure = np.arange(len(g)) - first, np.zeros(len(g), np.int64), np.zeros(len(g), bool), np.zeros(len(g), bool)
-        found, others, safe = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+        found, others, percents = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         left = np.flatnonzero(pos > 0)
         for j in range(scan):
             if not len(left):
@@ -225,7 +228,7 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
             far = ok & (2 * apart <= most)
             found.append(left[ok])
             others.append(e[ok])
-            safe.append(far[ok])
+            percents.append((apart[ok] * 100 + most[ok] - 1) // most[ok])
             count[left[ok]] += 1
             sure[left[far]] = True
             done, goes_on = far | (count[left] >= tries), pos[left] > j + 1
@@ -235,10 +238,10 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
         more |= sure & (count > 1)
         more |= cut | (pos >= scan) | ((g.view(np.uint64) >> np.uint64(56)) >= HOT_CLASS)
         alone = np.flatnonzero(more & (count == 0))
-        found, others, safe = np.concatenate(found), np.concatenate(others), np.concatenate(safe)
-        keep = safe | ~sure[found]
+        found, others, percents = np.concatenate(found), np.concatenate(others), np.concatenate(percents)
+        keep = (percents <= 50) | ~sure[found]
         l, r = np.concatenate([found[keep], alone]), np.concatenate([others[keep], alone])
-        return pa.RecordBatch.from_arrays([pa.array(number[l]), pa.array(number[r]), pa.array(np.concatenate([safe[keep], np.zeros(len(alone), bool)])), pa.array(more[l])], ["l", "r", "far", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(number[l]), pa.array(number[r]), pa.array(np.concatenate([percents[keep], np.full(len(alone), 101)]).astype(np.int32)), pa.array(more[l])], ["l", "r", "apart", "more"])
 
     def run(batches):
         waiting, size, parted = [], 0, None
@@ -267,7 +270,7 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
     low = F.xxhash64("token", F.pmod(F.xxhash64("number"), F.lit(HOT_SALTS))).bitwiseAND((1 << 56) - 1)
     dealt = rows.select("id", F.when(hot, F.col("token").bitwiseAND(-1 << 56).bitwiseOR(low)).otherwise(F.col("token")).alias("g"), "number", "b", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("ni"))
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "l long, r long, far boolean, more boolean")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "l long, r long, apart int, more boolean")
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
@@ -278,11 +281,10 @@ def _ranks(ids: pa.Array) -> np.ndarray:
 
 
 def picked(pairs: DataFrame) -> DataFrame:
-    """``l, r, more``: one pair of each set that passes by far, or all of a set that has none."""
-    by_set = pairs.groupBy("l").agg(F.collect_set(F.struct("far", "r")).alias("rs"), F.max("more").alias("more"))
-    best = F.array_max("rs")
-    rs = F.when(best["far"], F.array(best)).otherwise(F.col("rs"))
-    return by_set.select("l", F.explode(rs).alias("x"), (F.col("more") | (best["far"] & (F.size("rs") > 1))).alias("more")).select("l", F.col("x.r").alias("r"), "more")
+    """``l, r, more``: the likeliest pair of each set if it passes by far, or else the ``VERIFIED`` likeliest."""
+    by_set = pairs.groupBy("l").agg(F.array_sort(F.collect_set(F.struct("apart", "r"))).alias("rs"), F.max("more").alias("more"))
+    taken = F.when(F.col("rs")[0]["apart"] <= 50, 1).otherwise(VERIFIED)
+    return by_set.select("l", F.explode(F.slice("rs", 1, taken)).alias("x"), (F.col("more") | (F.size("rs") > taken)).alias("more")).select("l", F.col("x.r").alias("r"), "more")
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
