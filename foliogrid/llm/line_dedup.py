@@ -30,6 +30,7 @@ import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.llm.common import discard, free_name, is_small, lookup, materialize, slices, table, whole_text
@@ -42,8 +43,8 @@ PERCENT = 80
 TASK_WORDS, TASK_SETS = 4_000_000, 200_000
 #: Earlier sets of a word that the first pass looks at, and pairs of a set that it makes, at most; the join does the rest.
 SCAN, TRIES = 4096, 16
-#: Pairs of a set that are verified before the join, the likeliest first.
-VERIFIED = 4
+#: Pairs of a set that are verified before all others, the likeliest first.
+VERIFIED = 16
 #: Rows of the first pass that a task works on at a time, words whole unless they have more rows than the second.
 ROWS, MOST_ROWS = 1 << 18, 1 << 20
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
@@ -316,9 +317,14 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         mine = prefix_rows(lines.join(lookup(open_.select(F.col("number").alias("open")), 16), number == F.col("open")))
         mine = materialize(mine.select("token", F.col("number").alias("l"), "n", "i", "b", F.struct("id", "number").alias("place")), "line-open-words")
         others = prefix_rows(lines).select("token", F.col("number").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("b").alias("d"), F.struct("id", "number").alias("earlier"))
-        rest = others.join(lookup(mine, 128), "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent)).select("l", "r").distinct()
-        rest = materialize(rest.join(found.select("l", "r"), ["l", "r"], "left_anti"), "line-rest")
-        matched = matched.union(matches(rest))
+        both = others.join(lookup(mine, 128), "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent))
+        apart = F.bit_count(F.col("b").bitwiseXOR(F.col("d"))) / (F.col("n") + F.col("m"))
+        rest = both.groupBy("l", "r").agg(F.min(apart).alias("apart")).join(found.select("l", "r"), ["l", "r"], "left_anti")
+        rest = materialize(rest.withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("apart", "r"))), "line-rest")
+        # most sets have a match among the likeliest; only those without are compared with all
+        more = matches(rest.filter(F.col("nth") <= VERIFIED))
+        still = materialize(open_.join(lookup(more.withColumnRenamed("l", "h"), 64), "h", "left_anti").select(F.col("number").alias("l")), "line-still")
+        matched = matched.union(more).union(matches(rest.filter(F.col("nth") > VERIFIED).join(lookup(still, 16), "l", "left_semi")))
     # the first line of each set without a match stays
     stay = materialize(sets.join(lookup(materialize(matched.select(F.col("l").alias("h")).distinct(), "line-near"), 64), "h", "left_anti").select(F.col("first").alias("number"), F.lit(True).alias("stays")), "line-stay")
     discard(sets, found, open_)

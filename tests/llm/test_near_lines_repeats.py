@@ -142,6 +142,7 @@ def test_lines_whose_words_are_in_parts(spark, monkeypatch, scan, tries, most_ro
             words[rng.randrange(20)] = f"x{rng.randrange(40)}"
         texts.append(" ".join(words) + ("\n" + " ".join(rng.sample(base, 4)) if i % 3 else ""))
     monkeypatch.setattr(LD, "ROWS", 50)
+    monkeypatch.setattr(LD, "VERIFIED", min(tries, 3))
     monkeypatch.setattr(LD, "HOT_CLASS", hot)
     monkeypatch.setattr(LD.earlier_candidates, "__defaults__", (scan, tries, most_rows))
     ids = [None if i == 7 else 500 - i for i in range(len(texts))]
