@@ -7,28 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.functions.scalars import box_gaps, crop_geometry, orientation, reading_key
+from foliogrid.functions.storage import materialize
 
 BOX = ("x", "y", "w", "h")
 
 
-def _cells(boxes: DataFrame, grow: int, cell: int) -> DataFrame:
+def _cells(boxes: DataFrame, grow: int | Column, cell: int) -> DataFrame:
     """A row for every grid cell that the box, grown on all sides, touches."""
     span = lambda a, size: F.sequence(F.floor((F.col(a) - grow) / cell), F.floor((F.col(a) + F.col(size) + grow) / cell))
     return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
 
 
-def near_pairs(boxes: DataFrame, distance: int, cell: int = 64, gate: Column | None = None) -> DataFrame:
+def near_pairs(boxes: DataFrame, distance: int | Column, cell: int = 64, gate: Column | None = None) -> DataFrame:
     """``page, l, r`` of boxes of a page whose gaps are both below ``distance``; none for distance 0.
 
     Both sides meet in grid cells, so a page with many boxes is spread over its cells and only neighbours are
-    compared. ``gate`` is a further condition on the columns ``l_*`` and ``r_*``.
+    compared. A pair is told by one of their cells: that of the corner at which the grown box and the other
+    begin to overlap. ``distance`` may be an expression over ``page``; ``gate`` is a further condition on the
+    columns ``l_*`` and ``r_*``.
     """
     left = _cells(boxes.select("page", F.col("label").alias("l"), *(F.col(c) for c in BOX)), distance, cell).withColumnsRenamed({c: f"l_{c}" for c in BOX})
     right = _cells(boxes.select("page", F.col("label").alias("r"), *(F.col(c) for c in BOX)), 0, cell).withColumnsRenamed({c: f"r_{c}" for c in BOX})
     hgap, vgap = box_gaps(*(F.col(f"l_{c}") for c in BOX), *(F.col(f"r_{c}") for c in BOX))
-    close = (F.col("l") < F.col("r")) & (hgap < distance) & (vgap < distance)
+    at = lambda a: F.floor(F.greatest(F.col(f"l_{a}") - distance, F.col(f"r_{a}")) / cell)
+    close = (F.col("l") < F.col("r")) & (hgap < distance) & (vgap < distance) & (F.col("cx") == at("x")) & (F.col("cy") == at("y"))
     meet = left.join(right, ["page", "cx", "cy"]).filter(close if gate is None else close & gate)
-    return meet.select("page", "l", "r").distinct()
+    return meet.select("page", "l", "r")
 
 
 def axis_overlap_gate() -> Column:
@@ -42,17 +46,34 @@ def not_rule_gate(thin: int) -> Column:
     return (F.least("l_w", "l_h") >= thin) & (F.least("r_w", "r_h") >= thin)
 
 
-def page_groups(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+def page_groups(boxes: DataFrame, pairs: DataFrame, most_links: int = 64) -> DataFrame:
     """``page, label, grp``: smallest label that each box is joined with, by its page's links.
 
-    The links of one page are one component problem; all pages are solved together.
+    Links never leave a page: a page of up to ``most_links`` is solved in one row. All others are one component
+    problem, whose rounds spread a page over the cluster.
     """
     from foliogrid.operators.graph import connected_components
 
-    node = lambda c: F.concat_ws(":", F.lpad(F.col("page").cast("string"), 20, "0"), F.lpad(F.col(c).cast("string"), 20, "0"))
-    found = connected_components(pairs.select(node("l").alias("l"), node("r").alias("r")))
-    out = boxes.withColumn("node", node("label")).join(found, "node", "left")
-    return out.withColumn("grp", F.coalesce(F.element_at(F.split("component", ":"), 2).cast("long"), F.col("label"))).drop("node", "component")
+    links = materialize(pairs.select("page", "l", "r"), "page-links")
+    n = links.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    few = links.join(n.filter(F.col("n") <= most_links), "page").groupBy("page").agg(F.collect_list(F.struct("l", "r")).alias("links"))
+    labels = F.array_distinct(F.flatten(F.transform("links", lambda e: F.array(e["l"], e["r"]))))
+
+    def join_ends(groups: Column, link: Column) -> Column:
+        of = lambda end: F.filter(groups, lambda g: g["label"] == link[end])[0]["grp"]
+        # an array of one names the two groups, so that they are looked up once a link
+        two = F.array(F.struct(of("l").alias("a"), of("r").alias("b")))
+        moved = lambda g, t: F.when((g["grp"] == t["a"]) | (g["grp"] == t["b"]), F.least(t["a"], t["b"])).otherwise(g["grp"])
+        return F.transform(two, lambda t: F.transform(groups, lambda g: F.struct(g["label"].alias("label"), moved(g, t).alias("grp"))))[0]
+
+    solved = F.aggregate("links", F.transform(labels, lambda x: F.struct(x.alias("label"), x.alias("grp"))), join_ends)
+    found = few.select("page", F.explode(solved).alias("g")).select("page", "g.label", "g.grp")
+    many = materialize(links.join(n.filter(F.col("n") > most_links), "page", "left_semi"), "page-links")
+    if not many.isEmpty():
+        node = lambda c: F.struct("page", F.col(c).alias("label"))
+        wide = connected_components(many.select(node("l").alias("l"), node("r").alias("r")))
+        found = found.union(wide.select("node.page", "node.label", F.col("component.label").alias("grp")))
+    return boxes.join(found, ["page", "label"], "left").withColumn("grp", F.coalesce("grp", F.col("label")))
 
 
 def filter_components(components: DataFrame, min_area: int, max_area: int) -> DataFrame:
@@ -89,10 +110,12 @@ def extract_regions(components: DataFrame, pages: DataFrame, min_area: int, max_
     return regions, pages.select("page").distinct().join(n, "page", "left").select("page", state.alias("outcome"))
 
 
-def components_in_box(components: DataFrame, regions: DataFrame) -> DataFrame:
-    """Components that touch a region's box, half open."""
-    c, r = components.alias("c"), regions.alias("r")
-    touch = (F.col("c.page") == F.col("r.page")) & (F.col("c.x") < F.col("r.x") + F.col("r.w")) & (F.col("r.x") < F.col("c.x") + F.col("c.w")) & (F.col("c.y") < F.col("r.y") + F.col("r.h")) & (F.col("r.y") < F.col("c.y") + F.col("c.h"))
+def components_in_box(components: DataFrame, regions: DataFrame, cell: int = 64) -> DataFrame:
+    """Components that touch a region's box, half open; they meet in the grid cell where both boxes begin to overlap."""
+    c, r = _cells(components, 0, cell).alias("c"), _cells(regions, 0, cell).alias("r")
+    begin = lambda a: F.floor(F.greatest(f"c.{a}", f"r.{a}") / cell)
+    same = (F.col("c.page") == F.col("r.page")) & (F.col("c.cx") == F.col("r.cx")) & (F.col("c.cy") == F.col("r.cy"))
+    touch = same & (F.col("c.cx") == begin("x")) & (F.col("c.cy") == begin("y")) & (F.col("c.x") < F.col("r.x") + F.col("r.w")) & (F.col("r.x") < F.col("c.x") + F.col("c.w")) & (F.col("c.y") < F.col("r.y") + F.col("r.h")) & (F.col("r.y") < F.col("c.y") + F.col("c.h"))
     return r.join(c, touch).select("r.page", "r.region_id", "c.label")
 
 
@@ -106,12 +129,24 @@ def chain_report(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def region_sweep(boxes: DataFrame, grid: DataFrame) -> DataFrame:
-    """Region count and box sizes for every (min_area, distance) of a small grid; the setting is part of the page key."""
-    configs = [(r.config, r.min_area, r.distance) for r in grid.collect()]
-    out = None
-    for config, min_area, distance in configs:
-        kept = boxes.filter(F.col("area") >= min_area)
-        grouped = page_groups(kept, near_pairs(kept, distance)) if distance > 0 else kept.withColumn("grp", F.col("label"))
-        one = merge_regions(grouped).agg(F.count(F.lit(1)).alias("regions"), F.median(F.col("w") * F.col("h")).alias("median_box"), F.percentile(F.col("w") * F.col("h"), 0.95).alias("p95_box")).select(F.lit(config).alias("config"), "regions", "median_box", "p95_box")
-        out = one if out is None else out.union(one)
-    return out
+    """Regions for every ``config, min_area, distance`` of a small grid: number, false and true ones, box sizes.
+
+    The setting is part of the page key, so all settings are one job. ``boxes`` has ``true_area``, the ink of a
+    box that is text; a region is false if less than a hundredth of its boxes' ink is. Settings without a region
+    have no row.
+    """
+    wide = boxes.crossJoin(F.broadcast(grid)).filter("area >= min_area").withColumn("page", F.struct("config", "distance", "page"))
+    grouped = page_groups(wide, near_pairs(wide, F.col("page.distance")))
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    size = (right - F.min("x")) * (bottom - F.min("y"))
+    regions = grouped.groupBy("page", "grp").agg(size.alias("size"), (F.sum("true_area") * 100 < F.sum("area")).alias("false"))
+    false = F.count_if("false")
+    return regions.groupBy("page.config").agg(F.count(F.lit(1)).alias("regions"), false.alias("false_regions"), (F.count(F.lit(1)) - false).alias("true_regions"), F.median("size").alias("median_box"), F.percentile("size", 0.95).alias("p95_box"))
+
+
+def link_gaps(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per page: links, medians and largest of their gaps on both axes, and links that are apart on both."""
+    ends = [boxes.select("page", F.col("label").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in BOX)) for e in "lr"]
+    h, v = box_gaps(*(F.col(f"{e}_{c}") for e in "lr" for c in BOX))
+    both = pairs.join(ends[0], ["page", "l"]).join(ends[1], ["page", "r"]).select("page", h.alias("h"), v.alias("v"))
+    return both.groupBy("page").agg(F.count(F.lit(1)).alias("links"), F.median("h").alias("h_median"), F.max("h").alias("h_max"), F.median("v").alias("v_median"), F.max("v").alias("v_max"), F.count_if((F.col("h") > 0) & (F.col("v") > 0)).alias("diagonal"))

@@ -99,12 +99,18 @@ def win9(spark, d):
     return MK.adaptive_threshold(grid(Views(spark, d)), 3, 18.5)
 
 
-@query("win9_adaptive_gaussian", None)
+def blurred(radius: int, weight: str) -> str:
+    """Weighted sum ``s`` of the block around each pixel of the grid, edges repeated; ``weight`` speaks of ``i``."""
+    o = f"(SELECT i, {weight} AS w FROM (SELECT unnest(generate_series(-{radius}, {radius})) AS i))"
+    return f"SELECT g.image_id, g.y, g.x, any_value(g.v) AS v, sum(a.w * b.w * q.v) / sum(a.w * b.w) AS s FROM ({GRID}) g CROSS JOIN {o} a CROSS JOIN {o} b JOIN ({GRID}) q ON q.image_id = g.image_id AND q.y = least(greatest(g.y + a.i, 1), 30) AND q.x = least(greatest(g.x + b.i, 0), 23) GROUP BY g.image_id, g.y, g.x"
+
+
+@query("win9_adaptive_gaussian", f"SELECT image_id, y, x, CASE WHEN v <= s - 4.25 THEN 255 ELSE 0 END AS v FROM ({blurred(2, 'exp(-i * i / (2 * 1.1 * 1.1))')})")
 def win9g(spark, d):
     return MK.adaptive_threshold(grid(Views(spark, d)), 5, 4.25, gaussian=True)
 
 
-@query("win10_denoise_gaussian", None)
+@query("win10_denoise_gaussian", f"SELECT image_id, y, x, CAST(round_even(s, 0) AS INTEGER) AS v FROM ({blurred(1, '2 - abs(i)')})")
 def win10g(spark, d):
     return MK.denoise(grid(Views(spark, d)), "gaussian")
 
@@ -138,7 +144,7 @@ def mor2(spark, d):
     return MK.morphology(ink(spark, d), 1, 0, 3, 24, 30)
 
 
-@query("mor2_close", None)
+@query("mor2_close", f"WITH i AS ({INK}), o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest([-1, 0, 1]) AS i) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS i) b), d AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM i CROSS JOIN o WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 23) SELECT d.image_id, d.y, d.x FROM d CROSS JOIN o LEFT JOIN d q ON q.image_id = d.image_id AND q.y = d.y + dy AND q.x = d.x + dx WHERE d.y + dy BETWEEN 0 AND 29 AND d.x + dx BETWEEN 0 AND 23 GROUP BY ALL HAVING count(*) = count(q.y)")
 def mor2c(spark, d):
     return MK.morphology(ink(spark, d), 0, 1, 3, 24, 30)
 
@@ -254,10 +260,20 @@ def jn11(spark, d):
     return SP.components_in_box(b, SP.extract_regions(b, b, 40, 700, 12)[0])
 
 
-@query("agg20_region_sweep", None)
+SWEEP = f"""b AS (SELECT c.config, c.distance, v.* FROM v_boxes v, (VALUES ('a', 20, 0), ('b', 60, 6), ('c', 120, 12)) c(config, min_area, distance) WHERE v.area >= c.min_area), p AS (SELECT l.config, l.page, l.label AS l, r.label AS r FROM b l JOIN b r ON l.config = r.config AND l.page = r.page AND l.label < r.label AND {GAPS[0]} < l.distance AND {GAPS[1]} < l.distance), r(config, page, label, root) AS (SELECT config, page, label, label FROM b UNION SELECT r.config, r.page, CASE WHEN p.l = r.label THEN p.r ELSE p.l END, r.root FROM r JOIN p ON p.config = r.config AND p.page = r.page AND (p.l = r.label OR p.r = r.label)), g AS (SELECT config, page, label, min(root) AS grp FROM r GROUP BY ALL), m AS (SELECT config, page, grp, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS size, coalesce(sum(area) FILTER (flag = 'R'), 0) * 100 < sum(area) AS no FROM g JOIN b USING (config, page, label) GROUP BY ALL)"""
+
+
+@query("agg20_region_sweep", f"WITH RECURSIVE {SWEEP} SELECT config, count(*) AS regions, count(*) FILTER (no) AS false_regions, count(*) FILTER (NOT no) AS true_regions, round(median(size)::DOUBLE, 6) AS median_box, round(quantile_cont(size::DOUBLE, 0.95), 6) AS p95_box FROM m GROUP BY 1")
 def agg20(spark, d):
     cells = spark.createDataFrame([("a", 20, 0), ("b", 60, 6), ("c", 120, 12)], "config string, min_area int, distance int")
-    return SP.region_sweep(Views(spark, d).boxes(), cells)
+    boxes = Views(spark, d).boxes().withColumn("true_area", F.when(F.col("flag") == "R", F.col("area")).otherwise(0))
+    return rounded(SP.region_sweep(boxes, cells), "median_box", "p95_box", digits=6)
+
+
+@query("grf6_link_gaps", f"SELECT page, count(*) AS links, median(h)::DOUBLE AS h_median, max(h) AS h_max, median(v)::DOUBLE AS v_median, max(v) AS v_max, count(*) FILTER (h > 0 AND v > 0) AS diagonal FROM (SELECT l.page, {GAPS[0]} AS h, {GAPS[1]} AS v FROM v_boxes l JOIN v_boxes r ON l.page = r.page AND l.label < r.label AND {GAPS[0]} < 12 AND {GAPS[1]} < 12) GROUP BY 1")
+def grf6g(spark, d):
+    b = Views(spark, d).boxes()
+    return SP.link_gaps(b, SP.near_pairs(b, 12))
 
 
 @query("agg24_centroids", "WITH g AS (SELECT DISTINCT image_id, y, x FROM v_ink WHERE kind IN ('click', 'view', 'error')), n AS (SELECT DISTINCT image_id, y, x FROM v_ink WHERE kind IN ('purchase', 'signup')), q AS (SELECT i.image_id, k AS region_id, k * 12 AS l FROM (SELECT DISTINCT image_id FROM v_ink) i, (VALUES (0), (1)) t(k)), a AS (SELECT q.image_id, region_id, avg(x) AS cx, avg(y) AS cy, count(*) AS c FROM q JOIN g ON g.image_id = q.image_id AND g.x >= l AND g.x < l + 12 AND g.y BETWEEN 1 AND 30 GROUP BY ALL), b AS (SELECT q.image_id, region_id, avg(x) AS cx, avg(y) AS cy, count(*) AS c FROM q JOIN n ON n.image_id = q.image_id AND n.x >= l AND n.x < l + 12 AND n.y BETWEEN 1 AND 30 GROUP BY ALL) SELECT image_id, region_id, round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 9) AS \"offset\", round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) / sqrt(1044.0::DOUBLE), 9) AS relative FROM a JOIN b USING (image_id, region_id) WHERE a.c >= 2 AND b.c >= 2")

@@ -158,3 +158,20 @@ def test_partitioning_does_not_change_groups(spark):
     boxes = spark.createDataFrame([(1, i, rng.randrange(400), rng.randrange(400), 20, 10, 200) for i in range(60)], BOXES)
     one = lambda df: sorted((r.label, r.grp) for r in SP.page_groups(df, SP.near_pairs(df, 15)).collect())
     assert one(boxes.repartition(1)) == one(boxes.repartition(13)) == one(boxes.orderBy(F.desc("label")))
+
+
+def test_large_pages_get_the_groups_of_small_ones(spark):
+    rng = random.Random(2)
+    boxes = spark.createDataFrame([(p, i, rng.randrange(400), rng.randrange(400), 20, 10, 200) for p in (1, 2) for i in range(60)], BOXES)
+    pairs = SP.near_pairs(boxes, 25)
+    one = lambda most: sorted((r.page, r.label, r.grp) for r in SP.page_groups(boxes, pairs, most).collect())
+    assert one(0) == one(10_000)
+    assert len({g for p, _, g in one(0) if p == 1}) < 60
+
+
+def test_sweep_counts_false_regions(spark):
+    rows = [(1, 0, 0, 0, 10, 10, 100, 0), (1, 1, 15, 0, 10, 10, 100, 50), (2, 0, 0, 0, 10, 10, 30, 0)]
+    boxes = spark.createDataFrame(rows, BOXES + ", true_area long")
+    grid = spark.createDataFrame([("a", 0, 0), ("b", 50, 8), ("none", 1000, 8)], "config string, min_area int, distance int")
+    got = {r.config: (r.regions, r.false_regions, r.true_regions, r.median_box) for r in SP.region_sweep(boxes, grid).collect()}
+    assert got == {"a": (3, 2, 1, 100.0), "b": (1, 0, 1, 250.0)}
