@@ -177,8 +177,17 @@ def backoff_schedule(n: Column, initial: float, most: float) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.least(F.lit(initial) * F.pow(F.lit(2.0), k - 1), F.lit(most))))
 
 
+#: Characters that are white space, as members of a character class.
+BLANK = r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def is_blank(c) -> Column:
+    """Null, empty, or white space only."""
+    return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(rf"\A[{BLANK}]*\z"))
+
+
 def text_status(c) -> Column:
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "empty").otherwise("ok")
+    return F.when(is_blank(c), "empty").otherwise("ok")
 
 
 def canonical_json(*cols) -> Column:
@@ -200,8 +209,8 @@ def artifact_path(base, run_id, method, algorithm, image, suffix: str = ".png")
 
 
 def wrap_text(text: Column, width: int) -> Column:
-    """Lines of greedy wrapping to ``width`` characters; longer words are broken."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Lines of greedy wrapping to ``width`` characters; longer words are broken; a blank text is one line as it is."""
+    words = F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
     pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.char_length(w) / width).cast("int") - 1), lambda i: F.substring(w, i * width + 1, F.lit(width)))))
 
     def add(lines: Column, word: Column) -> Column:
@@ -210,4 +219,4 @@ def wrap_text(text: Column, width: int) -> Column:
         joined = F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat_ws(" ", last, word)))
         return F.when(F.size(lines) == 0, F.array(word)).when(fits, joined).otherwise(F.concat(lines, F.array(word)))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
+    return F.when(is_blank(text), F.array(text)).otherwise(F.aggregate(pieces, F.array().cast("array<string>"), add))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliogrid.functions.scalars import text_status
+from foliogrid.functions.scalars import is_blank, text_status
 
 
 def latest_edits(edits: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def enrich(requests: DataFrame, cache: DataFrame, provider, policy: str = "keep_
     """
     if policy not in ("keep_ocr_text", "exclude"):
         raise ValueError(f"unknown failure policy {policy!r}")
-    able = (F.col("status") == "ok") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    able = (F.col("status") == "ok") & ~is_blank(F.col("text"))
     looked = cache_lookup(requests.filter(able), cache)
     asked = provider(looked.filter("cache_status = 'miss'").groupBy("cache_key").agg(F.min("text").alias("text"))).select("cache_key", "answer")
     both = looked.join(asked, "cache_key", "left")

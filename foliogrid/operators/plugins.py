@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliogrid.functions.scalars import text_status
+
 Transform = Callable[[DataFrame], DataFrame]
 _METHODS: dict[str, Transform] = {}
 
@@ -36,24 +38,32 @@ def compose(stages: list[str | Transform]) -> Transform:
     return lambda df: reduce(DataFrame.transform, steps, df)
 
 
-def isolated(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str) -> DataFrame:
-    """``fn`` on every row by itself within Arrow batches; a row that raises is a row with its error.
+def isolated(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str, batched: bool = False) -> DataFrame:
+    """``fn`` on every row by itself within Arrow batches; a row that raises is a row with its error and keeps no other row back.
 
-    ``schema`` describes what ``fn`` returns for a one-row frame; ``key``, ``status`` and ``error`` are added.
+    ``schema`` describes what ``fn`` returns for a one-row frame; ``key``, ``status`` and ``error`` are added. If
+    ``batched``, ``fn`` gets whole batches and gives a row for each of their rows, in order; a batch that raises, or
+    that comes back with another number of rows, is halved until the rows at fault stand alone.
     """
     names = [part.split()[0] for part in schema.split(",")]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1]
+            out, open_ = [], [batch] if batched and len(batch) else [batch.iloc[i : i + 1] for i in reversed(range(len(batch)))]
+            while open_:
+                rows = open_.pop()
                 try:
-                    made = fn(row)[names].assign(status="ok", error=None)
+                    made = fn(rows)[names].assign(status="ok", error=None)
+                    if len(made) != len(rows):
+                        raise ValueError(f"{len(made)} rows for {len(rows)}")
                 except Exception as e:  # noqa: BLE001 - the contract is to record any failure
+                    if len(rows) > 1:
+                        half = len(rows) // 2
+                        open_ += [rows.iloc[half:], rows.iloc[:half]]
+                        continue
                     made = pd.DataFrame([{n: None for n in names} | {"status": "failed", "error": f"{type(e).__name__}: {e}"}])
-                made.insert(0, key, row[key].iloc[0])
+                made.insert(0, key, rows[key].to_numpy())
                 out.append(made)
             if out:
                 yield pd.concat(out)
@@ -67,13 +77,19 @@ def fixture_provider(answers: DataFrame) -> Transform:
 
 
 def recognise(crops: DataFrame, fn: Callable[[str], tuple[str, float | None]], key: str = "region", payload: str = "payload") -> DataFrame:
-    """OCR by a user function; a confidence that is not finite is null."""
+    """OCR by a user function; a confidence that is not finite is null; a crop whose function raises is ``failed``."""
     kind = crops.schema[key].dataType.simpleString()
 
+    def attempt(crop: str) -> tuple[str | None, float | None, str | None]:
+        try:
+            return *fn(crop), None
+        except Exception as e:  # noqa: BLE001 - the contract is to record any failure
+            return None, None, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [fn(p) for p in batch[payload]]
-            sure = [c if c is not None and math.isfinite(c) else None for _, c in got]
-            yield pd.DataFrame({key: batch[key], "text": [t for t, _ in got], "confidence": pd.array(sure, dtype="Float64")})
+            got = [attempt(p) for p in batch[payload]]
+            sure = [c if c is not None and math.isfinite(c) else None for _, c, _ in got]
+            yield pd.DataFrame({key: batch[key], "text": [t for t, _, _ in got], "confidence": pd.array(sure, dtype="Float64"), "error": [e for _, _, e in got]})
 
-    return crops.select(key, payload).mapInPandas(run, f"`{key}` {kind}, text string, confidence double").withColumn("status", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").otherwise("ok"))
+    return crops.select(key, payload).mapInPandas(run, f"`{key}` {kind}, text string, confidence double, error string").withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise(text_status(F.col("text"))))

@@ -184,9 +184,14 @@ def fn2(spark, d):
     return c.select("conv_id", "turn", S.cache_key("text", "role", F.lit("fixture"), F.lit("m1")).alias("cache_key"))
 
 
-@query("fn12_text_status", "SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY 1")
+BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query("fn12_text_status", f"SELECT CASE WHEN regexp_full_match(text, '{BLANK}*') THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM documents UNION ALL SELECT repeat(chr(12288), doc_id % 3) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN chr(160) ELSE lang END FROM documents) GROUP BY 1")
 def fn12(spark, d):
-    return Views(spark, d).table("documents").groupBy(S.text_status(F.col("text")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    docs = Views(spark, d).table("documents")
+    blank = docs.select(F.expr("concat(repeat('\u3000', cast(doc_id % 3 as int)), '\n', CASE WHEN doc_id % 2 = 0 THEN '\u00a0' ELSE lang END)").alias("text"))
+    return docs.select("text").union(blank).groupBy(S.text_status(F.col("text")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk4_artifact_path", "SELECT doc_id, 'outputs/run-1/otsu/telea/' || image_id || '.png' AS path FROM v_pages")
@@ -195,7 +200,10 @@ def snk4(spark, d):
     return p.select("doc_id", S.artifact_path(F.lit("outputs"), F.lit("run-1"), F.lit("otsu"), F.lit("telea"), F.col("image_id")).alias("path"))
 
 
-@query("fn11_wrap_text", None)
+WRAP = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda x: x <> '') AS words FROM conversations), p AS (SELECT conv_id, turn, flatten(list_transform(words, lambda w: list_transform(generate_series(0, (length(w) - 1) // 24), lambda i: substr(w, i * 24 + 1, 24)))) AS pieces, text FROM t), r(conv_id, turn, k, line, done, widest) AS (SELECT conv_id, turn, 1, length(pieces[1]), 0, 0 FROM p WHERE len(pieces) > 0 UNION ALL SELECT r.conv_id, r.turn, r.k + 1, CASE WHEN r.line + 1 + length(p.pieces[r.k + 1]) <= 24 THEN r.line + 1 + length(p.pieces[r.k + 1]) ELSE length(p.pieces[r.k + 1]) END, CASE WHEN r.line + 1 + length(p.pieces[r.k + 1]) <= 24 THEN r.done ELSE r.done + 1 END, CASE WHEN r.line + 1 + length(p.pieces[r.k + 1]) <= 24 THEN r.widest ELSE greatest(r.widest, r.line) END FROM r JOIN p USING (conv_id, turn) WHERE r.k < len(p.pieces)) SELECT r.conv_id, r.turn, r.done + 1 AS n_lines, greatest(r.widest, r.line) AS widest FROM r JOIN p USING (conv_id, turn) WHERE r.k = len(p.pieces) UNION ALL SELECT conv_id, turn, 1, length(text) FROM p WHERE len(pieces) = 0"""
+
+
+@query("fn11_wrap_text", WRAP)
 def fn11(spark, d):
     c = Views(spark, d).table("conversations")
     return c.select("conv_id", "turn", S.wrap_text(F.col("text"), 24).alias("lines")).select("conv_id", "turn", F.size("lines").alias("n_lines"), F.array_max(F.transform("lines", lambda x: F.char_length(x))).alias("widest"))

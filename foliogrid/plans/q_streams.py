@@ -55,12 +55,12 @@ def udf2(spark, d):
 
 @query("udf3_isolated", "SELECT event_id, CASE WHEN value < 1 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN value >= 1 THEN CAST(floor(value) AS BIGINT) END AS whole FROM events")
 def udf3(spark, d):
-    def whole(row):
-        if row["value"].iloc[0] < 1:
+    def whole(rows):
+        if (rows["value"] < 1).any():
             raise ValueError("too small")
-        return row.assign(whole=int(row["value"].iloc[0]))[["whole"]]
+        return rows.assign(whole=rows["value"].astype("int64"))[["whole"]]
 
-    return P.isolated(Views(spark, d).table("events").select("event_id", "value"), whole, "whole long", "event_id").select("event_id", "status", "whole")
+    return P.isolated(Views(spark, d).table("events").select("event_id", "value"), whole, "whole long", "event_id", batched=True).select("event_id", "status", "whole")
 
 
 @query("udf4_fixture_provider", "SELECT region, CASE WHEN role = 'system' THEN 'skipped' WHEN (c.translated IS NOT NULL AND turn <> 5) OR role = 'user' THEN 'ok' ELSE 'failed' END AS result_status FROM v_requests r LEFT JOIN v_cache c ON c.cache_key = sha256(r.text)")
@@ -73,4 +73,4 @@ def udf4(spark, d):
 @query("udf5_recogniser", "SELECT conv_id || '/' || turn AS region, upper(role) AS text, CASE WHEN role <> 'system' THEN 0.5::DOUBLE END AS confidence, 'ok' AS status FROM conversations")
 def udf5(spark, d):
     c = Views(spark, d).table("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("region"), F.col("role").alias("payload"))
-    return P.recognise(c, lambda s: (s.upper(), float("nan") if s == "system" else 0.5))
+    return P.recognise(c, lambda s: (s.upper(), float("nan") if s == "system" else 0.5)).drop("error")

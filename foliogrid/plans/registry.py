@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliogrid.plans import q_core, q_ledger, q_masks, q_streams
+from foliogrid.plans import q_core, q_files, q_ledger, q_masks, q_streams
 
 #: Modules with ``QUERIES`` (name -> callable) and ``ORACLES`` (name -> SQL).
-MODULES: tuple = (q_core, q_masks, q_ledger, q_streams)
+MODULES: tuple = (q_core, q_masks, q_ledger, q_streams, q_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,3 +65,14 @@ def test_page_status_names_the_most_fundamental_state(spark):
     df = spark.createDataFrame([(1, [], "m", "i", "r"), (2, [ok], None, "i", "r"), (3, [ok], "m", None, "r"), (4, [ok], "m", "i", None), (5, [ok, bad], "m", "i", "r"), (6, [ok, (None, None, None)], "m", "i", "r"), (7, None, "m", "i", "r")], f"id int, regions {kind}, m string, i string, r string")
     got = {r[0]: r[1] for r in df.select("id", S.page_status(F.col("regions"), F.col("m"), F.col("i"), F.col("r"))).collect()}
     assert got == {1: "no_text_regions", 2: "missing_prediction_mask", 3: "missing_inpainting_output", 4: "missing_ocr_translation_output", 5: "region_translation_failure", 6: "valid", 7: "no_text_regions"}
+
+
+@pytest.mark.parametrize(("text", "want"), [(None, "empty"), ("", "empty"), ("\n\t 　 \x1c ", "empty"), ("​", "ok"), (" a\n", "ok")])
+def test_white_space_of_any_kind_is_empty(spark, text, want):
+    assert (not (text or "").strip()) == (want == "empty")
+    assert one(spark, s=S.text_status(F.lit(text).cast("string")))["s"] == want
+
+
+def test_wrapping_splits_at_any_white_space_and_keeps_blank_texts(spark):
+    assert one(spark, lines=S.wrap_text(F.lit("a　bb c"), 4))["lines"] == ["a bb", "c"]
+    assert one(spark, lines=S.wrap_text(F.lit(" \n"), 4))["lines"] == [" \n"]

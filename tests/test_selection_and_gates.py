@@ -151,3 +151,26 @@ def test_registry_and_isolation(spark):
     assert [r.v for r in P.compose(["t-double", lambda d: d.filter("v > 0")])(df).collect()] == [8]
     got = {r.id: (r.q, r.status, (r.error or "")[:17]) for r in P.isolated(df, lambda p: p.assign(q=8 // int(p["v"].iloc[0])), "q long", "id").collect()}
     assert got == {1: (2, "ok", ""), 2: (None, "failed", "ZeroDivisionError")}
+
+
+def test_batches_are_halved_down_to_the_rows_at_fault(spark):
+    def tenth(rows):
+        if (rows["v"] == 0).any():
+            raise ValueError("zero")
+        return rows.assign(q=rows["v"] * 10)
+
+    df = spark.createDataFrame([(i, i % 7) for i in range(40)], "id int, v int").coalesce(1)
+    got = {r.id: (r.q, r.status) for r in P.isolated(df, tenth, "q long", "id", batched=True).collect()}
+    assert got == {i: (None, "failed") if i % 7 == 0 else (i % 7 * 10, "ok") for i in range(40)}
+
+
+def test_a_crop_whose_recogniser_raises_is_a_failed_row(spark):
+    crops = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "　")], "region string, payload string")
+
+    def read(p):
+        if not p:
+            raise ValueError("no crop")
+        return p, float("inf")
+
+    got = {r.region: (r.text, r.confidence, r.status, r.error) for r in P.recognise(crops, read).collect()}
+    assert got == {"a": ("x", None, "ok", None), "b": (None, None, "failed", "ValueError: no crop"), "c": ("　", None, "empty", None)}
