@@ -45,6 +45,8 @@ TASK_WORDS, TASK_SETS = 4_000_000, 200_000
 SCAN, TRIES = 4096, 16
 #: Pairs of a set that are verified before all others, the likeliest first.
 VERIFIED = 16
+#: Sets of so many words have wide marks too, this many times 64 parities.
+WIDE_FROM, WIDE = 50, 4
 #: Rows of the first pass that a task works on at a time, words whole unless they have more rows than the second.
 ROWS, MOST_ROWS = 1 << 18, 1 << 20
 #: Sub-keys of words whose class of frequency is that of a million occurrences or more.
@@ -86,7 +88,7 @@ class LineSets:
         """``line counts, set sizes, digests, marks, keys, lines``; keys of one line are distinct and rare first.
 
         A digest has 128 bits. The marks of a set are 64 parities of its words: sets differ in at least as many
-        words as their marks in bits.
+        words as their marks in bits. Long sets need more parities than the sorted prefixes carry, see ``wide_marks``.
         """
         hashes, starts, buffer = word_hashes(texts)
         keys, breaks = rare_first(hashes, self.sketch), np.flatnonzero(buffer == 10)
@@ -102,6 +104,20 @@ class LineSets:
             marks[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), first)
         return [t.count(b"\n") + 1 for t in texts], sizes, digests.view("V16").ravel(), marks.astype(np.int64), keys, line
 
+    def wide_marks(self, sizes: np.ndarray, keys: np.ndarray) -> list[pa.Array]:
+        """``64 * WIDE`` parities of the words of each set; null for sets of fewer than ``WIDE_FROM`` words."""
+        wide = sizes >= WIDE_FROM
+        keys = keys[np.repeat(wide, sizes)]
+        bit, word = np.uint64(1) << (keys & np.uint64(63)), (keys >> np.uint64(6)) & np.uint64(WIDE - 1)
+        first = np.cumsum(sizes[wide]) - sizes[wide]
+        out = []
+        for k in range(WIDE):
+            marks = np.zeros(len(sizes), np.uint64)
+            if len(keys):
+                marks[wide] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first)
+            out.append(pa.array(marks.view(np.int64), mask=~wide))
+        return out
+
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
         """Words of a set of which a similar set has one; sets of few words are similar to equal ones only."""
         return np.where(sizes * (100 - self.percent) >= self.percent, prefix_length(sizes, self.percent), 0)
@@ -120,12 +136,13 @@ def _text_key(text_col: str) -> Column:
 
 
 def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line, text_key, h, n, b, skip, prefix`` of every line; a task gives the prefix of a set for the first of its lines.
+    """``id, row, line, text_key, h, n, b, skip, prefix`` and wide marks of every line; a task gives the prefix of a set for the first of its lines.
 
     ``row + line`` numbers all lines; ``row`` is the number of a document's first line. The prefix leaves out the
     ``skip`` words that occur once in all documents and so in no other set.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    wide = [f"w{k}" for k in range(WIDE)]
 
     def run(batches):
         sets, seen, number = LineSets(sketch.value, percent), {}, TaskContext.get().partitionId() << 40
@@ -155,10 +172,10 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
                 rows = number + np.cumsum(counts) - counts
                 number += int(counts.sum())
                 numbers = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), batch.column(2).take(pa.array(owner)), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix"])
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), batch.column(2).take(pa.array(owner)), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken), *sets.wide_marks(sizes, keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix", *wide])
 
-    return docs.select(id_col, text_col, _text_key(text_col)).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>")
+    return docs.select(id_col, text_col, _text_key(text_col)).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>, " + ", ".join(f"{w} long" for w in wide))
 
 
 def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
@@ -194,6 +211,18 @@ def _marks_allow(percent: int) -> Column:
     return F.bit_count(F.col("b").bitwiseXOR(F.col("d"))) * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
+def plausible(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` of line numbers ``l, r`` without those whose wide marks differ in too many words."""
+
+    def marks(side: str, n: str, w: str) -> DataFrame:
+        named = [(F.col("row") + F.col("line")).alias(side), F.col("n").alias(n), *(F.col(f"w{k}").alias(f"{w}{k}") for k in range(WIDE))]
+        return lines.filter("w0 IS NOT NULL").select(*named).hint("merge")
+
+    both = pairs.join(marks("l", "n_l", "w"), "l", "left").join(marks("r", "n_r", "v"), "r", "left")
+    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(WIDE)), F.lit(0))
+    return both.filter(F.coalesce(apart * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent), F.lit(True))).select(*pairs.columns)
+
+
 def prefix_rows(lines: DataFrame) -> DataFrame:
     """``token, id, number, n, i, b``: one row for each word of a prefix and its place in the set."""
     each = lines.filter(F.size("prefix") > 0).select("id", (F.col("row") + F.col("line")).alias("number"), "n", "b", "skip", F.posexplode("prefix").alias("p", "token"))
@@ -311,7 +340,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         discard(numbers, named)
         return out
 
-    matched = matches(found.filter("l <> r").select("l", "r"))
+    matched = matches(materialize(plausible(found.filter("l <> r").select("l", "r"), lines, percent), "line-plausible"))
     open_ = materialize(found.filter("more").select("h", F.col("l").alias("number")).distinct().join(lookup(matched.withColumnRenamed("l", "h"), 64), "h", "left_anti"), "line-open")
     if not open_.isEmpty():
         mine = prefix_rows(lines.join(lookup(open_.select(F.col("number").alias("open")), 16), number == F.col("open")))
@@ -320,6 +349,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         both = others.join(lookup(mine, 128), "token").filter((F.col("earlier") < F.col("place")) & may_match("n", "i", "m", "j", percent) & _marks_allow(percent))
         apart = F.bit_count(F.col("b").bitwiseXOR(F.col("d"))) / (F.col("n") + F.col("m"))
         rest = both.groupBy("l", "r").agg(F.min(apart).alias("apart")).join(found.select("l", "r"), ["l", "r"], "left_anti")
+        rest = plausible(rest, lines, percent)
         rest = materialize(rest.withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("apart", "r"))), "line-rest")
         # most sets have a match among the likeliest; only those without are compared with all
         more = matches(rest.filter(F.col("nth") <= VERIFIED))
