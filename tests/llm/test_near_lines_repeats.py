@@ -264,3 +264,18 @@ def test_pipeline_stages_hold_their_own_contracts(spark):
     assert set(texts[4]) == set(texts[3]) - dirty
     pieces = CP.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r.doc_id for r in pieces} == set(texts[4]) and all(r.n == r.m for r in pieces)
+
+
+def test_wide_marks_are_parities_of_long_sets():
+    from foliogrid.llm import line_dedup as L
+
+    words = np.random.default_rng(7).integers(0, 1 << 62, 300, np.uint64)
+    sizes = np.array([60, 3, 0, 237])
+    columns = [c.to_pylist() for c in L.LineSets(np.zeros(0, np.uint8), 80).wide_marks(sizes, words)]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for i, n in enumerate(sizes.tolist()):
+        marks = 0
+        for w in words[at[i] : at[i + 1]].tolist():
+            marks ^= 1 << (w % (64 * L.WIDE))
+        told = [c[i] for c in columns]
+        assert told == [None] * L.WIDE if n < L.WIDE_FROM else sum((t % (1 << 64)) << (64 * k) for k, t in enumerate(told)) == marks
