@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliogrid.llm import decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, quality, repeats, secrets, urls
+from foliogrid.llm import decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, quality, repeats, secrets, sharding, urls
 
-MODULES = (decontaminate, secrets, licenses, repeats, line_dedup, exact_dedup, packing, near_dedup, quality, urls)
+MODULES = (decontaminate, secrets, licenses, repeats, line_dedup, exact_dedup, packing, near_dedup, quality, urls, sharding)
 
 
 def queries() -> dict:
