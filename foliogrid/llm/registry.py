@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliogrid.llm import decontaminate, exact_dedup, hard_negatives, licenses, line_dedup, near_dedup, packing, quality, repeats, secrets, sharding, urls
+from foliogrid.llm import conversations, decontaminate, exact_dedup, hard_negatives, licenses, line_dedup, near_dedup, packing, quality, repeats, secrets, sharding, urls
 
-MODULES = (decontaminate, secrets, licenses, repeats, line_dedup, exact_dedup, packing, near_dedup, quality, urls, sharding, hard_negatives)
+MODULES = (decontaminate, secrets, licenses, repeats, line_dedup, exact_dedup, packing, near_dedup, quality, urls, sharding, conversations, hard_negatives)
 
 
 def queries() -> dict:
