@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliogrid.functions.scalars import box_gaps, crop_geometry, orientation, reading_key
 from foliogrid.functions.storage import materialize
+from foliogrid.operators.graph import connected_components, spanning_forest
 
 BOX = ("x", "y", "w", "h")
 
@@ -18,13 +21,13 @@ def _cells(boxes: DataFrame, grow: int | Column, cell: int) -> DataFrame:
     return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
 
 
-def near_pairs(boxes: DataFrame, distance: int | Column, cell: int = 64, gate: Column | None = None) -> DataFrame:
+def near_pairs(boxes: DataFrame, distance: int | Column, cell: int = 64, gate: Column | None = None, extra: list[Column] | None = None) -> DataFrame:
     """``page, l, r`` of boxes of a page whose gaps are both below ``distance``; none for distance 0.
 
     Both sides meet in grid cells, so a page with many boxes is spread over its cells and only neighbours are
     compared. A pair is told by one of their cells: that of the corner at which the grown box and the other
     begin to overlap. ``distance`` may be an expression over ``page``; ``gate`` is a further condition on the
-    columns ``l_*`` and ``r_*``.
+    columns ``l_*`` and ``r_*``, and ``extra`` are further columns made of them.
     """
     left = _cells(boxes.select("page", F.col("label").alias("l"), *(F.col(c) for c in BOX)), distance, cell).withColumnsRenamed({c: f"l_{c}" for c in BOX})
     right = _cells(boxes.select("page", F.col("label").alias("r"), *(F.col(c) for c in BOX)), 0, cell).withColumnsRenamed({c: f"r_{c}" for c in BOX})
@@ -32,7 +35,7 @@ def near_pairs(boxes: DataFrame, distance: int | Column, cell: int = 64, gate: C
     at = lambda a: F.floor(F.greatest(F.col(f"l_{a}") - distance, F.col(f"r_{a}")) / cell)
     close = (F.col("l") < F.col("r")) & (hgap < distance) & (vgap < distance) & (F.col("cx") == at("x")) & (F.col("cy") == at("y"))
     meet = left.join(right, ["page", "cx", "cy"]).filter(close if gate is None else close & gate)
-    return meet.select("page", "l", "r")
+    return meet.select("page", "l", "r", *(extra or []))
 
 
 def axis_overlap_gate() -> Column:
@@ -41,9 +44,19 @@ def axis_overlap_gate() -> Column:
     return (h == 0) | (v == 0)
 
 
-def not_rule_gate(thin: int) -> Column:
-    """Neither box is a thin rule."""
-    return (F.least("l_w", "l_h") >= thin) & (F.least("r_w", "r_h") >= thin)
+def neither(holds: Callable[[Column, Column], Column]) -> Column:
+    """``holds(w, h)`` is true of neither box."""
+    return ~holds(F.col("l_w"), F.col("l_h")) & ~holds(F.col("r_w"), F.col("r_h"))
+
+
+def not_rule_gate(minor: int, major: int) -> Column:
+    """Neither box is a rule: thin on one axis and long on the other, bounds included. Small boxes are no rules."""
+    return neither(lambda w, h: (F.least(w, h) <= minor) & (F.greatest(w, h) >= major))
+
+
+def not_hub_gate(most_aspect: float) -> Column:
+    """Neither box is line-like: longer than ``most_aspect`` times its width."""
+    return neither(lambda w, h: F.greatest(w, h) / F.greatest(F.lit(1), F.least(w, h)) > most_aspect)
 
 
 def page_groups(boxes: DataFrame, pairs: DataFrame, most_links: int = 64) -> DataFrame:
@@ -52,8 +65,6 @@ def page_groups(boxes: DataFrame, pairs: DataFrame, most_links: int = 64) -> Dat
     Links never leave a page: a page of up to ``most_links`` is solved in one row. All others are one component
     problem, whose rounds spread a page over the cluster.
     """
-    from foliogrid.operators.graph import connected_components
-
     links = materialize(pairs.select("page", "l", "r"), "page-links")
     n = links.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
     few = links.join(n.filter(F.col("n") <= most_links), "page").groupBy("page").agg(F.collect_list(F.struct("l", "r")).alias("links"))
@@ -128,6 +139,35 @@ def chain_report(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("page", "groups", "largest_group", "largest_share", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("max_degree", F.lit(0)).alias("max_degree"))
 
 
+def spanning_links(pairs: DataFrame) -> DataFrame:
+    """The links ``page, l, r`` that join two groups when all links of a page are taken in order; as many as boxes less groups."""
+    node = lambda c: F.struct("page", F.col(c).alias("label"))
+    forest = spanning_forest(pairs.select(node("l").alias("l"), node("r").alias("r")))
+    return forest.select("l.page", F.col("l.label").alias("l"), F.col("r.label").alias("r"))
+
+
+def chain_edges(boxes: DataFrame, pairs: DataFrame, page_px: int) -> DataFrame:
+    """What holds the group with the largest box of each page together.
+
+    ``page, grp, members, box_share``, how many spanning links it has, the box with most of them (the smaller label of
+    several) with its degree, aspect and fill, medians and largest of the links' gaps, and links apart on both axes.
+    """
+    pairs = materialize(pairs.select("page", "l", "r"), "chain-pairs")
+    grouped = materialize(page_groups(boxes, pairs), "chain-groups")
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    size = ((right - F.min("x")) * (bottom - F.min("y"))).alias("box")
+    largest = grouped.groupBy("page", "grp").agg(size, F.count(F.lit(1)).alias("members")).groupBy("page").agg(F.max_by(F.struct("grp", "members", "box"), F.struct("box", -F.col("grp"))).alias("g")).select("page", "g.*")
+    inside = grouped.select("page", F.col("label").alias("l"), "grp").join(largest.select("page", "grp"), ["page", "grp"], "left_semi")
+    links = materialize(spanning_links(pairs).join(inside.select("page", "l"), ["page", "l"], "left_semi"), "chain-links")
+    ends = links.select("page", F.col("l").alias("label")).union(links.select("page", F.col("r").alias("label")))
+    hubs = ends.groupBy("page", "label").agg(F.count(F.lit(1)).alias("d")).groupBy("page").agg(F.max_by(F.struct("label", "d"), F.struct("d", -F.col("label"))).alias("hub"))
+    shape = boxes.select("page", F.col("label").alias("hub"), (F.greatest("w", "h") / F.greatest(F.lit(1), F.least("w", "h"))).alias("hub_aspect"), (F.col("area") / F.greatest(F.lit(1), F.col("w") * F.col("h"))).alias("hub_fill"))
+    hubs = hubs.select("page", F.col("hub.label").alias("hub"), F.col("hub.d").alias("hub_degree")).join(shape, ["page", "hub"])
+    out = largest.join(link_gaps(boxes, links), "page", "left").join(hubs, "page", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("page", "grp", "members", (F.col("box") / page_px).alias("box_share"), F.coalesce("links", F.lit(0)).alias("edges"), "hub", none("hub_degree"), "hub_aspect", "hub_fill", "h_median", "h_max", "v_median", "v_max", none("diagonal"))
+
+
 def region_sweep(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     """Regions for every ``config, min_area, distance`` of a small grid: number, false and true ones, box sizes.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliogrid.operators import masks as MK
+from foliogrid.operators import merging as MG
 from foliogrid.operators import spatial as SP
 from foliogrid.plans.q_core import rounded
 from foliogrid.plans.views import Views, oracle
@@ -197,9 +198,72 @@ def jn9(spark, d):
     return SP.near_pairs(Views(spark, d).boxes(), 12)
 
 
-@query("grf5_gated_pairs", f"{PAIRS} AND ({GAPS[0]} = 0 OR {GAPS[1]} = 0) AND least(l.w, l.h) >= 4 AND least(r.w, r.h) >= 4")
+RULE = "(least({0}.w, {0}.h) <= 3 AND greatest({0}.w, {0}.h) >= 20)"
+
+
+@query("grf5_gated_pairs", f"{PAIRS} AND ({GAPS[0]} = 0 OR {GAPS[1]} = 0) AND NOT {RULE.format('l')} AND NOT {RULE.format('r')}")
 def grf5(spark, d):
-    return SP.near_pairs(Views(spark, d).boxes(), 12, gate=SP.axis_overlap_gate() & SP.not_rule_gate(4))
+    return SP.near_pairs(Views(spark, d).boxes(), 12, gate=SP.axis_overlap_gate() & SP.not_rule_gate(3, 20))
+
+
+def fold(pair: str, group: str, name: str = "") -> str:
+    """Boxes of each page after its links were taken in order: ``g`` has the group of each label, ``took`` the links that joined two.
+
+    ``group`` speaks of ``box``, ``ink`` and ``own``, the sums of the two groups ``a`` and ``b`` of a link.
+    """
+    members = lambda what: f"[{what}[i] FOR i IN range(1, len(g) + 1) IF g[i] = a OR g[i] = b]"
+    box = f"(list_max({members('x1')}) - list_min({members('x0')})) * (list_max({members('y1')}) - list_min({members('y0')}))"
+    return f"""
+        k{name} AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY l, r) AS no, l, r FROM ({PAIRS} AND {pair})),
+        f{name}(page, no, g, took, x0, y0, x1, y1, inks, owns) AS (
+            SELECT page, 0::BIGINT, list(label ORDER BY label), []::BIGINT[], list(x ORDER BY label), list(y ORDER BY label), list(x + w ORDER BY label), list(y + h ORDER BY label), list(area ORDER BY label), list(w * h ORDER BY label)
+            FROM v_boxes GROUP BY page
+            UNION ALL
+            SELECT page, no, CASE WHEN a <> b AND {group} THEN [CASE WHEN q = b THEN a ELSE q END FOR q IN g] ELSE g END, CASE WHEN a <> b AND {group} THEN list_append(took, no) ELSE took END, x0, y0, x1, y1, inks, owns
+            FROM (SELECT *, greatest(1, {box}) AS box, list_sum({members('inks')}) AS ink, list_sum({members('owns')}) AS own
+                  FROM (SELECT f.* EXCLUDE (no), k.no, least(g[k.l], g[k.r]) AS a, greatest(g[k.l], g[k.r]) AS b FROM f{name} f JOIN k{name} k ON k.page = f.page AND k.no = f.no + 1))),
+        e{name} AS MATERIALIZED (SELECT page, g, took FROM f{name} QUALIFY row_number() OVER (PARTITION BY page ORDER BY no DESC) = 1)"""
+
+
+AXIS = f"({GAPS[0]} = 0 OR {GAPS[1]} = 0)"
+GATED = {
+    "box_fill": ("true", "own / box >= 0.6", lambda: (None, MG.GroupGate(min_box_fill=0.6))),
+    "growth": ("true", "box <= 1.4::DOUBLE * own", lambda: (None, MG.GroupGate(max_growth=1.4))),
+    "rule_box_fill": (f"NOT {RULE.format('l')} AND NOT {RULE.format('r')}", "own / box >= 0.5", lambda: (SP.not_rule_gate(3, 20), MG.GroupGate(min_box_fill=0.5))),
+    "hub": (" AND ".join(f"greatest({e}.w, {e}.h)::DOUBLE / greatest(1, least({e}.w, {e}.h)) <= 4" for e in "lr"), "true", lambda: (SP.not_hub_gate(4), MG.GroupGate())),
+    "axis_fill": (AXIS, "ink / box >= 0.35", lambda: (SP.axis_overlap_gate(), MG.GroupGate(min_fill=0.35))),
+}
+
+
+@query("grf5_gated_groups", "WITH RECURSIVE " + ", ".join(fold(p, g, f"_{n}") for n, (p, g, _) in GATED.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS variant, page, unnest(range(1, len(g) + 1)) AS label, unnest(g) AS grp FROM e_{n}" for n in GATED))
+def grf5g(spark, d):
+    """Groups under gates that look at what a merge would make."""
+    return MG.gated_groups(Views(spark, d).boxes(), 12, {n: make() for n, (_, _, make) in GATED.items()})
+
+
+STRATEGIES = {"proximity": ("true", "true"), "axis": (AXIS, "true"), "fill_20": ("true", "ink / box >= 0.2"), "fill_35": ("true", "ink / box >= 0.35"), "axis_fill_20": (AXIS, "ink / box >= 0.2"), "axis_fill_35": (AXIS, "ink / box >= 0.35")}
+MERGED = " UNION ALL ".join(f"SELECT '{n}' AS variant, page, unnest(range(1, len(g) + 1)) AS label, unnest(g) AS grp FROM e_{n}" for n in STRATEGIES)
+
+
+@query("grf5_merge_report", "WITH RECURSIVE " + ", ".join(fold(p, g, f"_{n}") for n, (p, g) in STRATEGIES.items()) + f", m AS (SELECT variant, count(*) AS members, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS box, sum(area) AS ink FROM ({MERGED}) JOIN v_boxes USING (page, label) GROUP BY variant, page, grp) SELECT variant, count(*) AS groups, count(*) FILTER (members > 1) AS merged, round(avg(CASE WHEN ink / greatest(1, box) < 0.05 THEN 1.0 ELSE 0.0 END), 9) AS thin_share, count(*) FILTER (box / 16800 > 0.05) AS over_5, count(*) FILTER (box / 16800 > 0.2) AS over_20, round(max(box / 16800), 9) AS largest_share, round(quantile_cont(ink / greatest(1, box), 0.01), 9) AS fill_p1, round(quantile_cont(ink / greatest(1, box), 0.1), 9) AS fill_p10 FROM m GROUP BY 1")
+def grf5r(spark, d):
+    """The merge strategies side by side."""
+    return rounded(MG.merge_report(Views(spark, d).boxes(), 12, 16800), "thin_share", "largest_share", "fill_p1", "fill_p10")
+
+
+SPANNING = f"WITH RECURSIVE {fold('true', 'true')}, s AS MATERIALIZED (SELECT page, k.l, k.r FROM (SELECT page, unnest(took) AS no FROM e) JOIN k USING (page, no))"
+
+
+@query("grf6_spanning_links", f"{SPANNING} SELECT page, l, r FROM s")
+def grf6s(spark, d):
+    return SP.spanning_links(SP.near_pairs(Views(spark, d).boxes(), 12))
+
+
+@query("grf6_chain_edges", f"{SPANNING}, n AS MATERIALIZED (SELECT page, unnest(range(1, len(g) + 1)) AS label, unnest(g) AS grp FROM e), b AS MATERIALIZED (SELECT page, grp, count(*) AS members, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS box FROM n JOIN v_boxes USING (page, label) GROUP BY page, grp QUALIFY row_number() OVER (PARTITION BY page ORDER BY box DESC, grp) = 1), i AS MATERIALIZED (SELECT s.*, greatest(x.x - (y.x + y.w), y.x - (x.x + x.w), 0) AS h, greatest(x.y - (y.y + y.h), y.y - (x.y + x.h), 0) AS v FROM s JOIN n ON n.page = s.page AND n.label = s.l JOIN b ON b.page = n.page AND b.grp = n.grp JOIN v_boxes x ON x.page = s.page AND x.label = s.l JOIN v_boxes y ON y.page = s.page AND y.label = s.r), o AS (SELECT page, label, count(*) AS degree FROM (SELECT page, l AS label FROM i UNION ALL SELECT page, r FROM i) GROUP BY page, label QUALIFY row_number() OVER (PARTITION BY page ORDER BY degree DESC, label) = 1), t AS (SELECT page, count(*) AS edges, median(h)::DOUBLE AS h_median, max(h) AS h_max, median(v)::DOUBLE AS v_median, max(v) AS v_max, count(*) FILTER (h > 0 AND v > 0) AS diagonal FROM i GROUP BY 1) SELECT b.page, b.grp, members, round(box / 16800, 9) AS box_share, coalesce(edges, 0) AS edges, o.label AS hub, coalesce(o.degree, 0) AS hub_degree, round(greatest(q.w, q.h) / greatest(1, least(q.w, q.h)), 9) AS hub_aspect, round(q.area / greatest(1, q.w * q.h), 9) AS hub_fill, h_median, h_max, v_median, v_max, coalesce(diagonal, 0) AS diagonal FROM b LEFT JOIN t USING (page) LEFT JOIN o USING (page) LEFT JOIN v_boxes q ON q.page = o.page AND q.label = o.label")
+def grf6c(spark, d):
+    """The links that hold the largest group of each page together, and the box with most of them."""
+    boxes = Views(spark, d).boxes()
+    return rounded(SP.chain_edges(boxes, SP.near_pairs(boxes, 12), 16800), "box_share", "hub_aspect", "hub_fill")
 
 
 GROUPS = f"p AS ({PAIRS}), r(page, label, root) AS (SELECT page, label, label FROM v_boxes UNION SELECT r.page, CASE WHEN p.l = r.label THEN p.r ELSE p.l END, r.root FROM r JOIN p ON p.page = r.page AND (p.l = r.label OR p.r = r.label)), g AS (SELECT page, label, min(root) AS grp FROM r GROUP BY ALL)"
