@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -279,3 +279,15 @@ def test_wide_marks_are_parities_of_long_sets():
             marks ^= 1 << (w % (64 * L.WIDE))
         told = [c[i] for c in columns]
         assert told == [None] * L.WIDE if n < L.WIDE_FROM else sum((t % (1 << 64)) << (64 * k) for k, t in enumerate(told)) == marks
+
+
+def test_identifiers_that_repeat_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, b), (5, a), (5, b), (5, a), (9, a.replace("a7 ", "zz ")), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "digest", "sig", "component", "id")})
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in ND.near_components(docs, 2).collect())
+    assert got == {(3, 39, 3, True): 1, (5, 39, 5, True): 2, (5, 39, 3, False): 1, (9, 39, 5, False): 1, (None, 39, None, True): 1}
+    kept = ND.drop_near_copies(docs, shingle=2)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == {(3, b): 1, (5, a): 2, (None, a): 1}
+    named = ND.near_components(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), 2).collect()
+    assert {(r.doc_id, r.component_id) for r in named} == {("d3", "d3"), ("d5", "d5"), ("d5", "d3"), ("d9", "d5"), (None, None)}
