@@ -142,8 +142,13 @@ def refuses_secret(c, secret: str) -> Column:
 
 
 def length_ratio(src, dst) -> dict[str, Column]:
-    """Length ratio of trimmed texts, and the ratio of widths with latin letters half as wide."""
-    a, b = F.char_length(F.trim(src)), F.char_length(F.trim(dst))
+    """Length ratio of texts without white space around them, and the ratio of widths with latin letters half as wide.
+
+    Of pairs of which either text is blank nothing is said: all four are null.
+    """
+    ends = F.lit(rf"\A[{BLANK}]+|[{BLANK}]+\z")
+    both = ~is_blank(src) & ~is_blank(dst)
+    a, b = (F.when(both, F.char_length(F.regexp_replace(c, ends, F.lit("")))) for c in (src, dst))
     return {"src_len": a, "dst_len": b, "ratio": b / F.greatest(a, F.lit(1)), "visual": b * 0.5 / F.greatest(a, F.lit(1))}
 
 

@@ -111,6 +111,31 @@ def cache_append(results: DataFrame, cache: DataFrame, secret: str | None = None
     return cache.select("cache_key", "translated").union(new.join(cache, "cache_key", "left_anti"))
 
 
+# What the record of a region says of each stage: name, column of the stage, value without the stage.
+REGION_FIELDS = {
+    "ocr": (("crop_path", "crop_path", None), ("ocr_text", "text", ""), ("ocr_confidence", "confidence", None), ("ocr_status", "status", "failed"), ("ocr_error", "error", None), ("manually_edited", "manually_edited", False), ("ocr_time_seconds", "seconds", None)),
+    "translation": (("translation", "translated_text", ""), ("translation_status", "status", "skipped"), ("translation_error", "error", None), ("cache_status", "cache_status", None), ("failure_policy", "failure_policy", None), ("translation_time_seconds", "seconds", None)),
+    "render": (("render_status", "render_status", "skipped"), ("render_warning", "warning", None), ("font_size_used", "font_size_used", None), ("line_count", "line_count", 0), ("display_box", "display_box", None), ("direction_used", "direction_used", None), ("render_time_seconds", "seconds", None)),
+}
+
+
+def region_metadata(regions: DataFrame, keys: list[str], **stages: DataFrame) -> DataFrame:
+    """The record of every region: its own columns, then what each stage says of it.
+
+    ``stages`` are ``ocr``, ``translation`` and ``render``, with one row a region at most. Where a stage has no row for
+    a region the defaults stand; where it has one its values do, nulls included. Columns that a stage lacks are null.
+    """
+    out = regions
+    for stage, fields in REGION_FIELDS.items():
+        rows = stages[stage]
+        has = [f for f in fields if f[1] in rows.columns]
+        known = rows.select(*keys, *(F.col(c).alias(f"__{n}") for n, c, _ in has), F.lit(True).alias("__there"))
+        out = out.join(known, keys, "left")
+        value = {n: F.col(f"__{n}") for n, _, _ in has}
+        out = out.withColumns({n: F.when(F.col("__there"), value.get(n, F.lit(None))).otherwise(F.lit(default)) for n, _, default in fields}).drop(*(f"__{n}" for n in value), "__there")
+    return out
+
+
 def assemble_regions(regions: DataFrame, ocr: DataFrame, translations: DataFrame, rendered: DataFrame) -> DataFrame:
     """One row per region with the states of its stages; OCR is failed and later stages skipped where absent."""
     out = regions.join(ocr.select("region", F.col("status").alias("ocr_status"), F.col("text").alias("ocr_text")), "region", "left")

@@ -1,20 +1,26 @@
-"""Profiles, rank statistics and trade-offs of filters; single aggregates with partial combination."""
+"""Profiles, rank statistics and trade-offs of filters: partial aggregates, and ranks over sorted ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliogrid.operators.ranks import running_sums, wide_quantiles
+
 
 def profile(df: DataFrame, group: list[str], value: str, weight: str, cut: float, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Percentiles (linear interpolation), share above a cut, the same by weight, and the weighted mean."""
     v, w = F.col(value).cast("double"), F.col(weight).cast("double")
     above = v > cut
-    return df.groupBy(*group).agg(
-        *(F.percentile(v, p).alias(f"p{round(p * 100)}") for p in points),
-        F.avg(above.cast("double")).alias("share"), (F.sum(F.when(above, w).otherwise(0.0)) / F.sum(w)).alias("weighted_share"), (F.sum(w * v) / F.sum(w)).alias("weighted_mean"),
-    )
+    means = df.groupBy(*group).agg(F.avg(above.cast("double")).alias("share"), (F.sum(F.when(above, w).otherwise(0.0)) / F.sum(w)).alias("weighted_share"), (F.sum(w * v) / F.sum(w)).alias("weighted_mean"))
+    return _with_quantiles(means, wide_quantiles(df, group, {"v": v}, {f"p{round(p * 100)}": p for p in points}, "{point}"), group)
+
+
+def _with_quantiles(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the quantiles of their keys, null keys included; null for keys without values."""
+    named = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(named, same, "left").drop(*(f"__{k}" for k in keys))
 
 
 def bucket_profile(df: DataFrame, value: str, measure: str, edges: list[float]) -> DataFrame:
@@ -23,25 +29,23 @@ def bucket_profile(df: DataFrame, value: str, measure: str, edges: list[float])
     for i in range(len(edges) - 1):
         bin_ = F.when((v >= edges[i]) & (v < edges[i + 1]), i).otherwise(bin_)
     m = F.col(measure).cast("double")
-    return df.withColumn("bin", bin_).filter("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(m).alias("total"), F.percentile(m, 0.5).alias("median"))
+    binned = df.withColumn("bin", bin_).filter("bin IS NOT NULL")
+    sums = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(m).alias("total"))
+    return _with_quantiles(sums, wide_quantiles(binned, ["bin"], {"m": m}, {"median": 0.5}, "{point}"), ["bin"])
 
 
 def auc(df: DataFrame, features: list[str], label: str, ties: str = "average", order: list[str] | None = None) -> DataFrame:
     """Probability that a positive row has the larger value, per feature, with a verdict.
 
-    Missing values are -1. Counts per distinct value are made first, so the ranks come from a window over the
-    distinct values of a feature and not over all rows; ``ties='first'`` ranks rows, in the given order.
+    Missing values are -1. Equal values are counted first, and ranks come from running counts over sorted ranges, so
+    no task holds a feature; ``ties='first'`` ranks rows, in the given order, which has to tell rows apart.
     """
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), F.lit(-1.0)).alias("v")) for f in features)))
     long = df.select(F.col(label).cast("int").alias("y"), *(order or []), each.alias("e")).select("y", *(order or []), "e.feature", "e.v")
-    if ties == "first":
-        ranked = long.withColumn("r", F.row_number().over(W.partitionBy("feature").orderBy("v", *(order or []))))
-        sums = ranked.groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).cast("double").alias("rank_sum"), F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
-    else:
-        counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
-        before = F.sum("n").over(W.partitionBy("feature").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-        mid = counts.withColumn("rank", before + (F.col("n") + 1) / 2)
-        sums = mid.groupBy("feature").agg(F.sum(F.col("rank") * F.col("n1")).alias("rank_sum"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    by = ["v", *(order or [])] if ties == "first" else ["v"]
+    counts = long.groupBy("feature", *by).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    sums = running_sums(counts, ["feature"], by, ["n"]).groupBy("feature").agg(F.sum(rank * F.col("n1")).alias("rank_sum"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     value = F.when((n1 == 0) | (n0 == 0), F.lit(None)).otherwise((F.col("rank_sum") - n1 * (n1 + 1) / 2) / (n1 * n0))
     out = sums.select("feature", value.alias("auc"))
@@ -97,4 +101,6 @@ def centroid_offset(a: DataFrame, b: DataFrame, regions: DataFrame, least: int =
 
 def compare_groups(df: DataFrame, flag: Column, features: list[str]) -> DataFrame:
     """Rows and feature medians of flagged and other rows."""
-    return df.withColumn("flagged", flag).groupBy("flagged").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(F.col(f).cast("double"), 0.5).alias(f"median_{f}") for f in features))
+    flagged = df.withColumn("flagged", flag)
+    medians = wide_quantiles(flagged, ["flagged"], {f: F.col(f) for f in features}, {"median": 0.5}, "{point}_{feature}")
+    return _with_quantiles(flagged.groupBy("flagged").agg(F.count(F.lit(1)).alias("n")), medians, ["flagged"])

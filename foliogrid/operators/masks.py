@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliogrid.functions.storage import materialize
 from foliogrid.operators.graph import connected_components
 
 
@@ -22,6 +25,30 @@ def from_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1")
 
 
+def merge_runs(runs: DataFrame, keys: tuple[str, ...] = ("image_id", "y")) -> DataFrame:
+    """Maximal runs of what the given ones cover; runs that overlap or touch become one, empty ones go.
+
+    One pass over the runs of a row in order: a run begins a new one if it begins behind all ends so far.
+    """
+    line = W.partitionBy(*keys).orderBy("x0", "x1")
+    ends = F.max("x1").over(line.rowsBetween(W.unboundedPreceding, -1))
+    marked = runs.select(*keys, "x0", "x1").filter("x0 < x1").withColumn("new", F.coalesce((F.col("x0") > ends).cast("int"), F.lit(1)))
+    part = marked.withColumn("part", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("part")
+
+
+def covered(runs: DataFrame, depths: list[str], keys: tuple[str, ...] = ("image_id", "y")) -> DataFrame:
+    """``keys, x0, x1`` and, for each of ``depths``, how much of it lies on every stretch between neighbouring ends.
+
+    A sweep over the ends of the runs of a row: each adds its amount where it begins and takes it away where it ends.
+    """
+    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("sign")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("sign"))))
+    line = W.partitionBy(*keys).orderBy("x")
+    steps = runs.filter("x0 < x1").select(*keys, *depths, ends.alias("e")).groupBy(*keys, F.col("e.x").alias("x")).agg(*(F.sum(F.col(c) * F.col("e.sign")).alias(c) for c in depths))
+    upto = line.rowsBetween(W.unboundedPreceding, 0)
+    return steps.select(*keys, F.col("x").alias("x0"), F.lead("x").over(line).alias("x1"), *(F.sum(c).over(upto).alias(c) for c in depths)).filter("x1 IS NOT NULL")
+
+
 def mask_encoding(pixels: DataFrame) -> DataFrame:
     """Colour encoding of ``(image_id, b, g, r)`` pages: all-white-empty, magenta-text, black-text or near-black-only."""
     white = (F.col("b") >= 230) & (F.col("g") >= 230) & (F.col("r") >= 230)
@@ -84,7 +111,7 @@ def otsu(pixels: DataFrame, key: str = "image_id") -> DataFrame:
 
 def binarise(pixels: DataFrame, thresholds: DataFrame, inverse: bool = False, key: str = "image_id") -> DataFrame:
     above = F.col("v") > F.col("threshold")
-    return pixels.join(F.broadcast(thresholds), key).withColumn("v", F.when(~above if inverse else above, 255).otherwise(0)).drop("threshold")
+    return pixels.join(thresholds, key).withColumn("v", F.when(~above if inverse else above, 255).otherwise(0)).drop("threshold")
 
 
 def kmeans2(pixels: DataFrame, key: str = "image_id", rounds: int = 20) -> DataFrame:
@@ -137,12 +164,28 @@ def _weights(block: int, gaussian: bool) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
+def _box_sums(df: DataFrame, across: str, along: str, value: str, r: int, out: str) -> DataFrame:
+    """Sums of ``2 r + 1`` neighbours on a line, its ends repeated: differences of one running sum, whatever ``r`` is."""
+    line = W.partitionBy("image_id", across).orderBy(along)
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at, last = F.row_number().over(line) - 1, F.count(F.lit(1)).over(whole) - 1
+    df = df.withColumns({"__sum": F.sum(value).over(line.rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum(value).over(whole), "__at": at, "__last": last, "__a": F.first(value).over(whole), "__z": F.last(value).over(whole)})
+    inside = F.coalesce(F.lead("__sum", r).over(line), F.col("__all")) - F.coalesce(F.lag("__sum", r + 1).over(line), F.lit(0.0))
+    outside = F.col("__a") * F.greatest(F.lit(r) - F.col("__at"), F.lit(0)) + F.col("__z") * F.greatest(F.col("__at") + r - F.col("__last"), F.lit(0))
+    return df.withColumn(out, inside + outside).drop("__sum", "__all", "__at", "__last", "__a", "__z")
+
+
 def local_mean(pixels: DataFrame, block: int, gaussian: bool = False) -> DataFrame:
     """Adds ``mean``: weighted mean of the block around each pixel, edges repeated; a row pass and a column pass.
 
-    Images must be complete rectangles.
+    Images must be complete rectangles. A plain mean comes from two running sums, so its cost does not grow with the
+    block; only the gaussian one gathers the block's line for each pixel.
     """
     weights, r = _weights(block, gaussian), block // 2
+    start = pixels.withColumn("__v", F.col("v").cast("double"))
+    if not gaussian:
+        sums = _box_sums(_box_sums(start, "y", "x", "__v", r, "__h"), "x", "y", "__h", r, "__s")
+        return sums.withColumn("mean", F.col("__s") / (block * block)).drop("__v", "__h", "__s")
 
     def blur(df: DataFrame, across: str, along: str, value: str, out: str) -> DataFrame:
         line = W.partitionBy("image_id", across).orderBy(along)
@@ -155,8 +198,7 @@ def local_mean(pixels: DataFrame, block: int, gaussian: bool = False) -> DataFra
         total = F.aggregate(F.zip_with(full, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         return df.withColumn(out, total).drop("__near", "__at", "__last", "__a", "__z")
 
-    rows = blur(pixels.withColumn("__v", F.col("v").cast("double")), "y", "x", "__v", "__h")
-    return blur(rows, "x", "y", "__h", "mean").drop("__v", "__h")
+    return blur(blur(start, "y", "x", "__v", "__h"), "x", "y", "__h", "mean").drop("__v", "__h")
 
 
 def adaptive_threshold(pixels: DataFrame, block: int, c: float, gaussian: bool = False) -> DataFrame:
@@ -200,55 +242,123 @@ def kernel(shape: str, size: int) -> list[tuple[int, int]]:
     raise ValueError(f"unknown kernel shape {shape!r}")
 
 
-def _shifted(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    each = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets)))
-    moved = pixels.withColumn("o", each)
-    return moved.select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+def _lines(shape: str, size: int) -> list[tuple[int, int, int]]:
+    """``dy, a, b`` of each line of a kernel, which reaches from ``a`` to ``b``."""
+    lines: dict[int, list[int]] = {}
+    for dy, dx in kernel(shape, size):
+        lines.setdefault(dy, []).append(dx)
+    return [(dy, min(xs), max(xs)) for dy, xs in lines.items()]
+
+
+def _per_line(runs: DataFrame, lines: list[tuple[int, int, int]]) -> DataFrame:
+    """Every run once for each line of a kernel, with ``dy, a, b``."""
+    each = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(a).alias("a"), F.lit(b).alias("b")) for dy, a, b in lines)))
+    return runs.select("image_id", "y", "x0", "x1", each.alias("o")).select("image_id", "y", "x0", "x1", "o.*")
+
+
+def dilate_runs(runs: DataFrame, shape: str, size: int, iterations: int, width: int, height: int) -> DataFrame:
+    """Runs grown by the kernel and cut at the canvas: each is widened once for every line of the kernel."""
+    lines = _lines(shape, size)
+    for _ in range(iterations):
+        grown = _per_line(runs, lines).select("image_id", (F.col("y") + F.col("dy")).alias("y"), F.greatest(F.lit(0), F.col("x0") + F.col("a")).alias("x0"), F.least(F.lit(width), F.col("x1") + F.col("b")).alias("x1"))
+        runs = merge_runs(grown.filter(F.col("y").between(0, height - 1)))
+    return runs
+
+
+def erode_runs(runs: DataFrame, shape: str, size: int, iterations: int, width: int, height: int) -> DataFrame:
+    """What of maximal runs has the whole kernel, as far as it is on the canvas, on ink.
+
+    A run is narrowed for every line of the kernel; what is left is on ink for that line, and stays where all lines
+    that are on the canvas agree.
+    """
+    lines = _lines(shape, size)
+    for _ in range(iterations):
+        x0, x1 = F.col("x0"), F.col("x1")
+        begin, end = F.when(x0 <= 0, F.lit(0)).otherwise(x0 - F.col("a")), F.when(x1 >= width, F.lit(width)).otherwise(x1 - F.col("b"))
+        left = _per_line(runs, lines).select("image_id", (F.col("y") - F.col("dy")).alias("y"), F.greatest(F.lit(0), begin).alias("x0"), F.least(F.lit(width), end).alias("x1"), F.lit(1).alias("depth"))
+        needed = reduce(lambda p, q: p + q, [(F.col("y") + dy).between(0, height - 1).cast("int") for dy, _, _ in lines])
+        deep = covered(left.filter(F.col("y").between(0, height - 1)), ["depth"]).filter(F.col("depth") == needed)
+        runs = merge_runs(deep)
+    return runs
 
 
 def dilate(pixels: DataFrame, shape: str, size: int | None, iterations: int | None, width: int, height: int) -> DataFrame:
     """Ink pixels ``(image_id, y, x)`` grown by the kernel and cut at the canvas; 0 iterations change nothing."""
     if size is None or iterations is None:
         raise ValueError("size and iterations of a dilation must be set")
-    out, offsets = pixels.select("image_id", "y", "x"), kernel(shape, size)
-    for _ in range(iterations):
-        out = _shifted(out, offsets).filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct()
-    return out
+    return from_runs(dilate_runs(to_runs(pixels), shape, size, iterations, width, height))
 
 
 def erode(pixels: DataFrame, shape: str, size: int, iterations: int, width: int, height: int) -> DataFrame:
     """Ink pixels all of whose kernel neighbours within the canvas are ink."""
-    out, offsets = pixels.select("image_id", "y", "x"), kernel(shape, size)
-    inside = lambda dy, dx: ((F.col("y") + dy).between(0, height - 1) & (F.col("x") + dx).between(0, width - 1)).cast("int")
-    for _ in range(iterations):
-        votes = _shifted(out, [(-dy, -dx) for dy, dx in offsets]).groupBy("image_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-        needed = reduce(lambda a, b: a + b, [inside(dy, dx) for dy, dx in offsets])
-        out = out.join(votes, ["image_id", "y", "x"]).filter(F.col("n") == needed).select("image_id", "y", "x")
-    return out
+    return from_runs(erode_runs(to_runs(pixels), shape, size, iterations, width, height))
 
 
 def morphology(pixels: DataFrame, opened: int, closed: int, size: int, width: int, height: int, shape: str = "rect") -> DataFrame:
-    """Opening, then closing, each repeated as often as told."""
-    out = pixels
+    """Opening, then closing, each repeated as often as told; all of it on runs."""
+    runs = to_runs(pixels)
     if opened:
-        out = dilate(erode(out, shape, size, opened, width, height), shape, size, opened, width, height)
+        runs = dilate_runs(erode_runs(runs, shape, size, opened, width, height), shape, size, opened, width, height)
     if closed:
-        out = erode(dilate(out, shape, size, closed, width, height), shape, size, closed, width, height)
-    return out
-
-
-def label_runs(runs: DataFrame) -> DataFrame:
-    """Runs with ``label`` of their 8-connected component: the smallest (y, x0) in it, as ``y:x0``.
-
-    Two runs of neighbouring rows touch, corners included, if each begins no later than the other ends.
+        runs = erode_runs(dilate_runs(runs, shape, size, closed, width, height), shape, size, closed, width, height)
+    return from_runs(runs)
+
+
+#: Rows of an image that one task labels at a time.
+STRIP = 64
+
+
+def _label_strip(table: pa.Table) -> pa.Table:
+    """The runs of one strip with ``local``: the smallest ``code`` of their component within it. Codes grow with row and place."""
+    order = sorted(zip(*(table[c].to_pylist() for c in ("y", "x0", "x1", "code")), strict=True))
+    parent = list(range(len(order)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    above: list[int] = []
+    for y, same in groupby(range(len(order)), key=lambda i: order[i][0]):
+        row, at = list(same), 0
+        if above and order[above[0]][0] == y - 1:
+            for i in row:
+                # runs of the row above that end before this one begins are done with
+                while at < len(above) and order[above[at]][2] < order[i][1]:
+                    at += 1
+                for j in above[at:]:
+                    if order[j][1] > order[i][2]:
+                        break
+                    a, b = sorted((root(i), root(j)))
+                    parent[b] = a
+        above = row
+    columns = list(zip(*order, strict=True))
+    out = {c: pa.array(columns[k], table[c].type) for k, c in enumerate(("y", "x0", "x1", "code"))}
+    return pa.table({"image_id": table["image_id"], **out, "local": pa.array([order[root(i)][3] for i in range(len(order))], pa.int64())})
+
+
+def label_runs(runs: DataFrame, strip: int = STRIP) -> DataFrame:
+    """Maximal runs with ``label`` of their 8-connected component: a number that grows with row and place of its first run.
+
+    Two runs of neighbouring rows touch, corners included, if each begins no later than the other ends. Strips of rows
+    are labelled by themselves; only components that touch over the border of two strips are a problem of the whole
+    graph, whose nodes are numbers in order of image and label.
     """
-    node = F.concat_ws("/", "image_id", F.lpad(F.col("y").cast("string"), 8, "0"), F.lpad(F.col("x0").cast("string"), 8, "0"))
-    named = runs.withColumn("node", node)
-    upper = named.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("l"))
-    lower = named.select("image_id", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("r"))
-    edges = upper.join(lower, ["image_id", "y"]).filter("a0 <= b1 AND b0 <= a1").select("l", "r")
-    found = connected_components(edges)
-    return named.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("node", "component")
+    kind = runs.schema["image_id"].dataType.simpleString()
+    coded = runs.select("image_id", F.col("y").cast("long").alias("y"), F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), (F.col("y") * F.lit(1 << 31) + F.col("x0")).cast("long").alias("code"))
+    strips = coded.withColumn("strip", F.floor(F.col("y") / strip)).groupBy("image_id", "strip")
+    local = materialize(strips.applyInArrow(_label_strip, f"image_id {kind}, y long, x0 long, x1 long, code long, local long"), "strips")
+    upper = local.filter(F.pmod("y", F.lit(strip)) == strip - 1).select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("local").alias("l"))
+    lower = local.filter(F.pmod("y", F.lit(strip)) == 0).select("image_id", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("local").alias("r"))
+    edges = materialize(upper.join(lower, ["image_id", "y"]).filter("a0 <= b1 AND b0 <= a1").select("image_id", "l", "r").distinct(), "strip-edges")
+    ends = edges.select("image_id", F.col("l").alias("local")).union(edges.select("image_id", F.col("r").alias("local"))).distinct()
+    nodes = materialize(ends.repartitionByRange("image_id", "local").sortWithinPartitions("image_id", "local").withColumn("node", F.monotonically_increasing_id()), "strip-nodes")
+    for end in "lr":
+        edges = edges.join(nodes.select("image_id", F.col("local").alias(end), F.col("node").alias(f"n{end}")), ["image_id", end])
+    found = connected_components(edges, "nl", "nr")
+    roots = found.join(nodes, "node").join(nodes.select(F.col("node").alias("component"), F.col("local").alias("label")), "component").select("image_id", "local", "label")
+    out = local.join(roots, ["image_id", "local"], "left")
+    return out.select("image_id", "y", "x0", "x1", F.coalesce("label", "local").alias("label"))
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -280,7 +390,15 @@ def footprint_overlap(before: DataFrame, after: DataFrame, mask: DataFrame, tole
 
 
 def landing(new: DataFrame, old: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    """Per image the share of new ink within ``k`` pixels of old ink."""
-    near = dilate(old, "rect", 2 * k + 1, 1, width, height).withColumn("near", F.lit(1))
-    hit = new.select("image_id", "y", "x").join(near, ["image_id", "y", "x"], "left")
-    return hit.groupBy("image_id").agg((F.count("near") / F.count(F.lit(1))).alias("landed"))
+    """Per image the share of new ink within ``k`` pixels of old ink; both are widened and compared as runs."""
+    runs = to_runs(new)
+    near = dilate_runs(to_runs(old), "rect", 2 * k + 1, 1, width, height)
+    ink = runs.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("ink"))
+    hit = ink.join(overlap_runs(runs, near), "image_id", "left")
+    return hit.select("image_id", (F.coalesce("tp", F.lit(0)) / F.col("ink")).alias("landed"))
+
+
+def overlap_runs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Common pixels ``tp`` per image of two run relations ``(image_id, y, x0, x1)``: one sweep over the ends of each row."""
+    both = left.select("image_id", "y", "x0", "x1", F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select("image_id", "y", "x0", "x1", F.lit(0), F.lit(1)))
+    return covered(both, ["l", "r"]).filter("l > 0 AND r > 0").groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("tp"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliogrid.functions.scalars import prf_iou
+from foliogrid.operators.masks import overlap_runs
 
 SCORES = ("iou", "precision", "recall", "f1")
 
@@ -17,14 +18,6 @@ def confusion_by_key(predicted: DataFrame, truth: DataFrame, key: str, groups: l
     return both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count_if(t & p).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(t & ~p).alias("fn"))
 
 
-def overlap_runs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Common pixels per image of two run relations ``(image_id, y, x0, x1)`` with disjoint runs in each row."""
-    l, r = left.alias("l"), right.alias("r")
-    meet = (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.y") == F.col("r.y")) & (F.col("l.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("l.x1"))
-    width = F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0")
-    return l.join(r, meet).groupBy(F.col("l.image_id").alias("image_id")).agg(F.sum(width).alias("tp"))
-
-
 def run_area(runs: DataFrame, name: str) -> DataFrame:
     return runs.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
 

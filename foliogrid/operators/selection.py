@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliogrid.operators.ranks import running_sums
+
 RULES = ("highest_iou_f1", "lowest_iou_f1", "most_false_positives", "most_false_negatives", "manual")
 
 
@@ -46,20 +48,23 @@ def select_pages(metrics: DataFrame, mode: str, n: int) -> DataFrame:
 
 
 def case_entries(metrics: DataFrame, failures: DataFrame, n: int) -> DataFrame:
-    """``method, image_id, case_kind, rank``: good, average and failed pages; a page picked twice is good."""
-    ranked = metrics.join(failures, ["method", "image_id"], "left_anti").select("method", "image_id", "f1")
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("method").orderBy(F.desc("f1"), "image_id")))
+    """``method, image_id, case_kind, rank``: good, average and failed pages; a page picked twice is good.
+
+    Ranks are running counts over sorted ranges, so a method's pages are spread over the cluster.
+    """
+    scored = metrics.join(failures, ["method", "image_id"], "left_anti").groupBy("method", (-F.col("f1")).alias("down"), "image_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(scored, ["method"], ["down", "image_id"], ["n"]).withColumn("rank", F.explode(F.sequence(F.col("before_n") + 1, F.col("before_n") + F.col("n"))))
     total = ranked.groupBy("method").agg(F.count(F.lit(1)).alias("total"))
     middle = F.greatest(F.floor((F.col("total") - n) / 2), F.lit(0))
     kind = F.when(F.col("rank") <= n, "good").when((F.col("rank") > middle) & (F.col("rank") <= middle + n), "average")
-    picked = ranked.join(F.broadcast(total), "method").withColumn("case_kind", kind).filter("case_kind IS NOT NULL").select("method", "image_id", "case_kind", "rank")
+    picked = ranked.join(total, "method").withColumn("case_kind", kind).filter("case_kind IS NOT NULL").select("method", "image_id", "case_kind", F.col("rank").cast("int").alias("rank"))
     return picked.union(failures.select("method", "image_id", F.lit("failure"), F.lit(None).cast("int")))
 
 
 def select_typical(metrics: DataFrame, n: int) -> DataFrame:
     """The ``n`` pages of each method whose f1 is closest to its mean, with ``rank``."""
     mean = metrics.groupBy("method").agg(F.avg("f1").alias("mean_f1"))
-    near = metrics.join(F.broadcast(mean), "method").withColumn("distance", F.round(F.abs(F.col("f1") - F.col("mean_f1")), 12))
+    near = metrics.join(mean, "method").withColumn("distance", F.round(F.abs(F.col("f1") - F.col("mean_f1")), 12))
     return near.withColumn("rank", F.row_number().over(W.partitionBy("method").orderBy("distance", "image_id"))).filter(F.col("rank") <= n)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliogrid.functions.scalars import box_gaps, crop_geometry, orientation, reading_key
 from foliogrid.functions.storage import materialize
 from foliogrid.operators.graph import connected_components, spanning_forest
+from foliogrid.operators.ranks import exact_quantiles
 
 BOX = ("x", "y", "w", "h")
 
@@ -180,8 +181,11 @@ def region_sweep(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     size = (right - F.min("x")) * (bottom - F.min("y"))
     regions = grouped.groupBy("page", "grp").agg(size.alias("size"), (F.sum("true_area") * 100 < F.sum("area")).alias("false"))
+    regions = materialize(regions.select(F.col("page.config").alias("config"), "size", "false"), "sweep-regions")
     false = F.count_if("false")
-    return regions.groupBy("page.config").agg(F.count(F.lit(1)).alias("regions"), false.alias("false_regions"), (F.count(F.lit(1)) - false).alias("true_regions"), F.median("size").alias("median_box"), F.percentile("size", 0.95).alias("p95_box"))
+    counts = regions.groupBy("config").agg(F.count(F.lit(1)).alias("regions"), false.alias("false_regions"), (F.count(F.lit(1)) - false).alias("true_regions"))
+    sizes = exact_quantiles(regions, ["config"], {"size": F.col("size")}, (0.5, 0.95))
+    return counts.join(sizes.select("config", F.col("p50").alias("median_box"), F.col("p95").alias("p95_box")), "config")
 
 
 def link_gaps(boxes: DataFrame, pairs: DataFrame) -> DataFrame:

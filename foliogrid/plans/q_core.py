@@ -150,10 +150,14 @@ def prj21(spark, d):
     return c.select("conv_id", "turn", F.sha2(S.redact(F.col("text"), "the"), 256).alias("digest"), S.refuses_secret(F.col("text"), "the").alias("refused"))
 
 
-@query("prj22_length_ratio", "SELECT conv_id, turn, length(trim(text)) AS src_len, length(trim(role)) AS dst_len, round(length(trim(role))::DOUBLE / greatest(length(trim(text)), 1), 9) AS ratio, round(length(trim(role)) * 0.5::DOUBLE / greatest(length(trim(text)), 1), 9) AS visual FROM conversations")
+PADDED = "CASE WHEN turn % 5 = 4 THEN chr(10) || '  ' WHEN turn % 2 = 0 THEN chr(9) || role || ' ' || chr(10) ELSE role END"
+
+
+@query("prj22_length_ratio", rf"SELECT conv_id, turn, length(a) AS src_len, length(b) AS dst_len, round(length(b)::DOUBLE / length(a), 9) AS ratio, round(length(b) * 0.5::DOUBLE / length(a), 9) AS visual FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS a, regexp_replace({PADDED}, '^\s+|\s+$', '', 'g') AS b FROM conversations) WHERE a <> '' AND b <> ''")
 def prj22(spark, d):
     c = Views(spark, d).table("conversations")
-    return rounded(c.select("conv_id", "turn", *(v.alias(k) for k, v in S.length_ratio(F.col("text"), F.col("role")).items())), "ratio", "visual")
+    ratios = c.select("conv_id", "turn", *(v.alias(k) for k, v in S.length_ratio(F.col("text"), F.expr(PADDED)).items()))
+    return rounded(ratios.filter("ratio IS NOT NULL"), "ratio", "visual")
 
 
 REFERENCE = "CASE doc_id % 7 WHEN 0 THEN '/' || image_id WHEN 1 THEN 'outputs/../' || image_id WHEN 2 THEN 'private/' || image_id WHEN 3 THEN 'outputs' WHEN 4 THEN 'outputs/raw/' || image_id WHEN 5 THEN 'C:/' || image_id ELSE 'outputs/' || image_id END"

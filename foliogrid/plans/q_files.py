@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from foliogrid.functions.storage import materialize, shared_dir
 from foliogrid.operators import plugins as P
+from foliogrid.operators.gates import Rule
 from foliogrid.operators.masks import threshold
+from foliogrid.operators.metrics import confusion_by_key
 from foliogrid.plans.q_core import rounded
 from foliogrid.plans.views import Views, oracle
-from foliogrid.sources import files, sinks
+from foliogrid.sources import admission, files, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -187,19 +189,40 @@ def snk6(spark, d):
     return back[0].union(back[1])
 
 
-@query("run1_admit", "SELECT method, image_id, tp FROM v_metrics WHERE method IN ('adaptive', 'edges')")
+HANDOFFS = {"adaptive": ("true", "false"), "components": ("doc_id % 97 <> 5", "false"), "edges": ("true", "false"), "otsu": ("true", "n_chars % 7 = 0")}
+HANDOFF = " UNION ALL ".join(f"SELECT method, p.doc_id, CASE WHEN {odd} THEN 128 WHEN predicted THEN 255 ELSE 0 END AS value FROM v_pred p JOIN documents d USING (doc_id) WHERE method = '{m}' AND {kept}" for m, (kept, odd) in HANDOFFS.items())
+
+
+@query("run1_admit", f"WITH h AS ({HANDOFF}), c AS (SELECT m.method, CASE WHEN (SELECT count(DISTINCT doc_id) FROM documents) > count(DISTINCT h.doc_id) THEN 'missing_page' WHEN count(*) > count(DISTINCT h.doc_id) THEN 'repeated_page' WHEN count(*) FILTER (value NOT IN (0, 255)) > 0 THEN 'non_binary_mask' END AS refused FROM (SELECT DISTINCT method FROM v_pred) m LEFT JOIN h ON h.method = m.method GROUP BY 1), g AS (SELECT doc_id, max(toxic) = 1 AS truth FROM labels GROUP BY 1) SELECT c.method, refused, count(h.doc_id) AS pages, count(*) FILTER (value = 255 AND coalesce(truth, false)) AS tp, count(*) FILTER (value = 255 AND NOT coalesce(truth, false)) AS fp, count(*) FILTER (value = 0 AND coalesce(truth, false)) AS fn, (SELECT string_agg(method, ',' ORDER BY method) FROM c a WHERE a.refused IS NOT NULL) AS awaited FROM c LEFT JOIN h ON h.method = c.method AND refused IS NULL LEFT JOIN g ON g.doc_id = h.doc_id GROUP BY 1, 2")
 def run1(spark, d):
-    """Methods whose gate finds nothing are added to a run, one is refused and leaves no rows."""
-    base, m = folder(spark, "admit"), materialize(Views(spark, d).metrics(), "admit-metrics")
-    nothing = m.filter("iou < 0").select(F.lit(1).alias("check_no"), "image_id")
-    wrong = m.filter("method = 'otsu'").select(F.lit(2).alias("check_no"), "image_id")
-    for name, refused in (("adaptive", nothing), ("otsu", wrong), ("edges", nothing)):
+    """Hand-offs of four methods: those whose gate finds nothing are scored and seen, the others name their first fault.
+
+    One is admitted again, which changes nothing, and one again with other masks, which is refused.
+    """
+    v, base = Views(spark, d), folder(spark, "admit")
+    pages = v.table("documents").select(F.col("doc_id").cast("string").alias("image_id"))
+    truth = v.truth().select(F.col("doc_id").cast("string").alias("image_id"), "truth")
+    facts = v.predictions().join(v.table("documents").select("doc_id", "n_chars"), "doc_id")
+    score = lambda s: confusion_by_key(s.select("image_id", (F.col("value") == 255).alias("predicted")), truth, "image_id", [])
+    rules, refused = [Rule("non_binary_mask", ~F.col("value").isin(0, 255), "values between")], {}
+
+    def handoff(name: str) -> DataFrame:
+        kept, odd = HANDOFFS[name]
+        value = F.when(F.expr(odd), 128).when(F.col("predicted"), 255).otherwise(0)
+        return facts.filter(F.col("method") == name).filter(kept).select(F.col("doc_id").cast("string").alias("image_id"), value.alias("value"))
+
+    tries = [(n, handoff(n)) for n in HANDOFFS] + [("adaptive", handoff("adaptive")), ("edges", handoff("edges").withColumn("value", F.lit(0)))]
+    for name, samples in tries:
         try:
-            sinks.admit(m.filter(F.col("method") == name).select("image_id", "tp"), refused, base, "run-1", name)
-        except ValueError:
-            if name != "otsu":
-                raise
-    return spark.read.parquet(f"{base}/run-1").select(F.col("run_id").alias("method"), "image_id", "tp")
+            admission.admit(samples, pages, rules, score, base, "run-1", name)
+        except admission.Refused as no:
+            refused.setdefault(name, no.category)
+    if refused.pop("edges", None) != "admitted_already":
+        raise AssertionError("other masks of an admitted method were taken")
+    record = admission.run_record(spark, base, "run-1", list(HANDOFFS))
+    seen = admission.read_fact(spark, base, "run-1", "scores").select("method", F.lit(None).cast("string").alias("refused"), F.col("n").alias("pages"), "tp", "fp", "fn")
+    none = spark.createDataFrame([(m, why, 0, 0, 0, 0) for m, why in refused.items()], "method string, refused string, pages long, tp long, fp long, fn long")
+    return seen.union(none).withColumn("awaited", F.lit(",".join(record["methods_awaited"])))
 
 
 @query("udf1_registry", "SELECT method, image_id, v, count(*) AS n FROM (SELECT 'bright' AS method, event_type AS image_id, CASE WHEN least(255, floor(value)) > 90 THEN 255 ELSE 0 END AS v FROM events UNION ALL SELECT 'dark', event_type, CASE WHEN least(255, floor(value)) > 30 THEN 255 ELSE 0 END FROM events) GROUP BY ALL")

@@ -401,7 +401,10 @@ def run4(spark, d):
     return CH.enrich(requests(v), v.cache(), provider)
 
 
-@query("run5_cache_append", f"SELECT cache_key, translated FROM v_cache UNION ALL SELECT cache_key, translated FROM (SELECT cache_key, arg_min('R:' || region, region) AS translated FROM {REQ} WHERE able AND length(text) < 900 AND NOT contains('R:' || region, '/7') GROUP BY 1) n WHERE NOT EXISTS (SELECT 1 FROM v_cache c WHERE c.cache_key = n.cache_key)")
+CACHE_APPENDED = f"SELECT cache_key, translated FROM v_cache UNION ALL SELECT cache_key, translated FROM (SELECT cache_key, arg_min('R:' || region, region) AS translated FROM {REQ} WHERE able AND length(text) < 900 AND NOT contains('R:' || region, '/7') GROUP BY 1) n WHERE NOT EXISTS (SELECT 1 FROM v_cache c WHERE c.cache_key = n.cache_key)"
+
+
+@query("run5_cache_append", CACHE_APPENDED)
 def run5(spark, d):
     v = Views(spark, d)
     r = requests(v).select("cache_key", F.col("region").alias("seq"), F.concat(F.lit("R:"), "region").alias("result"), F.when((F.col("status") == "ok") & (F.char_length("text") < 900), "ok").otherwise("failed").alias("result_status"))
@@ -455,6 +458,20 @@ def jn12(spark, d):
     return CH.assemble_regions(regions, o, t, none)
 
 
+META = "SELECT o_custkey AS page, o_orderkey AS region_id, q AS x, CASE WHEN o THEN 'crops/' || o_orderkey END AS crop_path, CASE WHEN o THEN o_orderpriority ELSE '' END AS ocr_text, CASE WHEN o THEN o_totalprice END AS ocr_confidence, CASE WHEN o AND q % 3 > 0 THEN 'ok' ELSE 'failed' END AS ocr_status, CASE WHEN o AND q % 3 = 0 THEN 'unsure' END AS ocr_error, o AND o_orderstatus = 'F' AS manually_edited, CASE WHEN o THEN q / 4 END AS ocr_time_seconds, CASE WHEN NOT t THEN '' WHEN q % 4 > 0 THEN 'T' || o_orderpriority END AS translation, CASE WHEN t THEN 'ok' ELSE 'skipped' END AS translation_status, NULL::VARCHAR AS translation_error, CASE WHEN t THEN 'hit' END AS cache_status, NULL::VARCHAR AS failure_policy, NULL::DOUBLE AS translation_time_seconds, CASE WHEN r THEN 'ok' ELSE 'skipped' END AS render_status, NULL::VARCHAR AS render_warning, NULL::BIGINT AS font_size_used, CASE WHEN r THEN q ELSE 0 END AS line_count, NULL::VARCHAR AS display_box, NULL::VARCHAR AS direction_used, NULL::DOUBLE AS render_time_seconds FROM (SELECT *, o_orderkey % 50 AS q, o_orderkey % 50 > 5 AS o, o_orderkey % 50 > 20 AS t, o_orderkey % 50 > 40 AS r FROM orders)"
+
+
+@query("prj27_region_metadata", META)
+def prj27(spark, d):
+    """Records of regions of which later stages saw fewer and fewer."""
+    t = Views(spark, d).table("orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("region_id"), (F.col("o_orderkey") % 50).alias("x"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+    keys, sure = ["page", "region_id"], F.col("x") % 3 > 0
+    ocr = t.filter("x > 5").select(*keys, F.concat(F.lit("crops/"), "region_id").alias("crop_path"), F.col("o_orderpriority").alias("text"), F.col("o_totalprice").alias("confidence"), F.when(sure, "ok").otherwise("failed").alias("status"), F.when(~sure, "unsure").alias("error"), (F.col("o_orderstatus") == "F").alias("manually_edited"), (F.col("x") / 4).alias("seconds"))
+    translated = t.filter("x > 20").select(*keys, F.when(F.col("x") % 4 > 0, F.concat(F.lit("T"), "o_orderpriority")).alias("translated_text"), F.lit("ok").alias("status"), F.lit("hit").alias("cache_status"))
+    rendered = t.filter("x > 40").select(*keys, F.lit("ok").alias("render_status"), F.col("x").alias("line_count"))
+    return CH.region_metadata(t.select(*keys, "x"), keys, ocr=ocr, translation=translated, render=rendered)
+
+
 @query("prj25_relayout", "SELECT o_orderkey, 'classical_baseline' AS method, o_orderstatus AS status, 'run-1' AS lineage_run, o_orderpriority AS lineage_method FROM orders")
 def prj25(spark, d):
     o = Views(spark, d).table("orders").select("o_orderkey", F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("status"))

@@ -35,10 +35,8 @@ def src4b(spark, d):
 
 @query("jn10_overlap_runs", "SELECT image_id, count(*) AS tp FROM (SELECT DISTINCT image_id, y, x FROM v_ink WHERE kind = 'click') JOIN (SELECT DISTINCT image_id, y, x FROM v_ink WHERE kind = 'error') USING (image_id, y, x) GROUP BY 1")
 def jn10(spark, d):
-    from foliogrid.operators.metrics import overlap_runs
-
     ink = Views(spark, d).ink()
-    return overlap_runs(MK.to_runs(ink.filter("kind = 'click'")), MK.to_runs(ink.filter("kind = 'error'")))
+    return MK.overlap_runs(MK.to_runs(ink.filter("kind = 'click'")), MK.to_runs(ink.filter("kind = 'error'")))
 
 
 @query("prj4_mask_encoding", "SELECT image_id, CASE WHEN aw THEN 'all-white-empty' WHEN mg THEN 'magenta-text' WHEN bk THEN 'black-text' WHEN NOT wh THEN 'near-black-only' ELSE 'all-white-empty' END AS encoding FROM (SELECT user_id % 40 AS image_id, bool_and(b >= 230 AND g >= 230 AND r >= 230) AS aw, bool_or(r >= 180 AND g <= 80 AND b >= 180) AS mg, bool_or(r <= 25 AND g <= 25 AND b <= 25) AS bk, bool_or(b >= 230 AND g >= 230 AND r >= 230) AS wh FROM (SELECT user_id, least(255, CAST(floor(value * 3) AS INTEGER)) AS b, 255 - event_id % 256 AS g, least(255, CAST(floor(value * 2) AS INTEGER)) AS r FROM events) GROUP BY 1)")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
+from foliogrid.functions.scalars import text_status
 from foliogrid.operators import changes as CH
 from foliogrid.operators import plugins as P
 from foliogrid.operators.masks import threshold
+from foliogrid.plans.q_ledger import CACHE_APPENDED as ORACLE_RUN5
 from foliogrid.plans.q_ledger import CATEGORIES, CATEGORY_DIM, FIRST, KEY, NAMES, line_rules, requests
 from foliogrid.plans.views import Views, oracle
 from foliogrid.streaming import incremental as ST
@@ -36,9 +40,22 @@ def str2(spark, d):
     return ST.running_error_counts(s, spark.createDataFrame([(c,) for c in CATEGORIES], "category string"))
 
 
-@query("str3_first_writes", f"SELECT DISTINCT {KEY} AS cache_key FROM conversations")
+@query("str3_first_writes", "SELECT user_id, arg_min(event_type || ':' || value, event_id) AS answer FROM (SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS value, event_id FROM events) GROUP BY 1")
 def str3(spark, d):
-    return ST.first_writes(ST.table_stream(spark, d, "conversations").select(F.sha2("text", 256).alias("cache_key")), "cache_key")
+    """The first event of each user; the state of a user goes a month after the last one."""
+    s = ST.table_stream(spark, d, "events").select("user_id", "event_id", "ts", F.concat_ws(":", "event_type", F.floor("value").cast("long")).alias("answer"))
+    return ST.first_writes(s, "user_id", "event_id", "answer", "ts", timedelta(days=30))
+
+
+@query("str3_cache_fill", ORACLE_RUN5)
+def str3f(spark, d):
+    """The batch result of cache appending, from a stream."""
+    v, s = Views(spark, d), ST.table_stream(spark, d, "conversations")
+    text = F.when(F.col("role") == "system", " ").otherwise(F.col("text"))
+    region = F.concat(F.lit("conv-"), "conv_id", F.lit("/"), "turn")
+    good = (text_status(text) == "ok") & (F.char_length(text) < 900)
+    results = s.select(F.sha2("text", 256).alias("cache_key"), region.alias("seq"), F.concat(F.lit("R:"), region).alias("result"), F.when(good, "ok").otherwise("failed").alias("result_status"))
+    return ST.cache_fill(results, v.cache(), "/7")
 
 
 @query("str4_latest_edits", "SELECT conv_id AS region, arg_max(md5(text), turn) AS edited FROM conversations WHERE role <> 'system' GROUP BY 1")

@@ -16,16 +16,21 @@ def write_table(df: DataFrame, path: str, columns: list[str], order: list[str])
 
 
 def write_json(df: DataFrame, path: str, order: list[str]) -> None:
-    """One JSON object a line, nulls written out, in a total order."""
+    """One file with a JSON object a line, nulls written out, in a total order. For aggregates, not for facts."""
     row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     df.orderBy(*order).select(row.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_run(df: DataFrame, base: str, run_id: str, overwrite: bool = False) -> str:
-    """A run's fact under its own path; an existing run is refused unless told, siblings are never touched."""
+def run_name(run_id: str) -> str:
+    """The identifier of a run or method, if it is safe as a part of a path."""
     if not re.match(RUN_ID.replace(r"\z", r"\Z"), run_id):
         raise ValueError(f"not a run id: {run_id!r}")
-    path = f"{base.rstrip('/')}/run_id={run_id}"
+    return run_id
+
+
+def write_run(df: DataFrame, base: str, run_id: str, overwrite: bool = False) -> str:
+    """A run's fact under its own path; an existing run is refused unless told, siblings are never touched."""
+    path = f"{base.rstrip('/')}/run_id={run_name(run_id)}"
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     return path
 
@@ -44,11 +49,3 @@ def export_page(facts: dict[str, DataFrame], image_id: str, base: str, run_root:
         raise ValueError("the export must lie outside the run tree")
     for name, fact in facts.items():
         fact.filter(F.col("image_id") == image_id).write.mode("errorifexists").parquet(f"{base.rstrip('/')}/{name}")
-
-
-def admit(samples: DataFrame, refused: DataFrame, base: str, run_id: str, method: str) -> None:
-    """Append a method's samples to a run if its gate found nothing; earlier methods are never rewritten."""
-    first = refused.orderBy("check_no").head(1)
-    if first:
-        raise ValueError(f"{method} refused: {first[0].asDict()}")
-    write_run(samples, f"{base.rstrip('/')}/{run_id}", method)

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliogrid.functions.storage import shared_dir
 from foliogrid.operators.gates import Rule, intake
 
 
+#: Which state store a stream uses; values by key with a time to live need one that is not in memory.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream, a few new files at a time.
 
@@ -27,7 +36,7 @@ def _run(stream: DataFrame, mode: str, write) -> None:
 
 
 def _gathered(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Rows that a stream gives: those of its last batch in complete mode, of all batches in append mode.
+    """Rows that a stream gives: those of its last batch in complete mode, of all batches in append and update mode.
 
     Every batch has a path of its own, so a batch that is run again after a failure replaces itself.
     """
@@ -55,9 +64,76 @@ def running_error_counts(stream: DataFrame, categories: DataFrame) -> DataFrame:
     return categories.join(counts, "category", "left").fillna(0, ["n"])
 
 
-def first_writes(stream: DataFrame, key: str) -> DataFrame:
-    """Keys of a cache as they first arrive; the state holds each key once."""
-    return _gathered(stream.dropDuplicates([key]).select(key), "append", "cache")
+class _FirstWrite(StatefulProcessor):
+    """Keeps the value of least sequence of a key, and tells it whenever it changes; state goes once the watermark is past it."""
+
+    def __init__(self, kinds: dict, hold_ms: int | None):
+        self.kinds, self.hold_ms = kinds, hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [T.StructField("seq", self.kinds["seq"]), T.StructField("value", self.kinds["value"]), T.StructField("until", T.LongType())]
+        self.handle, self.first = handle, handle.getValueState("first", T.StructType(fields))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seq, value, until = tuple(self.first.get()) if self.first.exists() else (None, None, 0)
+        best = held = None if seq is None else (seq, value)
+        for batch in rows:
+            for new in zip(batch["seq"].tolist(), batch["value"].tolist(), strict=True):
+                best = new if best is None or new < best else best
+            if self.hold_ms is not None:
+                until = max(until, int(batch["time"].max().timestamp() * 1000) + self.hold_ms)
+        self.first.update((*best, until))
+        if self.hold_ms is not None:
+            self.handle.registerTimer(until)
+        if best != held:
+            yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "value": [best[1]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a key that was written again since has a later timer
+        if self.first.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.first.get()[2]:
+            self.first.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def first_writes(stream: DataFrame, key: str, seq: str, value: str, time: str | None = None, hold: timedelta | None = None) -> DataFrame:
+    """``key, value``: of every key the value of least ``seq``, whatever the batches that it arrived in.
+
+    The state of a key is one value. If ``time`` and ``hold`` are given, it is deleted once the stream is ``hold`` past
+    the key's last row: a key that comes back then counts if its sequence is smaller than what was told before. Rows
+    later than twice ``hold`` are dropped, as are rows with a null in any of the columns.
+    """
+    spark = stream.sparkSession
+    named = {"key": F.col(key), "seq": F.col(seq), "value": F.col(value)} | ({"time": F.col(time).cast("timestamp")} if time else {})
+    rows = stream.select(*(c.alias(n) for n, c in named.items())).dropna()
+    if time:
+        rows = rows.withWatermark("time", f"{2 * int(hold.total_seconds())} seconds")
+    kinds = {c: rows.schema[c].dataType for c in ("key", "seq", "value")}
+    keeper = _FirstWrite(kinds, int(hold.total_seconds() * 1000) if time else None)
+    told = rows.groupBy("key").transformWithStateInPandas(keeper, outputStructType=T.StructType([T.StructField(c, k) for c, k in kinds.items()]), outputMode="Update", timeMode="EventTime" if time else "None")
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = _gathered(told, "update", "cache")
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    return changes.groupBy("key").agg(F.min(F.struct("seq", "value")).alias("f")).select(F.col("key").alias(key), F.col("f.value").alias(value))
+
+
+def cache_fill(results: DataFrame, cache: DataFrame, secret: str | None = None) -> DataFrame:
+    """A cache ``cache_key, translated`` with the first good answer of each new key of a stream of results.
+
+    Results are ``cache_key, seq, result, result_status``; failures and answers with the secret stay out, and keys that
+    the cache holds keep their value.
+    """
+    good = results.filter("result_status = 'ok'")
+    if secret:
+        good = good.filter(~F.contains("result", F.lit(secret)))
+    fresh = good.join(cache.select("cache_key"), "cache_key", "left_anti")
+    new = first_writes(fresh.select("cache_key", "seq", F.col("result").alias("translated")), "cache_key", "seq", "translated")
+    return cache.select("cache_key", "translated").union(new)
 
 
 def latest_edits_stream(stream: DataFrame) -> DataFrame:

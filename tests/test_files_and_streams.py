@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliogrid.operators.changes import cache_append
 from foliogrid.operators.gates import Rule
+from foliogrid.sources import admission as ADM
 from foliogrid.sources import files, sinks
 from foliogrid.streaming import incremental as ST
 
@@ -78,15 +81,43 @@ def test_runs_are_not_overwritten_and_bundles_verified(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/x")).count() == 1
 
 
-def test_admission_is_all_or_nothing(spark, tmp_path):
-    df, bad = spark.range(2), spark.createDataFrame([(1, "empty_mask")], "check_no int, category string")
-    with pytest.raises(ValueError, match="empty_mask"):
-        sinks.admit(df, bad, str(tmp_path), "run", "a")
-    assert not list(tmp_path.iterdir())
-    sinks.admit(df, bad.limit(0), str(tmp_path), "run", "a")
-    before = {p: p.read_bytes() for p in tmp_path.rglob("*.parquet")}
-    sinks.admit(df, bad.limit(0), str(tmp_path), "run", "b")
+def test_admission_is_one_act(spark, tmp_path):
+    base, pages = str(tmp_path), spark.range(3).selectExpr("CAST(id AS STRING) AS image_id")
+    good = pages.selectExpr("image_id", "IF(image_id = '1', 255, 0) AS value")
+    rules = [Rule("non_binary_mask", ~F.col("value").isin(0, 255), "between")]
+    score = lambda s: s.select("image_id", (F.col("value") == 255).alias("ink"))
+    take = lambda df, method, of=pages, how=score: ADM.admit(df, of, rules, how, base, "run", method)
+
+    def refused(df, method, category, image=None, of=pages):
+        before = {p: p.read_bytes() for p in tmp_path.rglob("*.*")}
+        with pytest.raises(ADM.Refused) as no:
+            take(df, method, of)
+        assert (no.value.category, no.value.image_id) == (category, image)
+        assert {p: p.read_bytes() for p in tmp_path.rglob("*.*")} == before
+
+    refused(good.filter("image_id <> '2'"), "a", "missing_page", "2")
+    refused(good.union(good.limit(1)), "a", "repeated_page", "0")
+    refused(good.union(spark.createDataFrame([("9", 0)], good.schema)), "a", "unlisted_page", "9")
+    refused(good.withColumn("value", F.lit(7)), "a", "non_binary_mask", "0")
+    refused(pages.limit(0).withColumn("value", F.lit(0)), "a", "missing_page", "0")
+    assert ADM.read_fact(spark, base, "run", "scores") is None
+    first = take(good, "a")
+    before = {p: p.read_bytes() for p in tmp_path.rglob("*.*")}
+    assert take(good.repartition(2), "a") == first and {p: p.read_bytes() for p in tmp_path.rglob("*.*")} == before
+    refused(good.withColumn("value", F.lit(0)), "a", "admitted_already")
+    refused(good.limit(2), "b", "page_list_identity", of=pages.limit(2))
+
+    def broken(_):
+        raise RuntimeError("no scores")
+
+    with pytest.raises(RuntimeError):
+        take(good, "b", how=broken)
+    assert ADM.run_record(spark, base, "run", ["a", "b"])["methods_awaited"] == ["b"]
+    take(good.withColumn("value", F.lit(0)), "b")
     assert all(p.read_bytes() == b for p, b in before.items())
+    record = ADM.run_record(spark, base, "run", ["a", "b"])
+    assert record["methods_admitted"] == ["a", "b"] and record["ended"] and record["page_list"] == ADM.page_list_identity(pages)
+    assert sorted((r.method, r.image_id, r.ink) for r in ADM.read_fact(spark, base, "run", "scores").collect()) == [(m, str(i), m == "a" and i == 1) for m in "ab" for i in range(3)]
 
 
 def test_json_report_writes_nulls_in_order(spark, tmp_path):
@@ -101,7 +132,8 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = lambda: ST.table_stream(spark, str(tmp_path), "t")
     dim = spark.createDataFrame([(f"c{i}",) for i in range(4)], "category string")
     assert sorted(map(tuple, ST.running_error_counts(stream(), dim).collect())) == [("c0", 20), ("c1", 20), ("c2", 20), ("c3", 0)]
-    assert sorted(r.region for r in ST.first_writes(stream(), "region").collect()) == [0, 1, 2, 3]
+    first = ST.first_writes(stream().withColumn("seq", -F.col("id")), "region", "seq", "category")
+    assert {r.region: r.category for r in first.collect()} == {k: f"c{(56 + k) % 3}" for k in range(4)}
     gate = ST.incremental_intake(stream(), [Rule("odd", F.col("id") % 2 == 1, "odd")], "id")
     assert {r.id for r in gate.filter("category IS NOT NULL").collect()} == set(range(1, 60, 2)) and gate.count() == 60
     edits = stream().select("region", F.col("id").alias("seq"), F.col("id").cast("string").alias("edited"), "invalidated")
@@ -115,3 +147,24 @@ def test_windows_close_with_the_watermark(spark, tmp_path):
         df.filter(F.to_date("ts") == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "e.parquet"))
     got = [(str(r.start), r.category, r.n) for r in ST.windowed_errors(ST.table_stream(spark, str(tmp_path), "e")).collect()]
     assert got == [("2024-01-01 00:00:00", "a", 2)]
+
+
+def test_cache_fill_does_not_depend_on_batches(spark, tmp_path):
+    rows = [(f"k{i % 5}", i * 37 % 60, f"r{i}" if i % 7 else "secret", "ok" if i % 3 else "failed") for i in range(60)]
+    df = spark.createDataFrame(rows, "cache_key string, seq int, result string, result_status string")
+    cache = spark.createDataFrame([("k2", "old")], "cache_key string, translated string")
+    want = {tuple(r) for r in cache_append(df, cache, "secret").collect()}
+    for parts in (1, 9):
+        df.repartition(parts).write.parquet(str(tmp_path / f"r{parts}.parquet"))
+        stream = ST.table_stream(spark, str(tmp_path), f"r{parts}")
+        assert {tuple(r) for r in ST.cache_fill(stream, cache, "secret").collect()} == want
+
+
+def test_states_of_old_keys_are_deleted(spark, tmp_path):
+    days = [("a", 1, 5, "x"), ("b", 1, 1, "y"), ("a", 2, 3, "z"), ("c", 20, 9, "p"), ("d", 40, 9, "q"), ("a", 41, 4, "late"), ("b", 41, 0, "first"), ("c", 42, 10, "no")]
+    for i, (key, day, seq, value) in enumerate(days):
+        df = spark.createDataFrame([(key, f"2024-01-01 00:00:0{i}", day, seq, value)], "k string, t string, day int, seq int, v string")
+        df.selectExpr("k", "timestamp_ntz(t) + make_dt_interval(day) AS ts", "seq", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "s.parquet"))
+    stream = ST.table_stream(spark, str(tmp_path), "s")
+    got = ST.first_writes(stream, "k", "seq", "v", "ts", timedelta(days=3))
+    assert {tuple(r) for r in got.collect()} == {("a", "z"), ("b", "first"), ("c", "p"), ("d", "q")}
