@@ -164,7 +164,7 @@ def test_states_of_old_keys_are_deleted(spark, tmp_path):
     days = [("a", 1, 5, "x"), ("b", 1, 1, "y"), ("a", 2, 3, "z"), ("c", 20, 9, "p"), ("d", 40, 9, "q"), ("a", 41, 4, "late"), ("b", 41, 0, "first"), ("c", 42, 10, "no")]
     for i, (key, day, seq, value) in enumerate(days):
         df = spark.createDataFrame([(key, f"2024-01-01 00:00:0{i}", day, seq, value)], "k string, t string, day int, seq int, v string")
-        df.selectExpr("k", "timestamp_ntz(t) + make_dt_interval(day) AS ts", "seq", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "s.parquet"))
+        df.selectExpr("k", "CAST(t AS TIMESTAMP_NTZ) + make_dt_interval(day) AS ts", "seq", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "s.parquet"))
     stream = ST.table_stream(spark, str(tmp_path), "s")
     got = ST.first_writes(stream, "k", "seq", "v", "ts", timedelta(days=3))
     assert {tuple(r) for r in got.collect()} == {("a", "z"), ("b", "first"), ("c", "p"), ("d", "q")}
