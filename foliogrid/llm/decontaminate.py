@@ -7,7 +7,8 @@ the aligned words are compared in full. All of it is DataFrame expressions.
 
 Defined results: words are lower-cased as Unicode has it; null identifiers are identifiers like others; documents that
 share one are one; a null text is empty and overlaps nothing; items of fewer than ``SPAN`` words must occur whole
-and unchanged, and items of fewer words than the shortest mask are no evidence; a repeated row adds nothing; an
+and unchanged; items of fewer words than the shortest mask give no seed and are looked for by the hash of all their
+words in order; items without words are no evidence; a repeated row adds nothing; an
 item that repeats words is compared at every alignment and the best one counts (ties: first in the document);
 empty tables give an empty result; other columns are ignored.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliogrid.llm.common import free_name, materialize, table, whole_text
+from foliogrid.llm.common import free_name, lookup, materialize, table, whole_text
 
 SPAN, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 3, 8, 9, 10))
@@ -80,10 +81,31 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         back = train.withColumnRenamed("doc_id", "__id")
         hits = found.join(back, F.col("doc_id").eqNullSafe(F.col("__id"))).join(whole, "item")
     best = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("b")
-    out = _verified(hits).groupBy("doc_id", "item_id").agg(best)
+    out, short = _verified(hits).groupBy("doc_id", "item_id").agg(best), _short_items(train, test)
+    if short is not None:
+        out = out.union(short).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), (-F.col("b.back")).cast("long").alias("doc_word"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"), (F.col("b.matched") / F.col("b.item_words")).alias("coverage"))
 
 
+def _short_items(train: DataFrame, test: DataFrame) -> DataFrame | None:
+    """``doc_id, item_id, b`` of items that are shorter than any mask and stand in a document, at their first place; none if there are no such items."""
+    short = test.filter(F.size("h").between(1, min(m[-1] for m in MASKS)))
+    lengths = sorted(r[0] for r in short.select(F.size("h")).distinct().collect())  # a handful: shorter than a mask
+    if not lengths:
+        return None
+
+    def grams(n: int) -> Column:
+        seed = lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(n), F.slice("h", i + 1, n)).alias("seed"))
+        return F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), seed)).otherwise(F.array().cast("array<struct<i:int,seed:bigint>>"))
+
+    every = F.concat(*map(grams, lengths))
+    places = train.select("doc_id", "h", F.explode(every).alias("g")).select("doc_id", "h", "g.i", "g.seed")
+    items = materialize(short.select("item_id", F.col("h").alias("item_h"), F.xxhash64(F.size("h"), "h").alias("seed")), "short-items")
+    hits = places.join(lookup(items, 120), "seed").filter(F.slice("h", F.col("i") + 1, F.size("item_h")) == F.col("item_h"))
+    n = F.size("item_h")
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct(n.alias("matched"), (-F.col("i")).alias("back"), n.alias("item_words"))).alias("b"))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
     key = free_name(docs, "bad")

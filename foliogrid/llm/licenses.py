@@ -117,8 +117,13 @@ def scan(raw: bytes, phrases: dict[str, str], automata) -> tuple:
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
+SHOWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: word count, phrase places, labels and score (1 template, 0.5 phrase only, 0 none)."""
+    """One row per document: word count, phrase places, labels and score (1 template, 0.5 phrase only, 0 none). An identifier that is named like one of these columns is refused."""
+    if id_col in SHOWN:
+        raise ValueError(f"the identifier must not be named like an output column: {id_col}")
     phrases = PHRASES if phrases is None else phrases
     rules = tuple((TEMPLATES if templates is None else templates).items())
     kind = docs.schema[id_col].dataType.simpleString()
@@ -128,7 +133,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
         for batch in batches:
             out = list(zip(*(scan(raw or b"", phrases, automata) for raw in batch.column(1).cast(pa.binary()).to_pylist()), strict=True)) or [()] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], [id_col, *SHOWN])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 

@@ -92,18 +92,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_ranking(np.array([r["x"] for r in got]), np.array([r["__y"] == 1 for r in got])) if got else None
 
 
+def _scores(model, texts: list[bytes | None], cut: float) -> np.ndarray:
+    """Score of each text; 0.5 without a model."""
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    mean, scale, w, at = model
+    z = np.clip((np.array([features(t or b"") for t in texts]) - mean) / scale, -8, 8)
+    return 1 / (1 + np.exp(-np.clip(z @ w - at + np.log(cut / (1 - cut)), -30, 30)))
+
+
 def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            score = np.full(len(texts), 0.5)
-            if model is not None and texts:
-                mean, scale, w, at = model
-                z = np.clip((np.array([features(t or b"") for t in texts]) - mean) / scale, -8, 8)
-                score = 1 / (1 + np.exp(-np.clip(z @ w - at + np.log(cut / (1 - cut)), -30, 30)))
+            score = _scores(model, batch.column(2).cast(pa.binary()).to_pylist(), cut)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     held = F.coalesce(fold_of(id_col) == 0, F.lit(False))
@@ -111,16 +115,12 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the cut, with all their columns; a map, without a shuffle."""
+    """The rows of ``docs`` that ``score_documents`` predicts to be good, with all their columns; a map, without a shuffle."""
 
     def run(batches):
         for batch in batches:
-            if model is not None and batch.num_rows:
-                mean, scale, w, at = model
-                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-                z = np.clip((np.array([features(t or b"") for t in texts]) - mean) / scale, -8, 8)
-                batch = batch.filter(pa.array(z @ w >= at))
-            yield batch
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(_scores(model, texts, cut) >= cut, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

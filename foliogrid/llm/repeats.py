@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from foliogrid.llm.common import discard, materialize, numbered, table, unpacked
 from foliogrid.llm.words import mixed
@@ -375,7 +376,9 @@ def second_pass(docs: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
+    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``. Identifiers are integers; others are refused."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, as repeats are judged in the order of documents")
     if not 8 <= gram <= length <= 255 or chunk + length > 1 << 24:
         raise ValueError("windows have up to 255 bytes, anchors 8 at least and chunks less than 16 MB")
     spark = docs.sparkSession

@@ -3,7 +3,7 @@
 Candidates are found by patterns in every whole text, with code-point offsets that come from the lengths of what
 lies between matches. Every candidate value is then looked at across the corpus: in how many distinct
 repositories and of how many distinct owners its digest occurs; values themselves are neither written nor shuffled. A value of many owners is a copied example; one that
-stays with few owners and looks random is probably live. All of it is DataFrame expressions.
+stays with few owners and looks random is probably live. The value of a private key is its body, not its heading. All of it is DataFrame expressions.
 
 Defined results: a null text is empty; null owners and repositories count as one unnamed owner; a repeated row
 gives a repeated result; a document without candidates has zero counts, the digest of the empty string and
@@ -27,7 +27,7 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, False, ("AKIA",)),
     ("hex", r"[0-9a-f]{24,}", 0, 24, False, ()),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, False, ("eyJ",)),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 10, False, ("PRIVATE KEY-----",)),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s{0,4}[A-Za-z]{1,20}-[A-Za-z]{1,20}:[^\n]{0,200}){0,4}([A-Za-z0-9+/=\s\\]*)(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 0, False, ("PRIVATE KEY-----",)),
     ("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20, False, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "rk_live_", "AIza")),
     ("userinfo", r"://[^\s/@:]{1,64}:([^\s/@:]{6,128})@", 1, 6, False, ("://",)),
 )
