@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliogrid.functions.storage import intermediates, materialize
 from foliogrid.operators import merging as MG
 from foliogrid.operators import spatial as SP
 from foliogrid.operators.graph import connected_components, spanning_forest
@@ -139,3 +142,17 @@ def test_quantiles_and_running_sums(spark, parts):
     for r in running_sums(counts, ["k"], ["v"], ["n", "s"]).collect():
         before = [x for x in rows if x[0] == r.k and x[1] is not None and x[1] < r.v]
         assert (r.before_n, r.before_s) == (len(before), sum(x[2] for x in before))
+
+
+def test_tables_of_a_scope_are_deleted(spark, tmp_path):
+    df = spark.createDataFrame([("a", float(i)) for i in range(9)], "k string, v double")
+    outer = materialize(df, "outer")
+    with intermediates(spark):
+        inner = materialize(df, "inner")
+        exact_quantiles(df, ["k"], {"v": F.col("v")}, (0.5,)).write.parquet(str(tmp_path / "q"))
+        with intermediates(spark):
+            lost = materialize(df, "lost")
+        files = inner.inputFiles()
+        assert inner.count() == 9 and not [f for f in lost.inputFiles() if Path(urlparse(f).path).exists()]
+    assert spark.read.parquet(str(tmp_path / "q")).first().p50 == 4.0 and outer.count() == 9
+    assert files and not [f for f in files if Path(urlparse(f).path).exists()]
