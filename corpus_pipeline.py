@@ -10,9 +10,12 @@ results, extra columns pass through.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from foliogrid.llm.common import materialize, table
+from foliogrid.functions.storage import intermediates, shared_dir
+from foliogrid.llm.common import table
 from foliogrid.llm.decontaminate import drop_contaminated
 from foliogrid.llm.exact_dedup import drop_exact_copies
 from foliogrid.llm.near_dedup import drop_near_copies
@@ -58,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage writes on its way is deleted when its result has been written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
