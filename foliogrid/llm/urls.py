@@ -2,7 +2,8 @@
 
 The trees are learnt from labelled URLs, given ones and those that a rule speaks of, and judge the others. They are fitted on at most
 ``FIT_ROWS`` labelled URLs, picked by hash; counts of suffixes are those of all URLs with a host, their block rates
-those of all labelled URLs, and every URL is judged.
+those of all labelled URLs, and every URL is judged. A labelled URL sees the rate without the labels of its own fold,
+so that the rate tells the trees no more of it than of a new URL.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; equal URLs get equal
 verdicts; with labels of a single kind the others get that label (allow if there is none), and a sample of a single
@@ -28,6 +29,8 @@ FIT_ROWS = 20_000
 #: Bytes of suffix statistics up to which they are broadcast, and the part of all URLs from which a suffix is frequent.
 BROADCAST_BYTES = 8 << 20
 FREQUENT = 1 / 2000
+#: Parts of the labelled URLs of which each is left out of the block rates that its own URLs see.
+FOLDS = 5
 FEATURES = ("n_chars", "host_chars", "path_chars", "n_labels", "depth", "digit_ratio", "host_digit_ratio", "entropy", "n_params", "n_hyphens", "is_https", "has_www", "suffix_log_count", "suffix_block_rate")
 
 
@@ -78,9 +81,21 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(hosted: DataFrame) -> DataFrame:
+    """``suffix, n, labelled, blocked`` over all URLs, and what each fold has of the last two; combined before it is shuffled."""
+    by = lambda f, c: F.array(*(f(F.when(_fold() == i, c)) for i in range(FOLDS)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    label = F.col("label")
+    return hosted.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), total(label).alias("blocked"), by(F.count, label).alias("labelled_by"), by(total, label).alias("blocked_by"))
+
+
 def with_suffix_statistics(urls: DataFrame, stats: DataFrame, prior: float, total: int, small: bool) -> DataFrame:
     """Adds the statistics of each URL's suffix. Those that are not small are shuffled, but for frequent suffixes, which are few."""
-    of = stats.select("suffix", F.log1p(F.col("n").cast("double")).alias("suffix_log_count"), ((F.col("blocked") + 10 * prior) / (F.col("labelled") + 10)).alias("suffix_block_rate"), "n")
+    of = stats.select("suffix", F.log1p(F.col("n").cast("double")).alias("suffix_log_count"), "labelled", "blocked", "labelled_by", "blocked_by", "n")
     if small:
         known = urls.join(F.broadcast(of.drop("n")), "suffix", "left")
     else:
@@ -89,6 +104,8 @@ def with_suffix_statistics(urls: DataFrame, stats: DataFrame, prior: float, tota
         # URLs without a host have no statistics and are not gathered either
         rest = urls.filter("suffix IS NOT NULL").join(F.broadcast(often.select("suffix")), "suffix", "left_anti").join(seldom.hint("merge"), "suffix")
         known = urls.join(F.broadcast(often), "suffix").unionByName(rest).unionByName(urls.filter("suffix IS NULL"), allowMissingColumns=True)
+    other = lambda c: F.col(c) - F.when(F.col("label").isNotNull(), F.get(f"{c}_by", _fold())).otherwise(0)
+    known = known.withColumn("suffix_block_rate", (other("blocked") + 10 * prior) / (other("labelled") + 10))
     return known.fillna({"suffix_log_count": 0.0, "suffix_block_rate": prior})
 
 
@@ -105,9 +122,8 @@ def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, f
         given = labels.groupBy("url").agg(F.max("block").cast("double").alias("given"))
         ruled = ruled.join(given, "url", "left").withColumn("label", F.coalesce("label", "given")).drop("given")
     hosted = ruled.filter("host <> ''")
-    # over all URLs; combined before it is shuffled
-    stats = materialize(hosted.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")), "url-suffixes")
-    total, labelled, blocked, held = stats.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked"), F.sum(F.octet_length("suffix") + 32)).first()
+    stats = materialize(suffix_statistics(hosted), "url-suffixes")
+    total, labelled, blocked, held = stats.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked"), F.sum(F.octet_length("suffix") + 48 + 16 * FOLDS)).first()
     # bounded by fit_rows: the sample and the model
     sample = materialize(lexical(hosted.filter("label IS NOT NULL").orderBy(F.xxhash64("url", id_col)).limit(fit_rows)), "url-sample")
     prior = blocked / labelled if labelled else 0.0

@@ -221,13 +221,28 @@ def test_url_suffix_statistics_cover_all_pages(spark, monkeypatch, broadcast_byt
     assert sorted(r.page_id for r in out) == list(range(len(urls))) and len(seen) == 2
     prior = sum(blocked.values()) / sum(labelled.values())
     assert seen[0].count() == 50
+    fold = {r.page_id: r.f for r in pages.withColumn("f", U._fold()).collect()}
+    label = {i: float(suffix(h) == "s2" or (suffix(h) == "com" and str(i).startswith("1"))) for i, h in enumerate(hosts) if suffix(h) in ruled}
     for df in seen:
         for r in df.select("page_id", "suffix", "suffix_log_count", "suffix_block_rate").collect():
             host = hosts[r.page_id] if r.page_id < len(hosts) else None
             n, of, b = (c[suffix(host)] if host else 0 for c in (counts, labelled, blocked))
+            if r.page_id in label:  # labels of its own fold are left out
+                mine = [label[i] for i in label if fold[i] == fold[r.page_id] and suffix(hosts[i]) == suffix(host)]
+                of, b = of - len(mine), b - sum(mine)
             assert (r.suffix_log_count, r.suffix_block_rate) == pytest.approx((math.log1p(n), (b + 10 * prior) / (of + 10)))
 
 
+def test_path_and_digits_move_a_verdict(spark):
+    path = lambda i: f"/{i}{i * 7919}{i}/9{i}" if i % 2 else f"/about/us/page{'abcdefghij'[i % 10]}"
+    known = [(f"https://h{i % 5}.site.com{path(i)}", i % 2) for i in range(400)]
+    asked = [f"https://h{i % 5}.site.com{path(i)}" for i in range(1000, 1040)]
+    pages = spark.createDataFrame(list(enumerate([u for u, _ in known] + asked)), "page_id long, url string")
+    labels = spark.createDataFrame(known, "url string, block int")
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, (), labels).collect()}
+    assert [got[400 + i] for i in range(40)] == ["allow", "block"] * 20
+
+
 def test_quality_ranks_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = Q.score_documents(docs, Q.train(docs, labels)).join(labels, "doc_id").collect()
