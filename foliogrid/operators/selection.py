@@ -54,10 +54,9 @@ def case_entries(metrics: DataFrame, failures: DataFrame, n: int) -> DataFrame:
     """
     scored = metrics.join(failures, ["method", "image_id"], "left_anti").groupBy("method", (-F.col("f1")).alias("down"), "image_id").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_sums(scored, ["method"], ["down", "image_id"], ["n"]).withColumn("rank", F.explode(F.sequence(F.col("before_n") + 1, F.col("before_n") + F.col("n"))))
-    total = ranked.groupBy("method").agg(F.count(F.lit(1)).alias("total"))
-    middle = F.greatest(F.floor((F.col("total") - n) / 2), F.lit(0))
+    middle = F.greatest(F.floor((F.col("all_n") - n) / 2), F.lit(0))
     kind = F.when(F.col("rank") <= n, "good").when((F.col("rank") > middle) & (F.col("rank") <= middle + n), "average")
-    picked = ranked.join(total, "method").withColumn("case_kind", kind).filter("case_kind IS NOT NULL").select("method", "image_id", "case_kind", F.col("rank").cast("int").alias("rank"))
+    picked = ranked.withColumn("case_kind", kind).filter("case_kind IS NOT NULL").select("method", "image_id", "case_kind", F.col("rank").cast("int").alias("rank"))
     return picked.union(failures.select("method", "image_id", F.lit("failure"), F.lit(None).cast("int")))
 
 
