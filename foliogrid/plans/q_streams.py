@@ -11,7 +11,7 @@ from foliogrid.operators import changes as CH
 from foliogrid.operators import plugins as P
 from foliogrid.operators.masks import threshold
 from foliogrid.plans.q_ledger import CACHE_APPENDED as ORACLE_RUN5
-from foliogrid.plans.q_ledger import CATEGORIES, CATEGORY_DIM, FIRST, KEY, NAMES, line_rules, requests
+from foliogrid.plans.q_ledger import CATEGORIES, CATEGORY_DIM, FIRST, NAMES, line_rules, requests
 from foliogrid.plans.views import Views, oracle
 from foliogrid.streaming import incremental as ST
 
