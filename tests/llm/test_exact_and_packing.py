@@ -42,6 +42,28 @@ def test_clashing_columns_and_empty_tables(spark):
     assert exact_dedup(docs.limit(0)).count() == 0 and drop_exact_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sampled", [1, ED.SAMPLED])
+def test_ranges_of_common_beginnings_and_hot_texts(spark, monkeypatch, sampled):
+    monkeypatch.setattr(ED, "HOT_ROWS", 20)
+    monkeypatch.setattr(ED, "SAMPLED", sampled)
+    rng = random.Random(sampled)
+    texts = ["é" * 40 + str(rng.randrange(400)) for _ in range(800)] + ["the same text"] * 900 + [chr(rng.randrange(32, 0x2FFF)) * rng.randrange(4) for _ in range(700)]
+    rng.shuffle(texts)
+    got = exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    last, size = {t: i for i, t in enumerate(texts)}, Counter(texts)
+    want = {(i, last[t], size[t], last[t] == i, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in got} == want and len(got) == len(texts)
+
+
+def test_splitters_cut_common_beginnings_by_digests_only(spark):
+    keys = [("AA/%02d" % i, 5) for i in range(20)] + [("BB/07", 3), ("CC/05", 9), ("DD/01", 1)]
+    splitters = ED._splitters(spark.createDataFrame(keys, "key string, n long"), 20)
+    assert splitters == sorted(splitters) and sum(k.startswith("AA/") for k in splitters) > 2 and set(splitters) - {k for k, _ in keys} <= {"BB/", "CC/", "DD/"}
+    probes = ["", "A", "AA/", "AA/00", "AA/03", "AA/19", "AA/99", "B/", "BB/07", "CC/", "CC/99", "ZZ/"]
+    got = spark.createDataFrame([(p,) for p in probes], "p string").select("p", ED._range_of(F.col("p"), splitters).alias("r")).collect()
+    assert {r.p: r.r for r in got} == {p: sum(s <= p for s in splitters) for p in probes}
+
+
 def brute_best_fit(lengths: list[int], window: int) -> int:
     """Windows that best-fit decreasing opens."""
     bins: list[int] = []
