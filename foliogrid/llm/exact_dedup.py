@@ -31,7 +31,7 @@ SPLIT_BYTES = 48
 #: Ranges for each partition of the shuffle, rows sampled for each range, and ranges at most.
 RANGES, SAMPLED, MOST_RANGES = 4, 25, 40_000
 #: A text is dealt over several places if its copies fill this part of a partition, and if they are that many at least.
-HOT_PARTS, HOT_ROWS = 4, 1000
+HOT_PARTS, HOT_ROWS = 4, 200
 
 
 def _split_key(text: Column, sha: Column) -> Column:
