@@ -227,9 +227,9 @@ AXIS = f"({GAPS[0]} = 0 OR {GAPS[1]} = 0)"
 GATED = {
     "box_fill": ("true", "own / box >= 0.6", lambda: (None, MG.GroupGate(min_box_fill=0.6))),
     "growth": ("true", "box <= 1.4::DOUBLE * own", lambda: (None, MG.GroupGate(max_growth=1.4))),
-    "rule_box_fill": (f"NOT {RULE.format('l')} AND NOT {RULE.format('r')}", "own / box >= 0.5", lambda: (SP.not_rule_gate(3, 20), MG.GroupGate(min_box_fill=0.5))),
-    "hub": (" AND ".join(f"greatest({e}.w, {e}.h)::DOUBLE / greatest(1, least({e}.w, {e}.h)) <= 4" for e in "lr"), "true", lambda: (SP.not_hub_gate(4), MG.GroupGate())),
-    "axis_fill": (AXIS, "ink / box >= 0.35", lambda: (SP.axis_overlap_gate(), MG.GroupGate(min_fill=0.35))),
+    "rule_box_fill": (f"NOT {RULE.format('l')} AND NOT {RULE.format('r')}", "own / box >= 0.5", lambda: (lambda l, r: SP.not_rule_gate(3, 20, l, r), MG.GroupGate(min_box_fill=0.5))),
+    "hub": (" AND ".join(f"greatest({e}.w, {e}.h)::DOUBLE / greatest(1, least({e}.w, {e}.h)) <= 4" for e in "lr"), "true", lambda: (lambda l, r: SP.not_hub_gate(4, l, r), MG.GroupGate())),
+    "axis_fill": (AXIS, "ink / box >= 0.35", lambda: (SP.axis_overlap_gate, MG.GroupGate(min_fill=0.35))),
 }
 
 
@@ -254,33 +254,26 @@ SPANNING = f"WITH RECURSIVE {fold('true', 'true')}, s AS MATERIALIZED (SELECT pa
 
 @query("grf6_spanning_links", f"{SPANNING} SELECT page, l, r FROM s")
 def grf6s(spark, d):
-    return SP.spanning_links(SP.near_pairs(Views(spark, d).boxes(), 12))
+    return SP.near_spanning_links(Views(spark, d).boxes(), 12)
 
 
 @query("grf6_chain_edges", f"{SPANNING}, n AS MATERIALIZED (SELECT page, unnest(range(1, len(g) + 1)) AS label, unnest(g) AS grp FROM e), b AS MATERIALIZED (SELECT page, grp, count(*) AS members, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS box FROM n JOIN v_boxes USING (page, label) GROUP BY page, grp QUALIFY row_number() OVER (PARTITION BY page ORDER BY box DESC, grp) = 1), i AS MATERIALIZED (SELECT s.*, greatest(x.x - (y.x + y.w), y.x - (x.x + x.w), 0) AS h, greatest(x.y - (y.y + y.h), y.y - (x.y + x.h), 0) AS v FROM s JOIN n ON n.page = s.page AND n.label = s.l JOIN b ON b.page = n.page AND b.grp = n.grp JOIN v_boxes x ON x.page = s.page AND x.label = s.l JOIN v_boxes y ON y.page = s.page AND y.label = s.r), o AS (SELECT page, label, count(*) AS degree FROM (SELECT page, l AS label FROM i UNION ALL SELECT page, r FROM i) GROUP BY page, label QUALIFY row_number() OVER (PARTITION BY page ORDER BY degree DESC, label) = 1), t AS (SELECT page, count(*) AS edges, median(h)::DOUBLE AS h_median, max(h) AS h_max, median(v)::DOUBLE AS v_median, max(v) AS v_max, count(*) FILTER (h > 0 AND v > 0) AS diagonal FROM i GROUP BY 1) SELECT b.page, b.grp, members, round(box / 16800, 9) AS box_share, coalesce(edges, 0) AS edges, o.label AS hub, coalesce(o.degree, 0) AS hub_degree, round(greatest(q.w, q.h) / greatest(1, least(q.w, q.h)), 9) AS hub_aspect, round(q.area / greatest(1, q.w * q.h), 9) AS hub_fill, h_median, h_max, v_median, v_max, coalesce(diagonal, 0) AS diagonal FROM b LEFT JOIN t USING (page) LEFT JOIN o USING (page) LEFT JOIN v_boxes q ON q.page = o.page AND q.label = o.label")
 def grf6c(spark, d):
     """The links that hold the largest group of each page together, and the box with most of them."""
-    boxes = Views(spark, d).boxes()
-    return rounded(SP.chain_edges(boxes, SP.near_pairs(boxes, 12), 16800), "box_share", "hub_aspect", "hub_fill")
+    return rounded(SP.near_chain_edges(Views(spark, d).boxes(), 12, 16800), "box_share", "hub_aspect", "hub_fill")
 
 
 GROUPS = f"p AS ({PAIRS}), r(page, label, root) AS (SELECT page, label, label FROM v_boxes UNION SELECT r.page, CASE WHEN p.l = r.label THEN p.r ELSE p.l END, r.root FROM r JOIN p ON p.page = r.page AND (p.l = r.label OR p.r = r.label)), g AS (SELECT page, label, min(root) AS grp FROM r GROUP BY ALL)"
 
 
-def grouped(spark, d):
-    b = Views(spark, d).boxes()
-    pairs = SP.near_pairs(b, 12)
-    return SP.page_groups(b, pairs), pairs
-
-
 @query("grf1_components", f"WITH RECURSIVE {GROUPS} SELECT page, label, grp FROM g")
 def grf1(spark, d):
-    return grouped(spark, d)[0].select("page", "label", "grp")
+    return SP.near_groups(Views(spark, d).boxes(), 12)
 
 
 @query("agg12_merge_regions", f"WITH RECURSIVE {GROUPS} SELECT page, grp, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, sum(area) AS area, count(*) AS merged_from FROM g JOIN v_boxes USING (page, label) GROUP BY ALL")
 def agg12(spark, d):
-    return SP.merge_regions(grouped(spark, d)[0])
+    return SP.near_regions(Views(spark, d).boxes(), 12)
 
 
 @query("grf3_filter_components", "SELECT page, label, CASE WHEN area < 60 THEN 'below_min_area' WHEN area > 500 THEN 'above_max_area' END AS reason FROM v_boxes")
@@ -312,14 +305,12 @@ def grf4o(spark, d):
 
 @query("grf6_chain_report", f"WITH RECURSIVE {GROUPS}, s AS (SELECT page, grp, count(*) AS n, sum(area) AS a FROM g JOIN v_boxes USING (page, label) GROUP BY ALL), q AS (SELECT page, max(n) AS largest_group, round(max(a)::DOUBLE / sum(a), 9) AS largest_share, count(*) AS groups FROM s GROUP BY 1), d AS (SELECT page, label, count(*) AS d FROM (SELECT page, l AS label FROM p UNION ALL SELECT page, r FROM p) GROUP BY ALL) SELECT page, groups, largest_group, largest_share, coalesce((SELECT sum(d) // 2 FROM d WHERE d.page = q.page), 0)::BIGINT AS links, coalesce((SELECT max(d) FROM d WHERE d.page = q.page), 0) AS max_degree FROM q")
 def grf6(spark, d):
-    g, pairs = grouped(spark, d)
-    return rounded(SP.chain_report(g, pairs), "largest_share")
+    return rounded(SP.near_chain_report(Views(spark, d).boxes(), 12), "largest_share")
 
 
 @query("jn11_components_in_box", f"WITH RECURSIVE {REGIONS}, q AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY -(2 * x + w), 2 * y + h, -(w * h), y, x, grp) AS region_id FROM m) SELECT q.page, q.region_id, c.label FROM q JOIN v_boxes c ON c.page = q.page AND c.x < q.x + q.w AND q.x < c.x + c.w AND c.y < q.y + q.h AND q.y < c.y + c.h")
 def jn11(spark, d):
-    b = Views(spark, d).boxes()
-    return SP.components_in_box(b, SP.extract_regions(b, b, 40, 700, 12)[0])
+    return SP.components_in_regions(Views(spark, d).boxes(), 40, 700, 12)
 
 
 SWEEP = f"""b AS (SELECT c.config, c.distance, v.* FROM v_boxes v, (VALUES ('a', 20, 0), ('b', 60, 6), ('c', 120, 12)) c(config, min_area, distance) WHERE v.area >= c.min_area), p AS (SELECT l.config, l.page, l.label AS l, r.label AS r FROM b l JOIN b r ON l.config = r.config AND l.page = r.page AND l.label < r.label AND {GAPS[0]} < l.distance AND {GAPS[1]} < l.distance), r(config, page, label, root) AS (SELECT config, page, label, label FROM b UNION SELECT r.config, r.page, CASE WHEN p.l = r.label THEN p.r ELSE p.l END, r.root FROM r JOIN p ON p.config = r.config AND p.page = r.page AND (p.l = r.label OR p.r = r.label)), g AS (SELECT config, page, label, min(root) AS grp FROM r GROUP BY ALL), m AS (SELECT config, page, grp, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS size, coalesce(sum(area) FILTER (flag = 'R'), 0) * 100 < sum(area) AS no FROM g JOIN b USING (config, page, label) GROUP BY ALL)"""
