@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def compose(stages: list[str | Transform]) -> Transform:
     return lambda df: reduce(DataFrame.transform, steps, df)
 
 
+def _laid(made: list[pd.DataFrame], at: list[np.ndarray], names: list[str], n: int) -> pd.DataFrame:
+    """Frames put at their rows of ``n``; rows that none has are null, and whole numbers stay exact."""
+    if not made:
+        return pd.DataFrame({c: [None] * n for c in names})
+    rows = pd.concat(made, ignore_index=True) if len(made) > 1 else made[0]
+    if len(rows) < n:
+        rows = rows.astype({c: object for c in names if rows[c].dtype.kind in "iub"})
+    return rows.set_axis(np.concatenate(at), axis=0).reindex(range(n))
+
+
+def _keyed(rows: pd.DataFrame, key: str, batch: pd.DataFrame) -> pd.DataFrame:
+    rows.insert(0, key, batch[key].to_numpy())
+    return rows
+
+
 def isolated(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str, batched: bool = False) -> DataFrame:
     """``fn`` on every row by itself within Arrow batches; a row that raises is a row with its error and keeps no other row back.
 
@@ -50,23 +66,26 @@ def isolated(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, open_ = [], [batch] if batched and len(batch) else [batch.iloc[i : i + 1] for i in reversed(range(len(batch)))]
+            # row spans not yet settled, the first last; what was made of spans, their rows, and the errors of single rows
+            n = len(batch)
+            open_ = [(0, n)] if batched and n else [(i, i + 1) for i in reversed(range(n))]
+            made, at, status, errors = [], [], np.full(n, "ok", object), np.full(n, None, object)
             while open_:
-                rows = open_.pop()
+                lo, hi = open_.pop()
                 try:
-                    made = fn(rows)[names].assign(status="ok", error=None)
-                    if len(made) != len(rows):
-                        raise ValueError(f"{len(made)} rows for {len(rows)}")
+                    got = fn(batch.iloc[lo:hi])[names]
+                    if len(got) != hi - lo:
+                        raise ValueError(f"{len(got)} rows for {hi - lo}")
+                    made.append(got)
+                    at.append(np.arange(lo, hi))
                 except Exception as e:  # noqa: BLE001 - the contract is to record any failure
-                    if len(rows) > 1:
-                        half = len(rows) // 2
-                        open_ += [rows.iloc[half:], rows.iloc[:half]]
-                        continue
-                    made = pd.DataFrame([{n: None for n in names} | {"status": "failed", "error": f"{type(e).__name__}: {e}"}])
-                made.insert(0, key, rows[key].to_numpy())
-                out.append(made)
-            if out:
-                yield pd.concat(out)
+                    if hi - lo > 1:
+                        half = lo + (hi - lo) // 2
+                        open_ += [(half, hi), (lo, half)]
+                    else:
+                        status[lo], errors[lo] = "failed", f"{type(e).__name__}: {e}"
+            if n:
+                yield _laid(made, at, names, n).assign(status=status, error=errors).pipe(_keyed, key, batch)
 
     return df.mapInPandas(run, f"`{key}` {kind}, {schema}, status string, error string")
 
