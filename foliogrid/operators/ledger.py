@@ -55,10 +55,23 @@ def run_report(admissions: DataFrame, verdicts: DataFrame, methods: DataFrame) -
     return out.select("run_id", "method", F.when(F.col("done"), "admitted").otherwise(F.coalesce("verdict", F.lit("no verdict"))).alias("state"))
 
 
+#: Rows that a task gets where a table is dealt by ``parts``.
+ROWS_A_TASK = 400_000
+
+
+def parts(df: DataFrame, rows: int = ROWS_A_TASK) -> int:
+    """Partitions for a shuffle of ``df``, so that memory of a task does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def close_run(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per run: pages listed, finished and failed, and ``outcome``: closed, unfinished or empty."""
-    at = manifest.join(pages, ["run_id", "image_id"], "left")
-    n = at.groupBy("run_id").agg(F.count(F.lit(1)).alias("pages"), F.count("status").alias("finished"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return closed(manifest.join(pages, ["run_id", "image_id"], "left"))
+
+
+def closed(listed: DataFrame) -> DataFrame:
+    """``close_run`` of listed pages with their ``status``, null for those that have not finished."""
+    n = listed.groupBy("run_id").agg(F.count(F.lit(1)).alias("pages"), F.count("status").alias("finished"), F.count_if(F.col("status") == "failed").alias("failed"))
     return n.withColumn("outcome", F.when(F.col("finished") == 0, "empty").when(F.col("finished") < F.col("pages"), "unfinished").otherwise("closed"))
 
 
