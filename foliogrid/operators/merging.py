@@ -140,8 +140,9 @@ class _Fold:
 
 def _folds(few: DataFrame, distance: int, variants: Variants, roots: bool) -> DataFrame:
     """``variant, page, label, grp`` of every box of the pages that are a row, or ``variant, page, box, ink, members`` of every group."""
+    # with a gate that is a column there are no such pages
     boxes, names, gates = F.col("boxes"), list(variants), [g for _, g in variants.values()]
-    allowed = lambda e: F.array(*(F.lit(True) if g is None else F.coalesce(g(boxes[e["l"]], boxes[e["r"]]), F.lit(False)) for g, _ in variants.values()))
+    allowed = lambda e: F.array(*(F.lit(True) if g is None or isinstance(g, Column) else F.coalesce(g(boxes[e["l"]], boxes[e["r"]]), F.lit(False)) for g, _ in variants.values()))
     near = F.transform(PG.links(boxes, distance), lambda e: F.struct(e["l"].alias("l"), e["r"].alias("r"), allowed(e).alias("allowed")))
     page, box = few.schema["page"].dataType.simpleString(), few.schema["boxes"].dataType.elementType
     kind = {c: box[c].dataType.simpleString() for c in box.names}
