@@ -93,10 +93,12 @@ class Views:
     def boxes(self) -> DataFrame:
         from pyspark.sql import Window as W
 
-        order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+        order = W.partitionBy("page").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
         q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("page"), F.row_number().over(order).cast("long").alias("label"), (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 10 * 10).alias("y"),
+        # numbered under its name first: the rows are then known to be dealt by page, and what is made of their columns is not shuffled
+        lines = self.table("lineitem").withColumnRenamed("l_orderkey", "page").withColumn("label", F.row_number().over(order).cast("long"))
+        return lines.select(
+            "page", "label", (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 10 * 10).alias("y"),
             q.alias("w"), (n * 3).alias("h"), F.floor(q * n * 3 / 2).cast("long").alias("area"), F.col("l_returnflag").alias("flag"),
         )
 

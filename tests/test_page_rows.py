@@ -82,6 +82,15 @@ def test_small_pages_are_shuffled_once(spark, name):
     assert "Exchange" not in plan and "pages-" in plan
 
 
+@pytest.mark.parametrize("name", ["agg20_region_sweep"])
+def test_boxes_are_dealt_by_page_once(spark, monkeypatch, name):
+    """The table of pages comes from one shuffle: boxes numbered by page are not dealt by page again."""
+    laid, write = [], PG.materialize
+    monkeypatch.setattr(PG, "materialize", lambda df, label: laid.append(df) or write(df, label))
+    __spark_entry__.queries()[name](spark, DATA)
+    assert [df._jdf.queryExecution().executedPlan().toString().count("Exchange ") for df in laid] == [1]
+
+
 def test_sweep_reads_one_table_of_small_rows(spark):
     with intermediates(spark):
         grid = spark.createDataFrame([("a", 1, 0), ("b", 4, 8)], "config string, min_area int, distance int")
