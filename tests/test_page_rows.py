@@ -82,7 +82,7 @@ def test_small_pages_are_shuffled_once(spark, name):
     assert "Exchange" not in plan and "pages-" in plan
 
 
-@pytest.mark.parametrize("name", ["agg20_region_sweep", "grf6_spanning_links", "grf6_chain_report", "jn11_components_in_box"])
+@pytest.mark.parametrize("name", ["agg20_region_sweep", "grf6_spanning_links", "grf6_chain_report", "jn11_components_in_box", "agg12_merge_regions"])
 def test_boxes_are_dealt_by_page_once(spark, monkeypatch, name):
     """The table of pages comes from one shuffle: boxes numbered by page are not dealt by page again."""
     laid, write = [], PG.materialize
