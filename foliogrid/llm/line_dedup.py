@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from foliogrid.llm.common import discard, free_name, is_small, lookup, materialize, slices, table, whole_text
 from foliogrid.llm.near_dedup import confirmed
-from foliogrid.llm.setjoin import SKETCH_BITS, may_match, prefix_length, rare_first, rarity_sketch
+from foliogrid.llm.setjoin import PACKED, SKETCH_BITS, may_match, packed_counts, packed_sketch, prefix_length, rare_first
 from foliogrid.llm.words import distinct_by_owner, mixed, word_hashes
 
 PERCENT = 80
@@ -54,11 +54,7 @@ HOT_CLASS, HOT_SALTS = 81, 64
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``token, n``: occurrences of words by bucket of the sketch; a word has a row for each task at least."""
-
-    def told(held: list[np.ndarray]) -> pa.RecordBatch:
-        buckets, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0), np.empty(0))
-        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+    """Occurrences of words by bucket of the sketch, as ``packed_sketch`` takes them: a task counts ``TASK_WORDS`` words at a time."""
 
     def run(batches):
         held, size = [], 0
@@ -68,11 +64,12 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                 held.append((word_hashes(raw[lo:hi])[0] & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
                 size += len(held[-1])
                 if size > TASK_WORDS:
-                    yield told(held)
+                    yield packed_counts(held)
                     held, size = [], 0
-        yield told(held)
+        if held:
+            yield packed_counts(held)
 
-    return docs.select(text_col).mapInArrow(run, "token long, n long")
+    return docs.select(text_col).mapInArrow(run, PACKED)
 
 
 DIGEST_SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
@@ -123,8 +120,8 @@ class LineSets:
         return np.where(sizes * (100 - self.percent) >= self.percent, prefix_length(sizes, self.percent), 0)
 
 
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int64)))
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: type = np.int64) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(kind)))
 
 
 def _binary(digests: np.ndarray) -> pa.Array:
@@ -139,7 +136,9 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
     """``id, row, line, text_key, h, n, b, skip, prefix`` and wide marks of every line; a task gives the prefix of a set for the first of its lines.
 
     ``row + line`` numbers all lines; ``row`` is the number of a document's first line. The prefix leaves out the
-    ``skip`` words that occur once in all documents and so in no other set.
+    ``skip`` words that occur once in all documents and so in no other set. ``first`` tells the lines with words of
+    which the task has seen no earlier one of their set. The first line of a document has its ``n_lines``, and
+    ``again``, its lines with words that are not ``first``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     wide = [f"w{k}" for k in range(WIDE)]
@@ -172,10 +171,15 @@ def line_table(docs: DataFrame, sketch: Broadcast, percent: int, id_col: str, te
                 rows = number + np.cumsum(counts) - counts
                 number += int(counts.sum())
                 numbers = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), batch.column(2).take(pa.array(owner)), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken), *sets.wide_marks(sizes, keys)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix", *wide])
+                first, top = fresh & (sizes > 0), numbers == 0
+                again = ~first & (sizes > 0)
+                repeats = np.zeros(len(owner), np.int64)
+                repeats[top] = np.bincount(owner[again] - lo, minlength=hi - lo)
+                told = [pa.array(first), pa.array(np.repeat(counts, counts).astype(np.int32), mask=~top), _lists(numbers[again], repeats, np.int32)]
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.repeat(rows, counts)), pa.array(numbers.astype(np.int32)), batch.column(2).take(pa.array(owner)), _binary(digests), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(skip.astype(np.int32)), _lists(keys[shared], taken), *told, *sets.wide_marks(sizes, keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "text_key", "h", "n", "b", "skip", "prefix", "first", "n_lines", "again", *wide])
 
-    return docs.select(id_col, text_col, _text_key(text_col)).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>, " + ", ".join(f"{w} long" for w in wide))
+    return docs.select(id_col, text_col, _text_key(text_col)).mapInArrow(run, f"id {kind}, row long, line int, text_key long, h binary, n int, b long, skip int, prefix array<long>, first boolean, n_lines int, again array<int>, " + ", ".join(f"{w} long" for w in wide))
 
 
 def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, sketch: Broadcast, percent: int) -> DataFrame:
@@ -239,29 +243,33 @@ def earlier_candidates(rows: DataFrame, percent: int, scan: int = SCAN, tries: i
 
     def work(ids, g, number, b, ni, cut: bool):
         """The pairs of whole words, or of a part of one."""
-        order = np.lexsort((number, _ranks(ids), g))
+        order = _word_order(g, _ranks(ids), number)
         g, number, b, ni = g[order], number[order], b[order], ni[order]
         n, i = ni >> 32, ni & 0xFFFFFFFF
         begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         first = np.repeat(begin, np.diff(np.append(begin, len(g))))
         pos, count, more, sure = np.arange(len(g)) - first, np.zeros(len(g), np.int64), np.zeros(len(g), bool), np.zeros(len(g), bool)
         found, others, percents = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        left = np.flatnonzero(pos > 0)
+        left, after, least, largest = np.flatnonzero(pos > 0), n - i, -(-n * percent // 100), n * 100 // percent
         for j in range(scan):
             if not len(left):
                 break
             e = first[left] + j
-            small, large, total = np.minimum(n[left], n[e]), np.maximum(n[left], n[e]), n[left] + n[e]
-            ok = (small * 100 >= large * percent) & (np.minimum(n[left] - i[left], n[e] - i[e]) * (100 + percent) >= total * percent)
-            apart, most = np.bitwise_count((b[left] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent), total * (100 - percent)
-            ok &= apart <= most
-            far = ok & (2 * apart <= most)
-            found.append(left[ok])
-            others.append(e[ok])
-            percents.append((apart[ok] * 100 + most[ok] - 1) // most[ok])
-            count[left[ok]] += 1
-            sure[left[far]] = True
-            done, goes_on = far | (count[left] >= tries), pos[left] > j + 1
+            at = np.flatnonzero((n[e] >= least[left]) & (n[e] <= largest[left]))
+            l, e = left[at], e[at]
+            fits = np.minimum(after[l], after[e]) * (100 + percent) >= (n[l] + n[e]) * percent
+            at, l, e = at[fits], l[fits], e[fits]
+            apart, most = np.bitwise_count((b[l] ^ b[e]).view(np.uint64)).astype(np.int64) * (100 + percent), (n[l] + n[e]) * (100 - percent)
+            ok = apart <= most
+            at, l, e, apart, most = at[ok], l[ok], e[ok], apart[ok], most[ok]
+            far = 2 * apart <= most
+            found.append(l)
+            others.append(e)
+            percents.append((apart * 100 + most - 1) // most)
+            count[l] += 1
+            sure[l[far]] = True
+            done, goes_on = np.zeros(len(left), bool), pos[left] > j + 1
+            done[at] = far | (count[l] >= tries)
             more[left[done & goes_on]] = True
             left = left[~done & goes_on]
         # pairs that are not told, and sets beyond those looked at, in another part or another sub-key
@@ -310,22 +318,43 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
 
 
-def picked(pairs: DataFrame) -> DataFrame:
-    """``l, r, more``: the likeliest pair of each set if it passes by far, or else the ``VERIFIED`` likeliest."""
-    by_set = pairs.groupBy("l").agg(F.array_sort(F.collect_set(F.struct("apart", "r"))).alias("rs"), F.max("more").alias("more"))
-    taken = F.when(F.col("rs")[0]["apart"] <= 50, 1).otherwise(VERIFIED)
-    return by_set.select("l", F.explode(F.slice("rs", 1, taken)).alias("x"), (F.col("more") | (F.size("rs") > taken)).alias("more")).select("l", F.col("x.r").alias("r"), "more")
+def _word_order(g: np.ndarray, ranks: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The order by word, rank and number of rows that are in order of words."""
+    word, low = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]])), int(ranks.min())
+    bits = (int(ranks.max()) - low).bit_length()
+    if int(word[-1]).bit_length() + bits < 63:
+        # one fast sort of both in one number unless it leaves lines of a document out of order
+        key = (word << bits) | (ranks.astype(np.int64) - low)
+        order = np.argsort(key, kind="stable")
+        key, numbers = key[order], number[order]
+        if not ((key[1:] == key[:-1]) & (numbers[1:] < numbers[:-1])).any():
+            return order
+    return np.lexsort((number, ranks, g))
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, row, line, removed`` of every line."""
-    sketch = rarity_sketch(word_counts(docs, text_col))
+def picked(pairs: DataFrame) -> DataFrame:
+    """``l, r, more``: the likeliest pair of each set if it passes by far, or else the ``VERIFIED`` likeliest."""
+    by_set = W.partitionBy("l")
+    likeliest = by_set.orderBy("apart", "r")
+    ranked = pairs.select("l", "r", "more", F.dense_rank().over(likeliest).alias("nth"), F.lag("r").over(likeliest).alias("before"), F.first("apart").over(likeliest).alias("best"))
+    ranked = ranked.withColumns({"more": F.max("more").over(by_set), "of": F.max("nth").over(by_set)})
+    taken = F.when(F.col("best") <= 50, 1).otherwise(VERIFIED)
+    # a pair that several words gave has one rank
+    once = ranked.filter((F.col("nth") <= taken) & (F.col("before").isNull() | (F.col("before") != F.col("r"))))
+    return once.select("l", "r", (F.col("more") | (F.col("of") > taken)).alias("more"))
+
+
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``line_table`` and, of its lines that are ``first``, ``row, line`` of those that go."""
+    sketch = packed_sketch(word_counts(docs, text_col))
     lines = materialize(line_table(docs, sketch, percent, id_col, text_col), "lines")
     number = F.col("row") + F.col("line")
-    sets = materialize(lines.filter("n > 0").groupBy("h").agg(F.min(F.struct("id", number.alias("number"))).alias("first")).select("h", F.col("first.number").alias("first")), "line-sets")
+    nth = F.row_number().over(W.partitionBy("h").orderBy("id", "row", "line"))
+    sets = materialize(lines.filter("first").select("h", "id", "row", "line").select("h", "row", "line", (nth == 1).alias("earliest")), "line-sets")
+    earliest = sets.filter("earliest")
     # only the first line of a set counts: the others go anyway
     pairs = picked(earlier_candidates(prefix_rows(lines), percent))
-    found = materialize(pairs.hint("merge").join(sets.select(F.col("first").alias("l"), "h"), "l"), "line-candidates")
+    found = materialize(pairs.hint("merge").join(earliest.select(number.alias("l"), "h"), "l"), "line-candidates")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """Digests of the sets whose line ``l`` is similar to line ``r`` of some pair."""
@@ -351,22 +380,35 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         rest = both.groupBy("l", "r").agg(F.min(apart).alias("apart")).join(found.select("l", "r"), ["l", "r"], "left_anti")
         rest = plausible(rest, lines, percent)
         rest = materialize(rest.withColumn("nth", F.row_number().over(W.partitionBy("l").orderBy("apart", "r"))), "line-rest")
-        # most sets have a match among the likeliest; only those without are compared with all
-        more = matches(rest.filter(F.col("nth") <= VERIFIED))
-        still = materialize(open_.join(lookup(more.withColumnRenamed("l", "h"), 64), "h", "left_anti").select(F.col("number").alias("l")), "line-still")
-        matched = matched.union(more).union(matches(rest.filter(F.col("nth") > VERIFIED).join(lookup(still, 16), "l", "left_semi")))
-    # the first line of each set without a match stays
-    stay = materialize(sets.join(lookup(materialize(matched.select(F.col("l").alias("h")).distinct(), "line-near"), 64), "h", "left_anti").select(F.col("first").alias("number"), F.lit(True).alias("stays")), "line-stay")
+        if is_small(rest, 64):
+            matched = matched.union(matches(rest))
+        else:
+            # most sets have a match among the likeliest; only those without are compared with all
+            more = matches(rest.filter(F.col("nth") <= VERIFIED))
+            still = materialize(open_.join(lookup(more.withColumnRenamed("l", "h"), 64), "h", "left_anti").select(F.col("number").alias("l")), "line-still")
+            matched = matched.union(more).union(matches(rest.filter(F.col("nth") > VERIFIED).join(lookup(still, 16), "l", "left_semi")))
+    # of the lines of a set the earliest stays if the set has no match
+    near = earliest.join(lookup(materialize(matched.select(F.col("l").alias("h")).distinct(), "line-near"), 64), "h", "left_semi")
+    gone = materialize(sets.filter("NOT earliest").select("row", "line").union(near.select("row", "line")), "lines-gone")
     discard(sets, found, open_)
-    out = lines.select("id", "row", "line", "n", number.alias("number")).join(stay.hint("merge"), "number", "left")
-    return out.select("id", "row", "line", ((F.col("n") > 0) & F.col("stays").isNull()).alias("removed"))
+    return lines, gone
+
+
+def similar_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, row, line, removed`` of every line."""
+    lines, gone = _judged(docs, percent, id_col, text_col)
+    out = lines.select("id", "row", "line", "n", "first").join(gone.withColumn("goes", F.lit(True)), ["row", "line"], "left")
+    return out.select("id", "row", "line", ((F.col("n") > 0) & (~F.col("first") | F.col("goes").isNotNull())).alias("removed"))
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_lines, n_removed, removed_lines`` (numbers from 0, comma-joined)."""
-    gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line"))))
-    grouped = similar_lines(docs, percent, id_col, text_col).groupBy("id", "row").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("removed").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
-    return grouped.select(F.col("id").alias(id_col), "n_lines", "n_removed", "removed_lines")
+    lines, gone = _judged(docs, percent, id_col, text_col)
+    per_row = lines.filter("n_lines IS NOT NULL").select("id", "row", "n_lines", "again")
+    per_row = per_row.join(gone.groupBy("row").agg(F.collect_list("line").alias("gone")), "row", "left")
+    per_row = per_row.withColumn("all", F.array_sort(F.concat("again", F.coalesce("gone", F.array().cast("array<int>")))))
+    removed = F.array_join(F.col("all").cast("array<string>"), ",").alias("removed_lines")
+    return per_row.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size("all").cast("long").alias("n_removed"), removed)
 
 
 def without_lines(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

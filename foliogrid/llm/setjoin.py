@@ -9,6 +9,7 @@ what the tasks are told has a fixed size. Any order is exact, a better one is fa
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +29,38 @@ def rarity_sketch(counts: DataFrame) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(out)
 
 
+#: Counts of a task: the buckets of a part of the sketch that occur, by their low 16 bits, and how often.
+PACKED, PART_BITS = "part int, low binary, n binary", 16
+
+
+def packed_counts(buckets: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each part of the sketch with the counts of its buckets."""
+    found, n = np.unique(np.concatenate(buckets), return_counts=True)
+    cuts = np.searchsorted(found, np.arange((1 << SKETCH_BITS - PART_BITS) + 1) << PART_BITS)
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+    columns = [pa.array(np.arange(len(cuts) - 1, dtype=np.int32)), binary(found.astype("<u2")), binary(n.astype("<u4"))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "low", "n"])
+
+
+def packed_sketch(counts: DataFrame) -> Broadcast:
+    """``rarity_sketch`` of ``PACKED`` counts: the rows of a part are added up in one array as they come."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for part, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(low):
+                    sums.setdefault(part, np.zeros(1 << PART_BITS, np.int64))[np.frombuffer(low, "<u2")] += np.frombuffer(n, "<u4")
+        for part, n in sums.items():
+            classes = np.where(n > 1, np.minimum(255, np.floor(1 + 4 * np.log2(np.maximum(n, 1)))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["part", "classes"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in counts.repartition("part").mapInArrow(run, "part int, classes binary").collect():
+        out[row.part << PART_BITS : row.part + 1 << PART_BITS] = np.frombuffer(row.classes, np.uint8)
+    return counts.sparkSession.sparkContext.broadcast(out)
+
+
 def rare_first(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Keys of words that sort from rare to frequent: the class in the high byte, the hash below."""
     return (sketch[tokens & np.uint64((1 << SKETCH_BITS) - 1)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))

@@ -291,3 +291,44 @@ def test_identifiers_that_repeat_with_other_texts(spark):
     assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == {(3, b): 1, (5, a): 2, (None, a): 1}
     named = ND.near_components(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), 2).collect()
     assert {(r.doc_id, r.component_id) for r in named} == {("d3", "d3"), ("d5", "d5"), ("d5", "d3"), ("d9", "d5"), (None, None)}
+
+
+def test_word_counts_travel_in_parts_of_the_sketch(spark):
+    """A task gives one row for each part of the sketch, not one for each word; the classes are those of plain counts."""
+    from foliogrid.llm import setjoin as SJ
+    from foliogrid.llm.words import word_hashes
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{min(rng.randrange(6000), rng.randrange(6000))}" for _ in range(3000)) for _ in range(8)] + [None, ""]
+    counts = LD.word_counts(frame(spark, texts).coalesce(2), "text")
+    assert 0 < counts.count() <= 2 * 256
+    tokens = [(int(h) & ((1 << SJ.SKETCH_BITS) - 1), 1) for h in word_hashes([t.encode() for t in texts if t])[0]]
+    want = SJ.rarity_sketch(spark.createDataFrame(tokens, "token long, n long")).value
+    assert want.any() and (SJ.packed_sketch(counts).value == want).all()
+    assert not SJ.packed_sketch(counts.limit(0)).value.any()
+
+
+def test_report_reads_documents_and_lines_that_go_only(spark):
+    """The lines are not shuffled again to be counted; lines and report tell the same."""
+    texts = ["a b c d e f\nx\nA b c d e f", "a b c d e f g\n\na b c d e f", None, "x\nx"]
+    docs = frame(spark, texts)
+    report = LD.line_report(docs)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.removed_lines) for r in report.collect()} == {0: (3, 1, "2"), 1: (3, 2, "0,2"), 2: (1, 0, ""), 3: (2, 2, "0,1")}
+    removed = {(r.id, r.line) for r in LD.similar_lines(docs).filter("removed").collect()}
+    assert removed == {(r.doc_id, int(k)) for r in report.collect() for k in r.removed_lines.split(",") if k}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(n_lines" in plan
+
+
+def test_likeliest_pairs_of_a_set(spark):
+    pairs = [(1, 5, 40, False), (1, 5, 40, False), (1, 6, 60, True), (2, 7, 80, False), (2, 7, 80, False), (2, 8, 70, False), (3, 3, 101, True)] + [(4, k, 51 + k, False) for k in range(10, 30)]
+    got = {(r.l, r.r, r.more) for r in LD.picked(spark.createDataFrame(pairs, "l long, r long, apart int, more boolean")).collect()}
+    assert got == {(1, 5, True), (2, 7, False), (2, 8, False), (3, 3, True)} | {(4, k, True) for k in range(10, 10 + LD.VERIFIED)}
+
+
+def test_order_of_word_rows():
+    rng = np.random.default_rng(5)
+    for low, high in ((0, 9), (-(2**63), 2**63 - 1)):
+        g, ranks, number = np.sort(rng.integers(-4, 4, 200)), rng.integers(low, high, 200), rng.permutation(200)
+        assert LD._word_order(g, ranks, number).tolist() == np.lexsort((number, ranks, g)).tolist()
+        assert LD._word_order(g, ranks, np.arange(200)).tolist() == np.lexsort((np.arange(200), ranks, g)).tolist()
