@@ -332,3 +332,18 @@ def test_order_of_word_rows():
         g, ranks, number = np.sort(rng.integers(-4, 4, 200)), rng.integers(low, high, 200), rng.permutation(200)
         assert LD._word_order(g, ranks, number).tolist() == np.lexsort((number, ranks, g)).tolist()
         assert LD._word_order(g, ranks, np.arange(200)).tolist() == np.lexsort((np.arange(200), ranks, g)).tolist()
+
+
+def test_lines_by_shuffled_lookups_only(spark, monkeypatch):
+    """What is left to all earlier sets goes by the likeliest first where it is not small."""
+    from foliogrid.llm import common
+
+    for module in (LD, common):
+        monkeypatch.setattr(module, "is_small", lambda *_: False)
+    monkeypatch.setattr(LD.earlier_candidates, "__defaults__", (1, 1, 8))
+    monkeypatch.setattr(LD, "VERIFIED", 1)
+    rng = random.Random(31)
+    base = [[f"w{rng.randrange(60)}" for _ in range(14)] for _ in range(4)]
+    texts = ["\n".join(" ".join(w if rng.random() < 0.92 else f"w{rng.randrange(60)}" for w in rng.choice(base)) for _ in range(4)) for _ in range(25)]
+    got = {r.doc_id: r.removed_lines for r in LD.line_report(frame(spark, texts)).collect()}
+    assert got == {i: ",".join(map(str, g)) for i, g in brute_lines(list(enumerate(texts))).items()}
